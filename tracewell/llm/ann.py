@@ -68,12 +68,12 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 24, share: float = 0.5, least: int = 4000, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 24, share: float = 0.55, least: int = 4000, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a Column over ``vec_id``) holds, the ``k``
     other rows of largest inner product found, nearest first, ties to the smaller id.
 
     The codebooks are fitted on at most ``sample`` rows (those of least hashed id); every row is indexed. A query looks
-    at cells that hold ``share`` of all rows, and at least ``least`` rows. Rows without a usable vector take no part; a
+    at cells that hold ``share`` of all different vectors, and at least ``least`` of them. Rows without a usable vector take no part; a
     row with a query's own id is none of its candidates; rows of one id and vector count once. Vectors must have one
     length; those that differ from the longest sampled take no part. Fewer candidates than ``k`` are all returned; an
     empty table gives none. Ids and the components of queries must fit their types; other columns are left out.
@@ -96,15 +96,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 24, share
 
     rows = rows.where(F.size("v") == dims).dropDuplicates(["vec_id", "v"])
     entries = rows.withColumn("cell", F.pandas_udf(cell_of, "bigint")("v"))
-    counts = np.zeros(n_cells, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # a row for each cell at most
-        counts[r["cell"]] = r["count"]
-    enough = max(least, int(share * counts.sum()))
+    counts, kinds = np.zeros(n_cells, np.int64), np.zeros(n_cells, np.int64)
+    sizes = entries.groupBy("cell", F.xxhash64("v").alias("h")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    for r in sizes.collect():  # a row for each cell at most
+        counts[r.cell], kinds[r.cell] = r.n, r.kinds
+    enough = max(least, int(share * kinds.sum()))
     blocks = np.maximum(1, -(-counts // block))
 
     def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(q, v, c, s) for q, v in zip(f.vec_id, f.v, strict=True) for c in cells_for(np.asarray(v), *books, counts, enough) for s in range(blocks[c])]
+            out = [(q, v, c, s) for q, v in zip(f.vec_id, f.v, strict=True) for c in cells_for(np.asarray(v), *books, kinds, enough) for s in range(blocks[c])]
             yield pd.DataFrame(out, columns=["query_id", "q", "cell", "block"])
 
     queries = rows.where(is_query).mapInPandas(wanted, "query_id bigint, q array<double>, cell bigint, block bigint")

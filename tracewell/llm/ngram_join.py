@@ -36,6 +36,16 @@ def set_key(hashes: np.ndarray) -> int:
     return _signed((int(hashes.sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(hashes)) * 31 + len(hashes)))
 
 
+def class_of(width: int):
+    """A function of a text column: the key of its shingle set, null without words."""
+
+    def key(text: str | None) -> int | None:
+        hashes = shingles(text, width)
+        return set_key(hashes) if len(hashes) else None
+
+    return F.udf(key, "bigint", useArrow=True)
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, cls, slice, counts): a row for each of ``docs(doc_id, text)`` (cls null without words), and each
     task's counts of shingles by hash cell, in slices."""

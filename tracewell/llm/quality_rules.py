@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 BUCKETS = 16384
+#: N-grams dealt as in all documents that are added to those of the trusted ones.
+PRIOR = 100_000
 #: Least mean log ratio of a kept document.
-THRESHOLD = -0.065
+THRESHOLD = -0.08
 
 
 def _words(text: Column) -> Column:
@@ -71,17 +73,17 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log ratio of each bucket's probability among n-grams of the trusted documents (those with an id in ``trusted``)
-    to that among n-grams of all documents; both with 1 added to every bucket's count."""
+    to that among n-grams of all documents. The trusted counts get PRIOR n-grams dealt as in all documents, so that
+    little trusted text gives ratios near 1; a bucket without n-grams has weight 0."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = _hashes(docs.withColumnRenamed(id_col, "_id"), text_col, ["_id"]).join(marks, "_id", "left")
     rows = rows.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
     found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("_trusted").alias("t")).select("bucket", "n", "t")
-    n, t = [1.0] * buckets, [1.0] * buckets
+    n, t = [0] * buckets, [0] * buckets
     for r in found.collect():  # a row for each bucket at most
-        n[r.bucket] += r.n
-        t[r.bucket] += r.t
+        n[r.bucket], t[r.bucket] = r.n, r.t
     a, b = sum(n), sum(t)
-    return [math.log(y / b) - math.log(x / a) for x, y in zip(n, t, strict=True)]
+    return [math.log((y + PRIOR * x / a) / (b + PRIOR)) - math.log(x / a) if x else 0.0 for x, y in zip(n, t, strict=True)]
 
 
 def judge(docs: DataFrame, bucket_weights: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
