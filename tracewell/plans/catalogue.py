@@ -1,5 +1,258 @@
-"""Every registered query with its SQL."""
+"""Every registered query with its SQL, over the runs clean and A1 to A6 of the market views."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dataflow, detect, evaluate, faults, lineage, rank
+from ..sources import market, topology
+from .oracle import nodes_sql, sql
 
 FLAGSHIP = "fused_score"
-QUERIES: dict = {}
-SQL: dict = {}
+PLACES = 6
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _round(c: str, places: int = PLACES) -> Column:
+    """Rounded, and never minus zero."""
+    return (F.round(F.col(c), places) + F.lit(0.0)).alias(c)
+
+
+# -- frames that queries share -----------------------------------------------------------------------------------------
+
+
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions, overrides, _ = faults.registered(spark)
+    runs = overrides.select("run_id")
+    return faults.inject(market.market(spark, sf_dir).crossJoin(F.broadcast(runs)), actions)  # a handful of runs
+
+
+def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = source(spark, sf_dir)
+    single = dataflow.instruments(s, faults.registered(spark)[1])
+    return s, single, dataflow.portfolio(single)
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.node_series(*frames(spark, sf_dir))
+
+
+def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = topology.nodes(spark, "market")
+    e = lineage.edges(n)
+    return n, e, lineage.reach(e)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = topology.nodes(spark, "market")
+    return detect.fused(detect.signals(series(spark, sf_dir), n), n)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, e, c = graph(spark)
+    s = scored(spark, sf_dir)
+    at = rank.placed(s, rank.select_target(s, n, c), n, c)
+    return at, n, e
+
+
+def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    at, n, e = placed(spark, sf_dir)
+    v2 = rank.rank_walk(at, e, rank.V2)
+    schema = rank.rank_schema(at, faults.dropped_inputs(n, faults.registered(spark)[1]))
+    return {
+        "v1": rank.rank_walk(at, e, rank.V1), "v2": v2, "v3": rank.rank_walk(at, e, rank.V3), "vanilla": rank.rank_walk(at, e, rank.VANILLA), "structural": rank.rank_structural(at, e),
+        "hops": rank.rank_hops(at), "score": rank.rank_scores(at), "schema": schema, "hybrid": rank.hybrid(schema, v2),
+    }
+
+
+# -- registration --------------------------------------------------------------------------------------------------------
+
+
+def add(name: str, query: Query, text: str | None = None) -> None:
+    QUERIES[name] = query
+    if text is not None:
+        SQL[name] = text
+
+
+def _single(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir)[1].select("run_id", "i", "t", _round(column))
+
+
+def _daily(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir)[2].select("run_id", "t", _round(column))
+
+
+for _name, _column in {"ffill_prices": "clean", "clip_warmup": "filtered", "fx_join": "krw", "position_value": "worth", "log_return": "ret", "vol20": "vol20", "vol60": "vol60"}.items():
+    add(_name, partial(_single, _column), sql(f"SELECT run_id, i, t::INT AS t, round({_column}, {PLACES}) + 0.0 AS {_column} FROM inst"))
+for _name, _column in {
+    "portfolio_total": "total", "sector_mean_a": "sector_a", "sector_mean_b": "sector_b", "var95": "var95", "var99": "var99", "es95": "es95", "portfolio_vol": "vol", "stress_pnl": "stress",
+    "concentration": "concentration", "report_reg_var": "reg_var", "report_dashboard": "dashboard", "report_stress": "stress_flag", "report_limit": "limit_breach",
+}.items():
+    add(_name, partial(_daily, _column), sql(f"SELECT run_id, t::INT AS t, round({_column}, {PLACES}) + 0.0 AS {_column} FROM day"))
+
+add("market_source", lambda spark, d: market.market(spark, d).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value, {PLACES}) + 0.0 AS value FROM market"))
+for _k in range(1, 7):
+    add(f"inject_a{_k}", lambda spark, d, r=f"A{_k}": series(spark, d).where(F.col("run_id") == r).select("run_id", "node_id", "t", _round("value", 4)), sql(f"SELECT run_id, node_id, t::INT AS t, round(value, 4) + 0.0 AS value FROM series WHERE run_id = 'A{_k}'"))
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    """A7 (and A1, A5, A6) on generated markets, places drawn from each run's seed."""
+    runs = spark.range(28).select(F.concat(F.lit("run"), "id").alias("run_id"), F.element_at(F.array(*map(F.lit, ("A1", "A5", "A6", "A7"))), (F.col("id") % 4 + 1).cast("int")).alias("anomaly_type"), F.col("id").alias("seed"))
+    clean = market.generated(spark, runs.select("seed"), n=252).join(F.broadcast(runs.select("seed", "run_id")), "seed").select("run_id", "col", "t", "value")
+    return faults.inject(clean, faults.drawn(spark, runs, 252, 5))
+
+
+add("inject_drawn", _drawn)
+add("generated_market", lambda spark, d: market.generated(spark, spark.range(8).select(F.col("id").alias("seed"))))
+add("normalised_prices", lambda spark, d: market.normalised(market.market(spark, d).where("col like 'STOCK%'")).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value / first_value(value IGNORE NULLS) OVER (PARTITION BY col ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 100, {PLACES}) + 0.0 AS value FROM market WHERE starts_with(col, 'STOCK')"))
+
+# lineage, over the three named sizes
+_SIZES = ("small", "medium", "large")
+_N3 = ("node", nodes_sql(*_SIZES))
+_C3 = ("closure", "SELECT topology, u, v, min(hops) AS hops FROM (WITH RECURSIVE c AS (SELECT topology, u, v, 1 AS hops FROM edge UNION SELECT c.topology, c.u, e.v, c.hops + 1 FROM c JOIN edge e ON e.topology = c.topology AND e.u = c.v WHERE c.hops < 10) SELECT * FROM c) GROUP BY 1, 2, 3")
+
+
+def _three(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = topology.nodes(spark, *_SIZES)
+    e = lineage.edges(n)
+    return n, e, lineage.reach(e)
+
+
+add("lineage_nodes", lambda spark, d: topology.nodes(spark, *_SIZES).select("topology", "node_id", "node_ord", "layer", "transform_type", "peer_key", F.size("input_columns").alias("inputs")), sql("SELECT topology, node_id, node_ord, layer, transform_type, peer_key, len(input_columns)::INT AS inputs FROM node", _N3))
+add("lineage_edges", lambda spark, d: _three(spark)[1].select("topology", "u", "v", "edge_type", "weight_prior", F.array_join("source_columns", ",").alias("source_columns"), F.array_join("target_columns", ",").alias("target_columns")), sql("SELECT topology, u, v, edge_type, weight_prior, array_to_string(source_columns, ',') AS source_columns, array_to_string(target_columns, ',') AS target_columns FROM edge", _N3))
+add("descendants", lambda spark, d: lineage.descendants(_three(spark)[2], "SRC_STOCK_1_PRICE"), sql("SELECT topology, v AS node_id, hops FROM closure WHERE u = 'SRC_STOCK_1_PRICE'", _N3, _C3))
+add("ancestors", lambda spark, d: lineage.ancestors(_three(spark)[2], "REPORT_LIMIT"), sql("SELECT topology, u AS node_id, hops FROM closure WHERE v = 'REPORT_LIMIT'", _N3, _C3))
+add("hop_distance", lambda spark, d: _three(spark)[2].select("topology", "u", "v", "hops"), sql("SELECT topology, u, v, hops FROM closure", _N3, _C3))
+add("impact", lambda spark, d: (lambda x: lineage.impact(x[2], x[0], "FEAT_VOL20_STOCK_2_PRICE"))(_three(spark)).select("topology", "node_id", "column"), sql("SELECT n.topology, n.node_id, unnest(n.output_columns) AS \"column\" FROM node n JOIN closure c ON c.topology = n.topology AND c.v = n.node_id WHERE c.u = 'FEAT_VOL20_STOCK_2_PRICE' AND n.layer = 5", _N3, _C3))
+add(
+    "simple_paths", lambda spark, d: lineage.simple_paths(_three(spark)[1], "SRC_STOCK_1_PRICE", "REPORT_LIMIT").select("topology", F.array_join("path", ">").alias("path")),
+    sql("SELECT topology, path FROM (WITH RECURSIVE c AS (SELECT topology, v, u || '>' || v AS path, 1 AS k FROM edge WHERE u = 'SRC_STOCK_1_PRICE' UNION ALL SELECT c.topology, e.v, c.path || '>' || e.v, c.k + 1 FROM c JOIN edge e ON e.topology = c.topology AND e.u = c.v WHERE c.k < 10) SELECT * FROM c) WHERE v = 'REPORT_LIMIT'", _N3),
+)
+add(
+    "graph_summary", lambda spark, d: lineage.summary(*_three(spark)),
+    sql("SELECT n.topology, n.n_nodes, n.layer_1, n.layer_2, n.layer_3, n.layer_4, n.layer_5, m.n_edges, (SELECT max(hops) FROM closure c WHERE c.topology = n.topology) AS max_hops, round(m.n_edges / n.n_nodes, 6) AS avg_in_degree, round(m.n_edges / n.n_nodes, 6) AS avg_out_degree, NOT EXISTS (SELECT 1 FROM closure c WHERE c.topology = n.topology AND c.u = c.v) AS is_dag FROM (SELECT topology, count(*) AS n_nodes, " + ", ".join(f"sum((layer = {k})::INT)::BIGINT AS layer_{k}" for k in range(1, 6)) + " FROM node GROUP BY 1) n JOIN (SELECT topology, count(*) AS n_edges FROM edge GROUP BY 1) m USING (topology)", _N3, _C3),
+)
+
+
+def _trace(spark: SparkSession, d: str) -> DataFrame:
+    n, _, c = _three(spark)
+    ends = n.select("topology", F.col("node_id").alias("u")).join(n.where("layer = 5").select("topology", F.col("node_id").alias("v")), "topology")
+    return lineage.trace_completeness(c, ends)
+
+
+add("trace_completeness", _trace, sql("SELECT a.topology, a.node_id AS u, b.node_id AS v, CASE WHEN c.u IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS completeness FROM node a JOIN node b ON a.topology = b.topology AND b.layer = 5 LEFT JOIN closure c ON c.topology = a.topology AND c.u = a.node_id AND c.v = b.node_id", _N3, _C3))
+
+# scores
+_SIGNAL = {"score_zvar": ("raw", lambda s, n: detect.raw_score(detect.numbered(s))), "score_shortlong": ("sl", lambda s, n: detect.short_long(detect.numbered(s))), "score_peer": ("peer", lambda s, n: detect.peer_score(detect.numbered(s), n)), "phi_peer": ("phi", lambda s, n: detect.peer_share(detect.numbered(s), n)), "causal_excess": ("excess", lambda s, n: detect.causal_excess(detect.raw_score(detect.numbered(s)), n))}
+_FROM = {"raw": "raws", "sl": "sls", "peer": "peers", "phi": "phis", "excess": "excesses"}
+for _name, (_column, _f) in _SIGNAL.items():
+    add(_name, lambda spark, d, c=_column, f=_f: f(series(spark, d), topology.nodes(spark, "market")).select("run_id", "node_id", _round(c)), sql(f"SELECT run_id, node_id, round({_column}, {PLACES}) + 0.0 AS {_column} FROM {_FROM[_column]}"))
+add("fused_score", lambda spark, d: scored(spark, d).select("run_id", "node_id", _round("score")), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score FROM score"))
+add(
+    "scored_nodes", lambda spark, d: lineage.with_scores(topology.nodes(spark, "market"), scored(spark, d).where("run_id = 'A1'")).select("node_id", "layer", _round("anomaly_score"), "is_anomalous"),
+    sql(f"SELECT node_id, n.layer, round(coalesce(s.score, 0.0), {PLACES}) + 0.0 AS anomaly_score, coalesce(s.score, 0.0) > 0.5 AS is_anomalous FROM node n LEFT JOIN (SELECT * FROM score WHERE run_id = 'A1') s USING (node_id)"),
+)
+
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    n, s = topology.nodes(spark, "market"), series(spark, d)
+    return detect.change_point(s, detect.fused(detect.signals(s, n), n)).select("run_id", "node_id", _round("score"))
+
+
+_CHANGED = "SELECT s.run_id, s.node_id, greatest(score, CASE WHEN n >= 20 AND s1 > 1e-8 THEN 0.7 * least(abs(s2 - s1) / s1 / 5, 1.0) ELSE 0.0 END) AS score FROM score s LEFT JOIN halves h USING (run_id, node_id)"
+add("changepoint", _changed, sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score FROM ({_CHANGED})"))
+
+
+def _blended(spark: SparkSession, d: str) -> DataFrame:
+    n, s = topology.nodes(spark, "market"), series(spark, d)
+    a = detect.fused(detect.signals(s, n), n)
+    b = detect.short_long(detect.numbered(s)).withColumnRenamed("sl", "score")
+    shares = spark.createDataFrame([(x,) for x in (0.0, 0.3, 0.5, 0.7, 1.0)], "share double")
+    return detect.blend(b, a, shares).select("share", "run_id", "node_id", _round("score"))
+
+
+add("blend", _blended, sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, round(x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0), {PLACES}) + 0.0 AS score FROM score FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) x(share)"))
+
+# rankings
+add("select_target", lambda spark, d: (lambda g, s: rank.select_target(s, g[0], g[2]))(graph(spark), scored(spark, d)), sql("SELECT run_id, target FROM target"))
+add("report_target", lambda spark, d: rank.target_from_reports(scored(spark, d), topology.nodes(spark, "market")), sql("SELECT run_id, coalesce(max(node_id) FILTER (layer = 5 AND k5 = 1 AND score >= 0.3), max(node_id) FILTER (k = 1)) AS target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, node_ord) AS k, row_number() OVER (PARTITION BY run_id, layer = 5 ORDER BY score DESC, node_ord) AS k5 FROM score) GROUP BY 1"))
+for _m, _t in {"v1": "rank_v1", "v2": "rank_v2", "v3": "rank_v2", "vanilla": "rank_vanilla", "structural": "rank_structural", "hops": "rank_hops", "score": "rank_score", "schema": "rank_schema", "hybrid": "hybrid"}.items():
+    _q = {"v1": "rank_rwr_v1", "v2": "rank_rwr_v2", "v3": "rank_rwr_v3", "vanilla": "rank_rwr_vanilla", "structural": "rank_rwr_structural", "hops": "rank_bfs", "score": "rank_score", "schema": "schema_violations", "hybrid": "hybrid_rank"}[_m]
+    add(_q, lambda spark, d, m=_m: rankings(spark, d)[m].select("run_id", "target", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, target, node_id, round(score, {PLACES}) + 0.0 AS score, rank::INT AS rank FROM {_t}"))
+add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)["v2"], 3).select("run_id", "node_id", "rank"), sql("SELECT run_id, node_id, rank::INT AS rank FROM rank_v2 WHERE rank <= 3"))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    at, _, e = placed(spark, d)
+    f = rank.graph_features(rank.rank_walk(at, e, rank.V2), at, e)
+    return f.select("run_id", "node_id", *(_round(f"f{k}") for k in range(8)))
+
+
+add(
+    "gnn_features", _features,
+    sql(f"""SELECT s.run_id, s.node_id, round(coalesce(c.score, 0.0) / b.best, {PLACES}) + 0.0 AS f0, round(p.score, {PLACES}) + 0.0 AS f1, round(p.layer / 5, {PLACES}) AS f2, (coalesce(p.hops, 0) > 0)::INT::DOUBLE AS f3,
+ round(coalesce(i.n, 0) / (SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM edge GROUP BY v)), {PLACES}) AS f4, round(coalesce(o.n, 0) / (SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM edge GROUP BY u)), {PLACES}) AS f5,
+ (c.node_id IS NOT NULL)::INT::DOUBLE AS f6, round(coalesce(p.hops, p.max_hops + 1) / (p.max_hops + 1), {PLACES}) + 0.0 AS f7
+ FROM (SELECT run_id, node_id FROM rank_v2 WHERE rank <= 10 UNION SELECT run_id, e.v FROM rank_v2 JOIN edge e ON e.u = node_id WHERE rank <= 10 UNION SELECT run_id, e.u FROM rank_v2 JOIN edge e ON e.v = node_id WHERE rank <= 10) s
+ JOIN placed p ON p.run_id = s.run_id AND p.node_id = s.node_id LEFT JOIN (SELECT * FROM rank_v2 WHERE rank <= 10) c ON c.run_id = s.run_id AND c.node_id = s.node_id
+ JOIN (SELECT run_id, max(score) AS best FROM rank_v2 WHERE rank <= 10 GROUP BY 1) b ON b.run_id = s.run_id LEFT JOIN (SELECT v, count(*) AS n FROM edge GROUP BY 1) i ON i.v = s.node_id LEFT JOIN (SELECT u, count(*) AS n FROM edge GROUP BY 1) o ON o.u = s.node_id"""),
+)
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    e = market.table(spark, d, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("anomaly_type"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("size"), F.col("event_id").alias("trial"))
+    return rank.folds(e).select("run_id", "anomaly_type", "size", "fold")
+
+
+add("cv_folds", _folded, "SELECT event_id::VARCHAR AS run_id, event_type AS anomaly_type, 's' || (user_id % 3) AS size, ((row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) - 1) % 5)::INT AS fold FROM events")
+
+
+# evaluation
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    r = rankings(spark, d)
+    every = None
+    for m in ("v1", "v2", "score", "hops", "vanilla", "structural", "hybrid"):
+        own = r[m].withColumn("method", F.lit(m))
+        every = own if every is None else every.unionByName(own)
+    return evaluate.run_metrics(every, faults.registered(spark)[2])
+
+
+add("run_metrics", lambda spark, d: metrics(spark, d).select("method", "run_id", "anomaly_type", "true_root_cause", "target_node", "rank", "top1", "top3", "top5", _round("reciprocal_rank"), _round("false_rc_rate_k5")), sql(f"SELECT method, run_id, anomaly_type, true_root_cause, target_node, rank, top1, top3, top5, round(reciprocal_rank, {PLACES}) AS reciprocal_rank, round(false_rc_rate_k5, {PLACES}) AS false_rc_rate_k5 FROM metric"))
+for _keys in (("method",), ("method", "anomaly_type")):
+    add("summary_by_" + "_".join(_keys), lambda spark, d, k=_keys: evaluate.summary(metrics(spark, d), *k), sql(f"SELECT {', '.join(_keys)}, " + ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items()) + f", count(*) AS n_runs FROM metric GROUP BY {', '.join(_keys)}"))
+add("bootstrap_ci", lambda spark, d: evaluate.bootstrap(metrics(spark, d), "method"))
+
+
+def _ablated(spark: SparkSession, d: str) -> DataFrame:
+    at, _, e = placed(spark, d)
+    every = None
+    for w in rank.ABLATIONS:
+        own = rank.rank_walk(at, e, w)
+        every = own if every is None else every.unionByName(own)
+    return evaluate.summary(evaluate.run_metrics(every, faults.registered(spark)[2]), "method")
+
+
+add("ablation", _ablated)
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    """How top-5 accuracy and reciprocal rank of the score ranking move as one weight of the fusion is scaled."""
+    base = (1.0, 0.5, 0.55, 0.85, 0.80, 0.90, 0.40, 0.60)
+    rows = [(f"{k + 1}|{s}", *(min(1.0, max(0.01, w * s)) if j == k else w for j, w in enumerate(base))) for k in range(8) for s in (0.7, 0.85, 1.0, 1.15, 1.3)]
+    weights = spark.createDataFrame(rows, "setting string, " + ", ".join(f"w{k} double" for k in range(1, 9)))
+    n = topology.nodes(spark, "market")
+    s = detect.weighted(detect.signals(series(spark, d), n), n, weights).select(F.concat_ws("#", "setting", "run_id").alias("run_id"), "node_id", "node_ord", "score", F.lit("").alias("target"))
+    truth = faults.registered(spark)[2].crossJoin(F.broadcast(weights.select("setting"))).withColumn("run_id", F.concat_ws("#", "setting", "run_id"))
+    m = evaluate.run_metrics(rank.ranked(s, "score"), truth).withColumn("setting", F.substring_index("run_id", "#", 1))
+    g = m.groupBy("setting").agg(F.avg("top5").alias("top5"), F.avg("reciprocal_rank").alias("mrr"))
+    g = g.select(F.concat(F.lit("W"), F.substring_index("setting", "|", 1)).alias("weight"), F.substring_index("setting", "|", -1).cast("double").alias("scale"), "top5", "mrr")
+    return evaluate.sensitivity(g).select("weight", _round("max_delta_top5"), _round("max_delta_mrr"), "sensitive")
+
+
+add("sensitivity", _swept)
