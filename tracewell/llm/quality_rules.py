@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 BUCKETS = 16384
+#: Ids of trusted documents are broadcast up to this many (16 bytes each).
+BROADCAST_IDS = 2_000_000
 #: N-grams dealt as in all documents that are added to those of the trusted ones.
 PRIOR = 100_000
 #: Least mean log ratio of a kept document.
@@ -76,6 +78,8 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col:
     to that among n-grams of all documents. The trusted counts get PRIOR n-grams dealt as in all documents, so that
     little trusted text gives ratios near 1; a bucket without n-grams has weight 0."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
+    if marks.count() <= BROADCAST_IDS:  # else the documents' hashes are shuffled by id
+        marks = F.broadcast(marks)
     rows = _hashes(docs.withColumnRenamed(id_col, "_id"), text_col, ["_id"]).join(marks, "_id", "left")
     rows = rows.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
     found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("_trusted").alias("t")).select("bucket", "n", "t")
