@@ -25,7 +25,9 @@ GRAM = 24
 #: Bytes that are looked at at once; longer documents are looked at in parts that overlap by LENGTH - 1.
 PART = 1 << 21
 #: Contexts of one anchor that one task sorts; an anchor with more is split by strings.
-MOST_CONTEXTS = 5000
+MOST_CONTEXTS = 2000
+#: Bytes of contexts after which a task sorts what it has, at the next anchor.
+BATCH = 1 << 19
 
 
 def grams(raw: np.ndarray, size: int) -> np.ndarray:
@@ -185,7 +187,7 @@ def sorted_runs(rows: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
         for batch in batches:
             for h, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if h != last and size > 1 << 20:
+                if h != last and size > BATCH:
                     yield made(held)
                     held, size = [], 0
                 held.append(tuple(row))
@@ -204,14 +206,17 @@ def string_runs(rows: DataFrame, length: int) -> DataFrame:
     """The same for anchors of very many contexts: strings meet by two hashes, counted before they are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, th, start, ctx in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = np.frombuffer(ctx, np.uint8)
-                n = len(raw) - length + 1
-                q = length // 4
-                g = grams(raw, q)
-                x = mixed(mixed(g[:n] + mixed(g[q : q + n])) + mixed(mixed(g[2 * q : 2 * q + n]) + np.uint64(3) + g[3 * q : 3 * q + n]))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, th)), pa.array(start + np.arange(n))], ["x", "doc_id", "th", "start"])
+        q = length // 4
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for doc, th, start, ctx in zip(*(whole.slice(at, 500).column(k).to_pylist() for k in range(4)), strict=True):
+                    g = grams(np.frombuffer(ctx, np.uint8), q)
+                    n = len(ctx) - length + 1
+                    x = mixed(mixed(g[:n] + mixed(g[q : q + n])) + mixed(mixed(g[2 * q : 2 * q + n]) + np.uint64(3) + g[3 * q : 3 * q + n]))
+                    for column, values in zip(out, (x.view(np.int64), np.full(n, doc), np.full(n, th), start + np.arange(n)), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["x", "doc_id", "th", "start"])
 
     strings = written(rows.select("doc_id", "th", "start", "ctx").mapInArrow(run, "x bigint, doc_id bigint, th bigint, start bigint"), "suffix-strings")
     first = strings.groupBy("x").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "first")
