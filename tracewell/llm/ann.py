@@ -68,7 +68,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 24, share: float = 0.55, least: int = 4000, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 16, share: float = 0.6, least: int = 4000, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a Column over ``vec_id``) holds, the ``k``
     other rows of largest inner product found, nearest first, ties to the smaller id.
 
@@ -104,7 +104,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 24, share
     blocks = np.maximum(1, -(-counts // block))
 
     def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for whole, at in ((f, at) for f in frames for at in range(0, len(f), 8)):
+            f = whole.iloc[at : at + 8]
             out = [(q, v, c, s) for q, v in zip(f.vec_id, f.v, strict=True) for c in cells_for(np.asarray(v), *books, kinds, enough) for s in range(blocks[c])]
             yield pd.DataFrame(out, columns=["query_id", "q", "cell", "block"])
 
