@@ -101,7 +101,11 @@ class WordBpe:
             word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
         ids: list[int] = []
         pieces = self._pieces
-        for piece in [word] if word.isalpha() and word.isascii() else self.PIECES.findall(word):
+        if word.isascii() and word[:-1].isalpha() and not word[-1].isdigit():  # letters, or letters and one sign
+            split = [word] if word[-1].isalpha() else [word[:-1], word[-1]]
+        else:
+            split = self.PIECES.findall(word)
+        for piece in split:
             if (found := pieces.get(piece)) is None:
                 raw = piece.encode("utf-8")
                 inner = self.inner

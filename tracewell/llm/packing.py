@@ -154,14 +154,17 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end: int =
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d.as_py(), i.as_py()) for b in batches for d, i in zip(b.column(0), b.column(1), strict=True))
-        names, kept = [*SCHEMA.names, *(["ids"] if with_ids else [])], []
+        kept: list[tuple] = []
         for piece in fill(rows, size, TaskContext.get().partitionId() << 40, with_ids):
             kept.append(piece)
             if len(kept) == 4000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, p, strict=True)) for p in kept], schema=schema)
+                yield made(kept)
                 kept = []
         if kept:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, p, strict=True)) for p in kept], schema=schema)
+            yield made(kept)
+
+    def made(pieces: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
 
     schema = pa.schema([*SCHEMA, *([pa.field("ids", pa.binary())] if with_ids else [])])
     rows = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id bigint, curve bigint, ids binary"), "packing")
