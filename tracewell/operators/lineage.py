@@ -32,14 +32,15 @@ def edges(nodes: DataFrame) -> DataFrame:
 def reach(edge: DataFrame, depth: int = 10) -> DataFrame:
     """(topology, u, v, hops): v can be reached from u, the shortest way taking ``hops`` edges, ``depth`` at most.
 
-    Each of the steps joins the last step's new pairs with the edges; paths of the dataflow have 7 edges at most.
+    Paths of the dataflow have 7 edges at most, and a graph's size doesn't grow with the runs that share it.
     """
-    one = edge.select("topology", "u", "v").distinct()
-    step, out = one.withColumn("hops", F.lit(1)), one.withColumn("hops", F.lit(1))
-    for k in range(2, depth + 1):
-        step = step.join(one.select("topology", F.col("u").alias("v"), F.col("v").alias("w")), ["topology", "v"]).select("topology", "u", F.col("w").alias("v")).distinct().withColumn("hops", F.lit(k))
-        out = out.unionByName(step)
-    return out.groupBy("topology", "u", "v").agg(F.min("hops").alias("hops"))
+    return edge.sparkSession.sql(
+        """WITH RECURSIVE c(topology, u, v, hops) AS (
+             SELECT topology, u, v, 1 FROM {edge} UNION ALL
+             SELECT c.topology, c.u, e.v, c.hops + 1 FROM c JOIN {edge} e ON e.topology = c.topology AND e.u = c.v WHERE c.hops < {depth})
+           SELECT topology, u, v, min(hops) AS hops FROM c GROUP BY topology, u, v""",
+        edge=edge.select("topology", "u", "v").distinct(), depth=depth,
+    )
 
 
 def descendants(closure: DataFrame, node_id: str) -> DataFrame:
@@ -58,14 +59,14 @@ def impact(closure: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
 
 def simple_paths(edge: DataFrame, source: str, target: str, cutoff: int = 10) -> DataFrame:
     """(topology, path) of all ways from source to target with ``cutoff`` edges at most; none for unknown names."""
-    one = edge.select("topology", F.col("u").alias("last"), F.col("v").alias("next")).distinct()
-    step = one.where(F.col("last") == source).select("topology", F.array("last", "next").alias("path"), F.col("next").alias("last"))
-    out = step
-    for _ in range(cutoff - 1):
-        step = step.where(F.col("last") != target).join(one, ["topology", "last"]).where(~F.array_contains("path", F.col("next")))
-        step = step.select("topology", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"))
-        out = out.unionByName(step)
-    return out.where(F.col("last") == target).select("topology", "path")
+    return edge.sparkSession.sql(
+        """WITH RECURSIVE c(topology, last, path, hops) AS (
+             SELECT topology, v, array(u, v), 1 FROM {edge} WHERE u = {source} UNION ALL
+             SELECT c.topology, e.v, array_append(c.path, e.v), c.hops + 1 FROM c JOIN {edge} e ON e.topology = c.topology AND e.u = c.last
+             WHERE c.hops < {cutoff} AND c.last <> {target} AND NOT array_contains(c.path, e.v))
+           SELECT topology, path FROM c WHERE last = {target}""",
+        edge=edge.select("topology", "u", "v").distinct(), source=source, target=target, cutoff=cutoff,
+    )
 
 
 def trace_completeness(closure: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -88,12 +88,12 @@ def placed(scores: DataFrame, targets: DataFrame, nodes: DataFrame, closure: Dat
 def walked(at: DataFrame, transition: DataFrame, restart: DataFrame, gamma: float, steps: int = STEPS) -> DataFrame:
     """(run_id, node_id, r): the walk with restart's fixed point, sum of gamma (1 - gamma)^k P^k e. On a graph without
     cycles P^k is zero beyond the longest path, so that many joins with the edges are all there is."""
-    mass = restart.select("run_id", "node_id", F.col("e").alias("x"))
-    total = mass.select("run_id", "node_id", (F.col("x") * gamma).alias("r"))
-    for k in range(1, steps):
-        mass = mass.withColumnRenamed("node_id", "frm").join(transition, ["run_id", "frm"]).groupBy("run_id", F.col("to").alias("node_id")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
-        total = total.unionByName(mass.select("run_id", "node_id", (F.col("x") * gamma * (1 - gamma) ** k).alias("r")))
-    return total.groupBy("run_id", "node_id").agg(F.sum("r").alias("r"))
+    start = restart.select("run_id", "node_id", (F.col("e") * gamma).alias("r"))
+    r = start
+    for _ in range(1, steps):
+        moved = r.withColumnRenamed("node_id", "frm").join(transition, ["run_id", "frm"]).select("run_id", F.col("to").alias("node_id"), (F.col("r") * F.col("p") * (1 - gamma)).alias("r"))
+        r = start.unionByName(moved).groupBy("run_id", "node_id").agg(F.sum("r").alias("r"))
+    return r
 
 
 def restarts(at: DataFrame, use_scores: bool) -> DataFrame:

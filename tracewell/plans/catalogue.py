@@ -40,24 +40,25 @@ def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataflow.node_series(*frames(spark, sf_dir))
+    """Every node's series; kept while a query runs, since each signal reads it again."""
+    return dataflow.node_series(*frames(spark, sf_dir)).persist()
 
 
 def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = topology.nodes(spark, "market")
     e = lineage.edges(n)
-    return n, e, lineage.reach(e)
+    return n, e, lineage.reach(e).persist()  # some thousand rows
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = topology.nodes(spark, "market")
-    return detect.fused(detect.signals(series(spark, sf_dir), n), n)
+    return detect.fused(detect.signals(series(spark, sf_dir), n), n).persist()  # a row for each run and node
 
 
 def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e, c = graph(spark)
     s = scored(spark, sf_dir)
-    at = rank.placed(s, rank.select_target(s, n, c), n, c)
+    at = rank.placed(s, rank.select_target(s, n, c), n, c).persist()
     return at, n, e
 
 
