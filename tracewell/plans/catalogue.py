@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dataflow, detect, evaluate, faults, lineage, rank
 from ..sources import market, topology
+from ..sources.scratch import kept
 from .oracle import nodes_sql, sql
 
 FLAGSHIP = "fused_score"
@@ -40,25 +41,25 @@ def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node's series; kept while a query runs, since each signal reads it again."""
-    return dataflow.node_series(*frames(spark, sf_dir)).persist()
+    """Every node's series, written once since each signal reads it again."""
+    return kept(dataflow.node_series(*frames(spark, sf_dir)), "series")
 
 
 def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = topology.nodes(spark, "market")
     e = lineage.edges(n)
-    return n, e, lineage.reach(e).persist()  # some thousand rows
+    return n, e, kept(lineage.reach(e), "closure")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = topology.nodes(spark, "market")
-    return detect.fused(detect.signals(series(spark, sf_dir), n), n).persist()  # a row for each run and node
+    return kept(detect.fused(detect.signals(series(spark, sf_dir), n), n), "scores")
 
 
 def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e, c = graph(spark)
     s = scored(spark, sf_dir)
-    at = rank.placed(s, rank.select_target(s, n, c), n, c).persist()
+    at = kept(rank.placed(s, rank.select_target(s, n, c), n, c), "placed")
     return at, n, e
 
 
