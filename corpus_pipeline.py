@@ -17,7 +17,9 @@ from tracewell.llm.common import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     weights = quality_rules.weights(docs, quality_rules.trusted_ids(spark, sf_dir))
-    return quality_rules.judge(docs, weights).where("_kept").select(*docs.columns)
+    # numbered rows keep the filter above the verdict's steps; pushed below them, it would work each out many times over
+    judged = quality_rules.judge(docs, weights).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("_kept and _row >= 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
