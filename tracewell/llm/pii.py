@@ -186,30 +186,57 @@ def best(table: list, weights: np.ndarray, margin: float) -> list[tuple[int, int
     return out[::-1]
 
 
+class Sample:
+    """Regions with their gold segments, laid out so that one step of the sums takes the same word of all regions.
+
+    Regions are ranked by length, longest first, so those that reach word j are the first ``active[j]``. Sums at word t
+    are an array for the regions of t words or more.
+    """
+
+    def __init__(self, seen: list[tuple[list, set[tuple[int, int, int]]]]):
+        ranked = sorted((s for s in seen if s[0]), key=lambda s: -len(s[0]))
+        lengths = np.array([len(table) for table, _ in ranked], np.int64)
+        self.active = [int((lengths > j).sum()) for j in range(int(lengths.max(initial=0)))]
+        self.first = np.concatenate([[0], np.cumsum([len(ranked), *self.active])]).astype(np.int64)
+        rows, at, held, gold = [], [], [], []
+        for rank, (table, marked) in enumerate(ranked):
+            for j, here in enumerate(table):
+                for i, f in here:
+                    at += [len(rows)] * len(f)
+                    held += f
+                    rows.append((rank, i, j))
+                    gold.append([(i, j, k) in marked for k in range(len(KINDS))])
+        self.rank, self.i, self.j = np.array(rows, np.int64).reshape(-1, 3).T
+        self.gold = np.array(gold, bool).reshape(-1, len(KINDS))
+        self.counts = np.zeros((len(rows), len(FEATURES)))
+        np.add.at(self.counts, (np.array(at, np.int64), np.array(held, np.int64)), 1)
+
+    def gradient(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log likelihood of the gold segments, and its gradient, by forward and backward sums over all segmentations."""
+        each, active, n = self.counts @ weights.T, self.active, len(self.active)
+        sums = np.full((int(self.first[-1]), MAX_WORDS), -np.inf)  # by last word and number of words before it
+        sums[self.first[self.j + 1] + self.rank, self.j - self.i] = np.logaddexp.reduce(each, axis=1)
+        ending = [sums[self.first[j + 1] : self.first[j + 2]] for j in range(n)]
+        forward = [np.zeros(int(self.first[1]) if n else 0)]
+        for j in range(n):
+            terms = [forward[j - k][: active[j]] + ending[j][:, k] for k in range(min(MAX_WORDS, j + 1))]
+            forward.append(np.logaddexp.reduce([forward[j][: active[j]], *terms]))
+        backward = [np.zeros(len(f)) for f in forward]
+        for i in range(n - 1, -1, -1):
+            total = backward[i + 1].copy()
+            for k in range(min(MAX_WORDS, n - i)):
+                on = active[i + k]
+                total[:on] = np.logaddexp(total[:on], backward[i + k + 1] + ending[i + k][:, k])
+            backward[i][: active[i]] = total
+        whole, before, after = backward[0], np.concatenate(forward), np.concatenate(backward)
+        around = before[self.first[self.i] + self.rank] + after[self.first[self.j + 1] + self.rank] - whole[self.rank]
+        p = np.exp(each + around[:, None])
+        return float(each[self.gold].sum() - whole.sum()), (self.gold - p).T @ self.counts
+
+
 def gradient(table: list, gold: set[tuple[int, int, int]], weights: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log likelihood of the gold segments, and its gradient, by forward and backward sums over all segmentations."""
-    n = len(table)
-    each = {(i, j): weights[:, f].sum(axis=1) for j, here in enumerate(table) for i, f in here}
-    forward = np.zeros(n + 1)
-    for j, here in enumerate(table):
-        forward[j + 1] = np.logaddexp.reduce([forward[j], *(forward[i] + s for i, _ in here for s in each[i, j])])
-    backward = np.zeros(n + 1)
-    starts: dict[int, list] = {}
-    for j, here in enumerate(table):
-        for i, _ in here:
-            starts.setdefault(i, []).append(j)
-    for i in range(n - 1, -1, -1):
-        backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[j + 1] + s for j in starts.get(i, ()) for s in each[i, j])])
-    value, grad = -forward[n], np.zeros_like(weights)
-    for j, here in enumerate(table):
-        for i, f in here:
-            p = np.exp(forward[i] + each[i, j] + backward[j + 1] - forward[n])
-            for k in range(len(KINDS)):
-                g = ((i, j, k) in gold) - p[k]
-                if (i, j, k) in gold:
-                    value += each[i, j][k]
-                np.add.at(grad[k], f, g)
-    return value, grad
+    """The same of one region."""
+    return Sample([(table, gold)]).gradient(weights)
 
 
 def _disguised(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
@@ -238,6 +265,8 @@ def fit(texts: list[str], rounds: int = 30, rate: float = 1.0, decay: float = 1e
     weights[:, 0] = -3.0
     seen: list[tuple[list, set]] = [(segments(t, run), set()) for t in DECOYS for run in regions(t)] * 6
     for text in texts:
+        if len(seen) >= MAX_REGIONS:
+            break
         spans = base_spans(text)
         for t, marked in ((text, spans), _disguised(text, spans)):
             where = {(a, b): KINDS.index(k) for k, a, b in marked}
@@ -245,9 +274,9 @@ def fit(texts: list[str], rounds: int = 30, rate: float = 1.0, decay: float = 1e
                 table = segments(t, run)
                 seen.append((table, {(i, j, where[run[i][0], run[j][1]]) for j, here in enumerate(table) for i, _ in here if (run[i][0], run[j][1]) in where}))
     seen = seen[:MAX_REGIONS]
+    sample = Sample(seen)
     for r in range(rounds):
-        grad = sum((gradient(t, gold, weights)[1] for t, gold in seen), np.zeros_like(weights))
-        weights += rate / (1 + 0.1 * r) * (grad / len(seen) * 20 - decay * weights)
+        weights += rate / (1 + 0.1 * r) * (sample.gradient(weights)[1] / len(seen) * 20 - decay * weights)
     return weights
 
 
