@@ -150,6 +150,24 @@ def test_quality_ratio_equals_brute_force(spark):
     assert got[0].llr > 0 > got[9].llr
 
 
+def test_clean_texts_of_a_language_that_is_trusted_less_are_kept(spark):
+    rng = random.Random(5)
+    rows, clean, trusted = [], set(), set()
+    # texts that are good, of these trusted, and junk
+    for lang, good, known, bad in (("en", 200, 160, 30), ("de", 200, 80, 30), (None, 60, 40, 10), ("fi", 20, 0, 20)):
+        for k in range(good + bad):
+            d = len(rows)
+            rows.append((d, " ".join(f"{lang}{'junk' * (k >= good)}{rng.randrange(40)}" for _ in range(400)), lang))
+            clean |= {d} if k < good else set()
+            trusted |= {d} if k < known else set()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, spark.createDataFrame([(d,) for d in trusted], "doc_id bigint")).collect()}
+    want = brute.quality_scores(rows, trusted, quality_rules.PRIOR, quality_rules.BUCKETS)
+    assert all(got[d].llr == pytest.approx(want[d], abs=1e-8) for d, _, _ in rows)
+    assert {d for d, _, lang in rows if got[d].kept} == clean | {d for d, _, lang in rows if lang == "fi"}
+    assert {got[d].llr for d, _, lang in rows if lang == "fi"} == {0.0}
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(1)
     cases = ["".join(rng.choices("ab1.2@9+- ()4", k=rng.randint(1, 60))) for _ in range(3000)] + ["4111 1111 1111 1111, +1 (428) 555-5743 x.y@z.example.com 10.0.0.256 1.2.3.4.5.6.7.8", "a" * 5000 + "@", "1" * 5000]

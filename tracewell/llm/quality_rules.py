@@ -1,15 +1,15 @@
 """Quality rules: base counts, and the log-likelihood ratio of hashed n-grams under a trusted and a raw corpus.
 
-Words and pairs of neighbouring words are hashed to a fixed number of buckets. Bucket counts over the trusted texts
-and over all texts give two smoothed multinomials; a document's score is the sum of log ratios over its n-grams divided
-by their number, and it is kept if that reaches the threshold. All on the JVM side; only the bucket weights (a fixed
-number) come to the driver.
+Words and pairs of neighbouring words are hashed to a fixed number of buckets. In each language (a null one is a language
+of its own), bucket counts over the trusted texts and over all texts give two smoothed multinomials, so a language's share
+of the trusted text has no say; a document's score is the sum of its language's log ratios over its n-grams divided by
+their number, and it is kept if that reaches the threshold. All on the JVM side; only the bucket counts of languages with
+trusted documents (a fixed number for each) come to the driver.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,41 +73,73 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("_base", F.col("_base").withField("base_failed", (F.col("_base.n_words") < 50) | (100 * F.col("_base.n_repeat_words") > 50 * F.col("_base.n_words"))))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """Log ratio of each bucket's probability among n-grams of the trusted documents (those with an id in ``trusted``)
-    to that among n-grams of all documents. The trusted counts get PRIOR n-grams dealt as in all documents, so that
-    little trusted text gives ratios near 1; a bucket without n-grams has weight 0."""
+def _lang(docs: DataFrame, lang_col: str) -> Column:
+    """The language; null for all rows where there is no such column."""
+    return (F.col(lang_col) if lang_col in docs.columns else F.lit(None)).cast("string")
+
+
+def _place(lang: Column, langs: list[str | None]) -> Column:
+    """Place of ``lang`` in ``langs``, -1 where it has none."""
+    named = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), lang).cast("int") - 1
+    return F.when(lang.isNull(), F.lit(langs.index(None) if None in langs else -1)).otherwise(named)
+
+
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, np.ndarray]:
+    """For each language with trusted documents (those with an id in ``trusted``), the log ratio of each bucket's
+    probability among n-grams of its trusted documents to that among n-grams of all its documents. The trusted counts get
+    PRIOR n-grams dealt as in all documents of the language, so that little trusted text gives ratios near 1; a bucket
+    without n-grams has weight 0."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     if marks.count() <= BROADCAST_IDS:  # else the documents' hashes are shuffled by id
         marks = F.broadcast(marks)
-    rows = _hashes(docs.withColumnRenamed(id_col, "_id"), text_col, ["_id"]).join(marks, "_id", "left")
-    rows = rows.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
-    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("_trusted").alias("t")).select("bucket", "n", "t")
-    n, t = [0] * buckets, [0] * buckets
-    for r in found.collect():  # a row for each bucket at most
-        n[r.bucket], t[r.bucket] = r.n, r.t
-    a, b = sum(n), sum(t)
-    return [math.log((y + PRIOR * x / a) / (b + PRIOR)) - math.log(x / a) if x else 0.0 for x, y in zip(n, t, strict=True)]
-
-
-def judge(docs: DataFrame, bucket_weights: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base``, ``_score`` (mean log ratio; 0 without words) and ``_kept``."""
-    table = F.split(F.lit(",".join(map(repr, bucket_weights))), ",").cast("array<double>")  # folded to one literal
-    out = base_counts(docs, text_col).withColumn("_grams", _grams(F.col("_base.hashes"), len(bucket_weights)))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(table, g))
-    out = out.withColumn("_score", F.round(total / F.greatest(F.size("_grams"), F.lit(1)), 9)).drop("_grams")
+    docs = docs.select(F.col(id_col).alias("_id"), _lang(docs, lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    langs = [r[0] for r in docs.join(marks, "_id", "left_semi").select("_lang").distinct().collect()]
+    if not langs:
+        return {}
+    docs = docs.withColumn("_place", _place(F.col("_lang"), langs)).where("_place >= 0")
+    rows = _hashes(docs, "_text", ["_id", "_place"]).join(marks, "_id", "left")
+    rows = rows.select("_place", F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
+    found = rows.groupBy("_place", "bucket").agg(F.count("*").alias("n"), F.sum("_trusted").alias("t")).select("_place", "bucket", "n", "t")
+    place, bucket, x, y = (c.to_numpy() for c in found.toArrow().columns)  # a row for each language and bucket at most
+    n, t = np.zeros((len(langs), buckets)), np.zeros((len(langs), buckets))
+    n[place, bucket], t[place, bucket] = x, y
+    out = {}
+    for lang, all_n, own in zip(langs, n, t, strict=True):
+        share = all_n / max(1, all_n.sum())
+        seen = share > 0
+        out[lang] = np.zeros(buckets)
+        out[lang][seen] = np.log((own[seen] + PRIOR * share[seen]) / (own.sum() + PRIOR)) - np.log(share[seen])
+    return out
+
+
+def judge(docs: DataFrame, bucket_weights: dict[str | None, np.ndarray], threshold: float = THRESHOLD, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with ``_base``, ``_score`` (mean log ratio; 0 without words or where the language has no weights) and
+    ``_kept``."""
+    out = base_counts(docs, text_col)
+    if bucket_weights:
+        langs, size = list(bucket_weights), len(next(iter(bucket_weights.values())))
+        table = F.split(F.lit(",".join(map(repr, np.concatenate(list(bucket_weights.values())).tolist()))), ",").cast("array<double>")  # folded to one literal
+        place = _place(_lang(docs, lang_col), langs)
+        out = out.withColumn("_grams", _grams(F.col("_base.hashes"), size))
+        # in an array of one, so that the language is looked up once a document
+        total = F.get(F.transform(F.array(place * size), lambda at: F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(table, at + g))), F.lit(0))
+        score = F.when(place >= 0, F.round(total / F.greatest(F.size("_grams"), F.lit(1)), 9)).otherwise(F.lit(0.0))
+        out = out.withColumn("_score", score).drop("_grams")
+    else:
+        out = out.withColumn("_score", F.lit(0.0))
     return out.withColumn("_kept", ~F.col("_base.base_failed") & (F.col("_score") >= threshold))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr) of every document.
 
     ``trusted`` names the trusted documents by id. A null or empty text has no words, so it fails the base rules. Null
-    ids and repeated rows are judged like others (a null id is never trusted). Other columns are left out. With no
-    trusted document all ratios are even, and an empty table gives none.
+    ids and repeated rows are judged like others (a null id is never trusted). Rows of a null language are judged
+    among themselves; without the column, all rows are. Other columns are left out. In a language with no trusted document
+    all ratios are even, and an empty table gives none.
     """
-    docs = docs.select(id_col, text_col)
-    out = judge(docs, weights(docs, trusted, buckets, id_col, text_col), threshold, text_col)
+    docs = docs.select(id_col, text_col, *{lang_col} & set(docs.columns))
+    out = judge(docs, weights(docs, trusted, buckets, id_col, text_col, lang_col), threshold, text_col, lang_col)
     base = [F.col(f"_base.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return out.select(id_col, *base, F.col("_kept").alias("kept"), F.col("_score").alias("llr"))
 
