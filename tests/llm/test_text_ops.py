@@ -168,6 +168,19 @@ def test_clean_texts_of_a_language_that_is_trusted_less_are_kept(spark):
     assert {got[d].llr for d, _, lang in rows if lang == "fi"} == {0.0}
 
 
+def test_scores_reject_only_beyond_the_prior(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"{'junk' * (k >= 40)}w{rng.randrange(40)}" for _ in range(400)), "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    # 799 n-grams a text: below and above 8,328 trusted ones
+    for known, rejected in ((range(10), set()), (range(30), set(range(40, 60)))):
+        got = {r.doc_id: r for r in quality_rules.quality_rules(docs, spark.createDataFrame([(k,) for k in known], "doc_id bigint")).collect()}
+        want = brute.quality_scores(rows, set(known), quality_rules.PRIOR, quality_rules.BUCKETS)
+        assert all(got[d].llr == pytest.approx(want[d], abs=1e-8) for d, _, _ in rows)
+        assert {d for d in got if not got[d].kept} == {d for d in got if want[d] < quality_rules.THRESHOLD} == rejected
+        assert not any(r.base_failed for r in got.values())
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(1)
     cases = ["".join(rng.choices("ab1.2@9+- ()4", k=rng.randint(1, 60))) for _ in range(3000)] + ["4111 1111 1111 1111, +1 (428) 555-5743 x.y@z.example.com 10.0.0.256 1.2.3.4.5.6.7.8", "a" * 5000 + "@", "1" * 5000]

@@ -18,7 +18,8 @@ _WORD = r"[^\x20\x09-\x0D]"
 BUCKETS = 16384
 #: Ids of trusted documents are broadcast up to this many (16 bytes each).
 BROADCAST_IDS = 2_000_000
-#: N-grams dealt as in all documents that are added to those of the trusted ones.
+#: N-grams dealt as in all documents that are added to those of the trusted ones, in each language. No weight is below
+#: log(PRIOR / (T + PRIOR)) with T trusted n-grams, so at THRESHOLD no text is rejected by score until T is above 8,328.
 PRIOR = 100_000
 #: Least mean log ratio of a kept document.
 THRESHOLD = -0.08
@@ -136,7 +137,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     ``trusted`` names the trusted documents by id. A null or empty text has no words, so it fails the base rules. Null
     ids and repeated rows are judged like others (a null id is never trusted). Rows of a null language are judged
     among themselves; without the column, all rows are. Other columns are left out. In a language with no trusted document
-    all ratios are even, and an empty table gives none.
+    all ratios are even, with up to 8,328 trusted n-grams (at the usual PRIOR and threshold) they reject nothing, so that
+    the base rules alone act, and an empty table gives none.
     """
     docs = docs.select(id_col, text_col, *{lang_col} & set(docs.columns))
     out = judge(docs, weights(docs, trusted, buckets, id_col, text_col, lang_col), threshold, text_col, lang_col)
