@@ -1,8 +1,10 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from tracewell.llm import ann, toxicity
 
@@ -72,3 +74,29 @@ def test_toxic_texts_are_told_apart(spark):
 def test_risk_does_not_go_below_zero():
     w, b = toxicity.fit(["bad bad"] * 20, ["bad good", "good"] * 20, 0.3)
     assert np.isfinite(w).all() and np.isfinite(b)
+
+
+def test_groups_of_queries_and_entries_are_bounded(spark, tmp_path, monkeypatch):
+    apply = PandasCogroupedOps.applyInPandas
+    folder = str(tmp_path)
+
+    def noted(self, f, schema):
+        def g(key, asked, held):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(f"{len(asked)} {len(held)}")
+            return f(key, asked, held)
+
+        return apply(self, g, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", noted)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 50, raising=False)
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(docs, F.col("vec_id") % 2 == 0, k=5, centroids=2, block=60).toPandas()
+    sizes = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert max(a for a, _ in sizes) <= 100 and max(b for _, b in sizes) <= 120
+    assert len(got) == 5 * 300
+    for q, rows in got.groupby("query_id"):
+        near = x @ x[q]
+        near[q] = -np.inf
+        assert rows.sort_values("rank").vec_id.tolist() == np.argsort(-near)[:5].tolist()

@@ -3,7 +3,8 @@
 Two codebooks quantise the two halves of every vector; a cell is a pair of centroids. For a query, pairs are taken from
 a heap in order of summed nearness of the halves until the cells taken hold enough entries; queries and entries meet
 by cell, entries are rescored with the original vectors, and each query keeps its best. Cells are split into blocks of
-bounded size, so a value that a third of all rows share is many blocks, each answered on its own.
+bounded size, so a value that a third of all rows share is many blocks, each answered on its own. Queries are dealt into
+blocks as well, and every block of a cell meets every block of queries in a group of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SAMPLE, BLOCK = 10_000, 2_000
+#: Queries that meet a block of a cell at once, about.
+QUERY_BLOCK = 10_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -103,15 +106,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 16, share
     enough = max(least, int(share * kinds.sum()))
     blocks = np.maximum(1, -(-counts // block))
 
+    asking = rows.where(is_query)
+    parts = max(1, -(-asking.count() // QUERY_BLOCK))
+
     def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole, at in ((f, at) for f in frames for at in range(0, len(f), 8)):
             f = whole.iloc[at : at + 8]
-            out = [(q, v, c, s) for q, v in zip(f.vec_id, f.v, strict=True) for c in cells_for(np.asarray(v), *books, kinds, enough) for s in range(blocks[c])]
-            yield pd.DataFrame(out, columns=["query_id", "q", "cell", "block"])
+            out = [(q, v, c, s, p) for q, v, p in zip(f.vec_id, f.v, f.part, strict=True) for c in cells_for(np.asarray(v), *books, kinds, enough) for s in range(blocks[c])]
+            yield pd.DataFrame(out, columns=["query_id", "q", "cell", "block", "part"])
 
-    queries = rows.where(is_query).mapInPandas(wanted, "query_id bigint, q array<double>, cell bigint, block bigint")
+    dealt = F.xxhash64("vec_id", "v")
+    queries = asking.withColumn("part", F.pmod(dealt, F.lit(parts))).mapInPandas(wanted, "query_id bigint, q array<double>, cell bigint, block bigint, part bigint")
     n_blocks = F.get(F.lit(blocks.tolist()).cast("array<bigint>"), F.col("cell").cast("int"))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks))
+    entries = entries.withColumn("block", F.pmod(dealt, n_blocks)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
 
     def best(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
@@ -129,7 +136,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 16, share
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near[top]], "score": exact[top]}))
         return pd.concat(out)
 
-    found = queries.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+    found = queries.groupBy("cell", "block", "part").cogroup(entries.groupBy("cell", "block", "part")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
