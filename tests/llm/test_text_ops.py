@@ -263,3 +263,54 @@ def test_url_filter_without_list_or_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filters.judge(none, none.select("url")).count() == 0
     assert isinstance(url_filters.judge(none, none.select("url")).schema, T.StructType)
+
+
+def test_pairs_of_near_copies_grow_with_the_rows(spark, monkeypatch):
+    """Groups of near copies of one text, most of them too far changed to be alike: twice the rows, about twice the pairs."""
+    rng = random.Random(8)
+    base = sentence(rng, 200).split()
+    counted = []
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest, was=ngram_join.verified: (counted.append(pairs.count()), was(pairs, *rest))[1])
+    total = {}
+    for m in (100, 200):
+        rows = []
+        for k in range(m):
+            own = list(base)
+            for place in rng.sample(range(len(own)), k % 8):
+                own[place] = f"w{rng.randrange(10**6)}"
+            rows.append((k, " ".join(own)))
+        got = {tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()}
+        assert got == set(brute.groups(rows, 5, 80))
+        total[m] = sum(counted)
+        counted.clear()
+    assert total[200] <= 3 * total[100] and total[200] < 200 * 20
+
+
+def test_word_hashes_stand_for_words():
+    import pyarrow as pa
+
+    from tracewell.llm import common
+
+    rng = random.Random(1)
+    texts = [None, "", "  ", "a", "A b", "x" * 5000, "y" * 3000 + " z" * 3000] + ["".join(rng.choices("ab C\n\té한", k=rng.randint(0, 60))) for _ in range(500)]
+    known = {}
+    for width in (1, 3, 5):
+        for text, found in zip(texts[1:], common.shingle_sets(pa.array(texts).slice(1), width), strict=True):
+            want = brute.shingle_set(text, width)
+            assert len(want) == len(found) and (found[1:] > found[:-1]).all()
+            assert known.setdefault((width, frozenset(found.tolist())), want) == want
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from tracewell.llm import common
+
+    text = pa.array(["one two three four five six", "x" * 50 + " three four five six"])
+    want = [x.tolist() for x in common.shingle_sets(text, 3)]
+    for size in (7, 16):
+        monkeypatch.setattr(common, "SLICE", size)
+        common._powers.cache_clear()
+        assert [x.tolist() for x in common.shingle_sets(text, 3)] == want
+    common._powers.cache_clear()

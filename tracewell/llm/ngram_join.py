@@ -2,14 +2,19 @@
 
 Rows with equal sets form a class. Each class's shingles are put in one order for all, rare first by a sketch of
 counts; by prefix filtering, classes that are alike share one of the first few. Classes meet on these, pass filters on
-length, position and suffix (counts of the shingles after the shared one, by hash range), and each pair that is left is
-verified once on whole sets. Classes that share a shingle first meet the least of them; only then do those that are
-still in other groups meet each other, so that a large group of near copies doesn't meet in all pairs.
+length, position and suffix (counts of the shingles after the shared one by hash range, and parities of the whole
+sets), and each pair that is left is verified once on whole sets.
+
+Classes that share a shingle meet in rounds. In each round a shingle has one centre, drawn anew for each shingle and
+round, and the others meet it alone; links join groups, and classes of one group don't meet again. So a large group of
+near copies is joined by as many pairs as it has rows. Only classes that are in different groups after that meet each
+other, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +22,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shingles, written
+from .common import components, forget, shingle_sets, written
 
 #: The sketch of shingle counts has 2**SKETCH_BITS cells of one byte, whatever the input; it only orders shingles.
 SKETCH_BITS, SLICES = 22, 64
 #: Bits of the filter that leaves out documents that are in no pair before their sets are made.
 PICK_BITS = 23
 RANGES = 8
+#: Longs that hold the parities of a set's shingles by hash range, 64 ranges each.
+PARITIES = 4
+#: Rounds in which classes meet the centres of their shingles before those still apart meet in blocks of BLOCK.
+ROUNDS, BLOCK = 2, 1000
+#: Prefix rows that are put in one batch for Spark, about.
+ROWS = 50_000
 
 
 def _signed(x: int) -> int:
@@ -36,42 +47,40 @@ def set_key(hashes: np.ndarray) -> int:
     return _signed((int(hashes.sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(hashes)) * 31 + len(hashes)))
 
 
-def class_of(width: int):
-    """A function of a text column: the key of its shingle set, null without words."""
-
-    def key(text: str | None) -> int | None:
-        hashes = shingles(text, width)
-        return set_key(hashes) if len(hashes) else None
-
-    return F.udf(key, "bigint", useArrow=True)
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of 64 * PARITIES hash ranges: whether the set has an odd number of hashes there. The number of bits
+    that differ is at most the number of hashes that only one of two sets has."""
+    odd = np.bincount((hashes >> np.uint64(64 - 6 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, cls, slice, counts): a row for each of ``docs(doc_id, text)`` (cls null without words), and each
-    task's counts of shingles by hash cell, in slices."""
+    """(doc_id, n, cls, odd0.., slice, counts): a row for each of ``docs(doc_id, text)`` (cls null without words) with
+    its set's parities, and each task's counts of shingles by hash cell, in slices."""
     cells = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.uint16)
         for batch in batches:
-            n, keys = [], []
-            for value in batch.column(1):
-                hashes = shingles(value.as_py(), width)
+            n, keys, odd = [], [], []
+            for hashes in shingle_sets(batch.column(1), width):
                 n.append(len(hashes))
                 keys.append(set_key(hashes) if len(hashes) else None)
+                odd.append(parities(hashes))
                 cell = (hashes & np.uint64(cells - 1)).astype(np.int64)
-                cell = np.unique(cell)
-                counts[cell] += counts[cell] < 65535
+                counts[cell] += counts[cell] < 65535  # a document's cells count once each
+            bits = np.frombuffer(b"".join(odd), np.int64).reshape(-1, PARITIES)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(PARITIES)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         packed = zstandard.ZstdCompressor(level=1)
         none = pa.nulls(1, pa.int64())
         for k, part in enumerate(np.split(counts, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([packed.compress(part.tobytes())])], names)
+                yield pa.RecordBatch.from_arrays([none] * (3 + PARITIES) + [pa.array([k], pa.int32()), pa.array([packed.compress(part.tobytes())])], names)
 
-    names = ["doc_id", "n", "cls", "slice", "counts"]
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, slice int, counts binary")
+    odds = [f"odd{k}" for k in range(PARITIES)]
+    names = ["doc_id", "n", "cls", *odds, "slice", "counts"]
+    return docs.mapInArrow(run, f"doc_id bigint, n bigint, cls bigint, {', '.join(f'{o} bigint' for o in odds)}, slice int, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -97,44 +106,53 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
     that are alike share one. ``suffix`` has the number of shingles after this one (255 at most) in each of 8 ranges."""
     held = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
     shifts = np.arange(0, 64, 8, dtype=np.uint64)
+    names = ["key", "cls", "n", "pos", "suffix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for value in batch.column(0):
-                hashes = shingles(value.as_py(), width)
+            rows = 0
+            for hashes in shingle_sets(batch.column(0), width):
                 n = len(hashes)
                 if not n:
                     continue
-                key = set_key(hashes)
                 order = np.argsort(level[(hashes & np.uint64(len(level) - 1)).astype(np.int64)], kind="stable")  # hashes are sorted: ties by hash
                 take = n - -(-n * percent // 100) + 1
                 ordered = hashes[order]
                 ranges = (ordered >> np.uint64(61)).astype(np.int64)
-                total = np.bincount(ranges, minlength=RANGES)
                 gone = np.zeros((take, RANGES), np.int64)
                 gone[np.arange(take), ranges[:take]] = 1
-                rest = np.minimum(total - gone.cumsum(axis=0), 255).astype(np.uint64)
+                rest = np.minimum(np.bincount(ranges, minlength=RANGES) - gone.cumsum(axis=0), 255).astype(np.uint64)
                 out[0].append(ordered[:take].view(np.int64))
-                out[1].append(np.full(take, key))
+                out[1].append(np.full(take, set_key(hashes)))
                 out[2].append(np.full(take, n, np.int32))
                 out[3].append(np.arange(take, dtype=np.int32))
                 out[4].append((rest << shifts).sum(axis=1, dtype=np.uint64).view(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "cls", "n", "pos", "suffix"])
+                rows += take
+                if rows > ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+                    out, rows = [[], [], [], [], []], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     return docs.select("text").mapInArrow(run, "key bigint, cls bigint, n int, pos int, suffix bigint")
 
 
+def _need(n1: Column, n2: Column, percent: int) -> Column:
+    """Least number of shingles that alike sets of these sizes share."""
+    return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
+
+
 def _may_link(percent: int) -> Column:
     """Length, positional and suffix filters for rows a and b of one key. They hold for the first shingle that two
     sets share, so that a pair is left out only if none of its rows passes."""
     n1, n2, p = F.col("a.n"), F.col("b.n"), percent
-    need = F.ceil(F.lit(p) * (n1 + n2) / F.lit(100.0 + p) - 1e-9)
+    need = _need(n1, n2, p)
     rest1, rest2 = n1 - F.col("a.pos") - 1, n2 - F.col("b.pos") - 1
     apart = sum(F.abs(F.shiftrightunsigned("a.suffix", 8 * k).bitwiseAND(255) - F.shiftrightunsigned("b.suffix", 8 * k).bitwiseAND(255)) for k in range(RANGES))
-    return (100 * F.least(n1, n2) >= p * F.greatest(n1, n2)) & (1 + F.least(rest1, rest2) >= need) & (2 + rest1 + rest2 - apart >= 2 * need)
+    odd = sum(F.bit_count(F.col(f"a.odd{k}").bitwiseXOR(F.col(f"b.odd{k}"))) for k in range(PARITIES))
+    return (100 * F.least(n1, n2) >= p * F.greatest(n1, n2)) & (1 + F.least(rest1, rest2) >= need) & (2 + rest1 + rest2 - apart >= 2 * need) & (n1 + n2 - odd >= 2 * need)
 
 
 def _pick(ids: DataFrame) -> bytes:
@@ -147,39 +165,100 @@ def _pick(ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` (classes) whose whole sets are alike. Only the sets of classes in pairs are made, each
-    from its first document."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("doc_id").alias("id"))
-    held = docs.sparkSession.sparkContext.broadcast(_pick(ids))
+def class_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cls, shingles): the sets of ``classes(cls, doc_id)``, each from the first document of the class."""
+    held = docs.sparkSession.sparkContext.broadcast(_pick(classes.select(F.col("doc_id").alias("id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint64)
         for batch in batches:
             cell = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero((bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1))
-            keys, raw = [], []
-            for k in keep:
-                hashes = shingles(batch.column(1)[int(k)].as_py(), width)
+            keys, made, size = [], [], 0
+            for hashes in shingle_sets(batch.column(1).take(pa.array(keep)), width):
                 if len(hashes):
                     keys.append(set_key(hashes))
-                    raw.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], ["cls", "raw"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    made.append(hashes.view(np.int64))
+                    size += len(hashes)
+                if size > ROWS:
+                    yield batched(keys, made)
+                    keys, made, size = [], [], 0
+            if keys:
+                yield batched(keys, made)
+
+    def batched(keys: list[int], made: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["cls", "shingles"])
 
     rows = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).alias("cell"), "text")
-    made = rows.mapInArrow(sets, "cls bigint, raw binary").dropDuplicates(["cls"])
-    made = written(made, "ngram-sets")
-    both = pairs.join(made.select(F.col("cls").alias("a"), F.col("raw").alias("x")), "a").join(made.select(F.col("cls").alias("b"), F.col("raw").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"), "ngram-links")
+    made = rows.mapInArrow(sets, "cls bigint, shingles array<bigint>").join(classes.select("cls"), "cls", "left_semi")
+    return written(made.dropDuplicates(["cls"]), "ngram-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` (classes) whose whole sets are alike."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
+    return written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "ngram-links")
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str], ok: Column, known: list[DataFrame]) -> DataFrame:
+    """Pairs of classes (a < b) that meet on ``keys`` in different groups, pass the filters and are not among ``known``."""
+    met = a.alias("a").join(b.alias("b"), keys).where((F.col("a.root") != F.col("b.root")) & ok)
+    new = met.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
+    for before in known:
+        new = new.join(before, ["a", "b"], "left_anti")
+    return written(new, "ngram-pairs")
+
+
+def _rooted(live: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``live`` with its classes' groups."""
+    if groups is None:
+        return live.withColumn("root", F.col("cls"))
+    return live.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, main, n_rows): keys with classes of several groups, the group of most of its rows, and their number."""
+    by_group = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    return by_group.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.sum("c").alias("n_rows"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+
+
+def linked(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of the classes of ``live`` (key, cls, n, pos, suffix, parities) that have links; None without any.
+
+    After the rounds, rows outside their key's largest group meet all rows of other groups, every block of rows every
+    other block in a group of its own.
+    """
+    ok = _may_link(percent)
+    links: list[DataFrame] = []
+    known: list[DataFrame] = []
+    groups, rows, last = None, _rooted(live, None), False
+    while not last:
+        last = len(known) == ROUNDS or len(known) > len(links)  # a round without links is the last one
+        keys = written(_open(rows), "ngram-open")
+        opened = rows.join(keys, "key")
+        if not last:
+            mask = F.xxhash64("key", F.lit(len(known)))  # the centre is the class whose key is nearest to a number drawn for the shingle
+            centre = opened.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(mask)).alias("least"))
+            centres = opened.join(centre.select("key", F.col("least").bitwiseXOR(mask).alias("cls")), ["key", "cls"])
+            new = _pairs(opened, centres, ["key"], ok, known)
+        else:
+            blocks = F.ceil(F.col("n_rows") / BLOCK)
+            i = F.pmod(F.xxhash64("cls"), blocks)
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+            apart = opened.where("root <> main").withColumn("i", i).withColumn("j", every)
+            other = opened.withColumn("j", i).withColumn("i", every)
+            once = (F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))
+            new = _pairs(apart, other, ["key", "i", "j"], ok & once, known)
+        forget(keys)
+        known.append(new)
+        if not new.isEmpty() and not (found := verified(new, sets, percent)).isEmpty():
+            links.append(found)
+            groups = components(reduce(DataFrame.union, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-groups")
+            rows = rows if last else written(_rooted(live, groups), "ngram-rooted")
+    forget(*known, *links)
+    return groups
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,33 +271,24 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     and an equal set, else null. Other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    odds = [f"odd{k}" for k in range(PARITIES)]
     rows = written(profiles(docs, width), "ngram-profiles")
     nodes = rows.where("slice is null").select("doc_id", "n", "cls")
-    classes = written(nodes.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
+    classes = rows.where("slice is null and cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.first(o).alias(o) for o in odds))
+    classes = written(classes, "ngram-classes")
     keys = written(prefixes(docs.where("doc_id is not null"), width, percent, sketch(rows)), "ngram-prefixes")
-    # keys that two classes have; the least row of each key is the one that the others meet first
-    met = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low")
-    live = written(keys.join(met, "key").dropDuplicates(["key", "cls"]), "ngram-live")
-    centre = live.where("cls = low").select("key", "cls", "n", "pos", "suffix")
-    ok = _may_link(percent)
-    pairs = live.where("cls <> low").alias("a").join(centre.alias("b"), "key").where(ok).select(F.col("b.cls").alias("a"), F.col("a.cls").alias("b")).distinct()
-    pairs = written(pairs.where("a <> b"), "ngram-pairs")
-    links = verified(pairs, classes, docs, width, percent)
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-star")
-    # what is still apart: on each key, rows outside the group of its first row meet all rows of other groups
-    marked = live.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = marked.where("cls = low").select("key", F.col("root").alias("main"))
-    spread = marked.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    marked = written(marked.join(spread, "key", "left_semi").join(first, "key"), "ngram-marked")
-    apart = marked.where("root <> main")
-    cross = apart.alias("a").join(marked.alias("b"), "key").where((F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls")))).where(ok)
-    cross = cross.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-    cross = written(cross.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "ngram-cross")
-    if not cross.isEmpty():
-        more = verified(cross, classes, docs, width, percent)
-        if not more.isEmpty():
-            groups = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-all")
-    roots = classes.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # keys of two classes or more, and the size of their least set
+    met = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("n").alias("least")).where("low <> high").select("key", "least")
+    met = written(met, "ngram-met")
+    # a row can link only if enough shingles are left for the least partner there may be
+    fits = F.col("n") - F.col("pos") >= _need(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)), percent)
+    live = keys.join(met, "key").where(fits).select("key", "cls", "n", "pos", "suffix").dropDuplicates(["key", "cls"])
+    live = written(live.join(classes.drop("doc_id"), "cls"), "ngram-live")
+    forget(keys, met)
+    sets = class_sets(written(classes.select("cls", "doc_id").join(live.select("cls").distinct(), "cls", "left_semi"), "ngram-drawn"), docs, width)
+    groups = linked(live, sets, percent)
+    forget(live, sets)
+    roots = _rooted(classes.select("cls", "doc_id"), groups)
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = roots.join(least, "root").select("cls", "component_id")
     out = nodes.where("cls is not null").join(by_class, "cls", "left").select("doc_id", "n", "component_id")

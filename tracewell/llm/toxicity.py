@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, lower_ascii
 
 FEATURES = 1 << 18
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts.
@@ -22,6 +22,29 @@ MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 #: Least ratio of a word's share of positive texts to its share of unlabelled texts.
 LIFT = 2.5
 _TRIM = ".,;:!?\"'()[]{}#*$%&|<>"
+_UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash as a signed int, computed once for each word; emptied when full."""
+
+    limit = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = h - (1 << 64) if h >> 63 else h
+        self[word] = h
+        return h
+
+
+WORD_HASHES = WordHashes()
+
+
+def lower_ascii(text: str) -> str:
+    """``text`` with A-Z lower-cased and nothing else."""
+    return text.lower() if text.isascii() else text.translate(_UPPER)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
