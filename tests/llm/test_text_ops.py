@@ -314,3 +314,25 @@ def test_long_texts_are_hashed_in_slices(monkeypatch):
         common._powers.cache_clear()
         assert [x.tolist() for x in common.shingle_sets(text, 3)] == want
     common._powers.cache_clear()
+
+
+def test_batches_of_words_equal_the_library(monkeypatch):
+    import pyarrow as pa
+
+    from tracewell.llm import bpe, common
+
+    rng = random.Random(4)
+    letters = "abcßéÀΣσς한글ñ'’.,-–!?<|>0123½²  \t\n\xa0　\x1ćİ"
+    texts = [None, "", "ΣΑΣ ΟΔΟΣ", "x" * 5000, "aaa" * 40, "it's we'll 'S <|endoftext|>a<|endoftext|> <|start"] + ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(400)] + [sentence(rng, 300)]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    coder = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    for limit, size in ((800_000, 1 << 20), (3, 200)):
+        monkeypatch.setattr(bpe.WordTable, "limit", limit)
+        monkeypatch.setattr(common, "SLICE", size)
+        common._powers.cache_clear()
+        table = bpe.IdTable(coder)
+        for _ in range(2):
+            assert [x.tolist() for x in table.texts(pa.array(texts))] == want
+    common._powers.cache_clear()
+    assert [coder.text(x or "") for x in texts] == want

@@ -9,14 +9,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 import regex
 
+from .common import word_hashes
+
 #: Unicode White_Space, which the tokenizer file's \s means (Python's \s also has 1C to 1F).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN_SPLIT = re.compile(f"[{SPACES}]+")
-_ODD = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -93,25 +97,26 @@ class WordBpe:
         self._pieces: dict[str, list[int]] = {}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one raw word (no white space, no special string)."""
-        if word.isascii():
+    def split(self, word: str) -> Sequence[str]:
+        """Pieces of one raw word (no white space, no special string)."""
+        if word.isascii() or unicodedata.is_normalized("NFC", word) and "\u03a3" not in word:  # a final sigma would depend on its neighbours
             word = word.lower()
         else:
             word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        if word.isalpha():
+            return (word,)
+        end = word[-1]
+        if end.isascii() and not end.isalnum() and word[:-1].isalpha():  # letters and one sign
+            return word[:-1], end
+        return self.PIECES.findall(word)
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one raw word."""
         ids: list[int] = []
         pieces = self._pieces
-        if word.isascii() and word[:-1].isalpha() and not word[-1].isdigit():  # letters, or letters and one sign
-            split = [word] if word[-1].isalpha() else [word[:-1], word[-1]]
-        else:
-            split = self.PIECES.findall(word)
-        for piece in split:
+        for piece in self.split(word):
             if (found := pieces.get(piece)) is None:
-                raw = piece.encode("utf-8")
-                inner = self.inner
-                symbols = [inner[b] for b in raw]
-                symbols[-1] = self.last[raw[-1]]
-                found = merge(symbols, self.pairs)
+                found = self.piece(piece)
                 if len(pieces) >= self.limit:
                     pieces.clear()
                 if len(piece) <= 64:
@@ -119,17 +124,189 @@ class WordBpe:
             ids += found
         return ids
 
-    def units(self, text: str):
-        """Yields lists of raw words, and the id (int) of each special string between them."""
+    def piece(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8")
+        inner = self.inner
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return merge(symbols, self.pairs)
+
+    def units(self, text: str) -> Iterator[str | int]:
+        """Raw words of a text, and the id of each special string between them."""
         parts = self._special.split(text) if self._special and "<|" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 yield self.special[part]
-            elif _ODD.search(part):
-                yield [w for w in _PLAIN_SPLIT.split(part) if w]
             else:
-                yield part.split()
+                yield from filter(None, _PLAIN_SPLIT.split(part))
+
+    def text(self, text: str) -> list[int]:
+        """Ids of a text of any content."""
+        ids: list[int] = []
+        for unit in self.units(text):
+            ids += [unit] if isinstance(unit, int) else self.word(unit)
+        return ids
 
     def decode(self, ids) -> str:
         """The vocabulary strings of ``ids``, one after the other, joined as the tokenizer file (which names no decoder) has it."""
         return " ".join([self.strings[i] for i in ids])
+
+
+class Merger:
+    """The merges of ``merge`` for many pieces at once, in numpy: in each round every piece that has a pair of known
+    rank merges its leftmost pair of least rank."""
+
+    NONE = np.int64((1 << 62) - 1)
+
+    def __init__(self, bpe: WordBpe):
+        order = np.argsort(np.array(list(bpe.pairs), np.int64))
+        self.keys = np.array(list(bpe.pairs), np.int64)[order]
+        self.values = np.array([v >> 52 << 20 | v >> 32 & 0xFFFFF for v in bpe.pairs.values()], np.int64)[order]  # rank, merged id
+        self.inner, self.last = np.array(bpe.inner, np.int64), np.array(bpe.last, np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.NONE)
+
+    def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their number in each piece)."""
+        sizes = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = sizes.cumsum() - 1
+        symbol = self.inner[raw]
+        symbol[ends] = self.last[raw[ends]]
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        value = np.full(len(symbol), self.NONE)
+        value[:-1] = self.of(symbol[:-1], symbol[1:])
+        value[ends] = self.NONE
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            first = np.flatnonzero(np.diff(piece, prepend=-1))
+            least = np.minimum.reduceat(value, first)
+            size = np.diff(first, append=len(piece))
+            live = np.repeat(least < self.NONE, size)
+            if not live.all():
+                done.append((piece[~live], symbol[~live]))
+                piece, symbol, value, least = piece[live], symbol[live], value[live], np.repeat(least, size)[live]
+                if not len(symbol):
+                    break
+            else:
+                least = np.repeat(least, size)
+            at = np.flatnonzero(value == least)
+            at = at[np.diff(piece[at], prepend=-1) != 0]
+            symbol[at] = value[at] & 0xFFFFF
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after the right symbols have gone
+            piece, symbol, value = piece[keep], symbol[keep], value[keep]
+            for k in (at - 1, at):
+                k = k[k >= 0]
+                k, end = k[k + 1 < len(piece)], k[k + 1 == len(piece)]
+                value[k] = np.where(piece[k] == piece[k + 1], self.of(symbol[k], symbol[k + 1]), self.NONE)
+                value[end] = self.NONE
+        piece, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.argsort(piece, kind="stable")
+        return symbol[order], np.bincount(piece, minlength=len(pieces))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1] ..."""
+    ends = sizes.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class WordTable:
+    """Places of words in a table that ``made`` fills, for whole columns of texts: every different word is looked up
+    once a slice. The table starts anew when it holds ``limit`` words or ``limit_bytes`` of them."""
+
+    limit, limit_bytes = 800_000, 1 << 25
+
+    def __init__(self, made: Callable[[list[str]], None], clear: Callable[[], None]):
+        self.made, self.clear = made, clear
+        self.places: dict[int, int] = {}
+        self.size = 0
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(bounds, places) of a few texts at a time, in order: text k has the words places[bounds[k]:bounds[k + 1]],
+        split at ASCII white space. What ``made`` has kept holds until the next item is asked for."""
+        for _, _, bounds, hashes, starts, ends, raw in word_hashes(column, fold=False):
+            if len(self.places) > self.limit or self.size > self.limit_bytes:
+                self.places.clear()
+                self.size = 0
+                self.clear()
+            coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+            kinds, which = coded.dictionary.to_numpy().tolist(), coded.indices.to_numpy()
+            found = list(map(self.places.get, kinds))
+            if None in found:
+                body = raw.tobytes()
+                first = np.empty(len(kinds), np.int64)
+                first[which[::-1]] = np.arange(len(which))[::-1]
+                new = [k for k, place in enumerate(found) if place is None]
+                at = first[new]
+                self.made([body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                self.size += int((ends[at] - starts[at]).sum())
+                for k in new:
+                    found[k] = self.places[kinds[k]] = len(self.places)
+            yield bounds, np.array(found, np.int64)[which]
+
+
+class IdTable:
+    """Ids of whole columns of texts, as 16-bit arrays."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.merger = bpe, Merger(bpe)
+        self.words = WordTable(self._made, self._clear)
+        self._clear()
+
+    def _clear(self) -> None:
+        # ids of words one after the other, where each begins, and the same of pieces
+        self.pool, self.starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
+        self.piece_pool, self.piece_starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
+        self.pieces: dict[str, int] = {}
+
+    def _made(self, words: list[str]) -> None:
+        pieces, fresh, places, counts = self.pieces, [], [], []
+        for word in words:
+            n = 0
+            for unit in (word,) if word.isascii() and "<" not in word else self.bpe.units(word):
+                for piece in (unit,) if isinstance(unit, int) else self.bpe.split(unit):
+                    place = pieces.get(piece)
+                    if place is None:
+                        place = pieces[piece] = len(pieces)
+                        fresh.append(piece)
+                    places.append(place)
+                    n += 1
+            counts.append(n)
+        if fresh:
+            plain = [k for k, p in enumerate(fresh) if isinstance(p, str) and len(p) <= 64]
+            sizes = np.zeros(len(fresh), np.int64)
+            other = {k: [p] if isinstance(p, int) else self.bpe.piece(p) for k, p in enumerate(fresh) if isinstance(p, int) or len(p) > 64}
+            ids = np.empty(0, np.int64)
+            if plain:
+                ids, sizes[plain] = self.merger.ids([fresh[k].encode("utf-8", "surrogatepass") for k in plain])
+            for k, own in other.items():
+                sizes[k] = len(own)
+            out = np.empty(sizes.sum(), np.uint16)
+            at = sizes.cumsum() - sizes
+            out[ranges(at[plain], sizes[plain])] = ids
+            for k, own in other.items():
+                out[at[k] : at[k] + len(own)] = own
+            self.piece_pool = np.concatenate([self.piece_pool, out])
+            self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + sizes.cumsum()])
+        places = np.array(places, np.int64)
+        at = self.piece_starts[places]
+        size = self.piece_starts[places + 1] - at
+        ends = np.concatenate([[0], size.cumsum()])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
+        self.pool = np.concatenate([self.pool, self.piece_pool[ranges(at, size)]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for bounds, places in self.words.texts(column):
+            at = self.starts[places]
+            size = self.starts[places + 1] - at
+            ids = self.pool[ranges(at, size)]
+            cut = np.concatenate([[0], size.cumsum()])[bounds]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[a:b]

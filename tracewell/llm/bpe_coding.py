@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WordBpe
+from .bpe import WordBpe, WordTable
 
 WORD_FILE = "word_bpe_49k.json"
+#: Texts whose results are held at once.
+ROWS = 500
 _coders: dict[str, WordBpe] = {}
 
 
@@ -23,38 +27,47 @@ def coder(path: str) -> WordBpe:
     return _coders[path]
 
 
-class Strings(dict):
-    """Raw word -> (ids as text, decoded text, number of ids); bounded: later words are encoded when they come."""
-
-    limit = 400_000
+class Strings:
+    """Ids as text and decoded text of whole columns of texts, put together from those of their words."""
 
     def __init__(self, bpe: WordBpe):
-        super().__init__()
         self.bpe = bpe
-
-    def of(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), self.bpe.decode(ids), len(ids)
-
-    def __missing__(self, word: str) -> tuple[str, str, int]:
-        out = self.of(self.bpe.word(word))
-        if len(self) < self.limit and len(word) <= 64:
-            self[word] = out
-        return out
+        self.words = WordTable(self._made, self._clear)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: list[str] = []
+        self.decoded: list[str] = []
+        self.n = array("q")
+
+    def _made(self, words: list[str]) -> None:
+        for word in words:
+            ids = self.bpe.text(word)
+            self.ids.append(" ".join(map(str, ids)))
+            self.decoded.append(self.bpe.decode(ids))
+            self.n.append(len(ids))
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, ids in decimal joined by one space, decoded text) of each text."""
+        for bounds, places in self.words.texts(column):
+            size = np.frombuffer(self.n, np.int64)[places]
+            if len(size) and not size.min():  # words without ids (of odd white space alone)
+                keep = size > 0
+                bounds, places, size = np.concatenate([[0], np.cumsum(keep)])[bounds], places[keep], size[keep]
+            n = np.concatenate([[0], np.cumsum(size)])
+            found = places.tolist()
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = found[a:b]
+                yield int(n[b] - n[a]), " ".join(map(self.ids.__getitem__, own)), " ".join(map(self.decoded.__getitem__, own))
 
 
 _tables: dict[str, Strings] = {}
 
 
-def coded(path: str, text: str | None) -> tuple[int, str, str]:
-    """(number of ids, ids in decimal joined by one space, decoded text) of one whole text."""
-    table = _tables.get(path)
-    if table is None:
-        table = _tables[path] = Strings(coder(path))
-    got: list[tuple[str, str, int]] = []
-    for unit in table.bpe.units(text or ""):
-        got.extend([table.of([unit])] if isinstance(unit, int) else map(table.__getitem__, unit))
-    ids, strings, n = zip(*got) if got else ((), (), ())
-    return sum(n), " ".join(ids), " ".join(strings)
+def strings(path: str) -> Strings:
+    if path not in _tables:
+        _tables[path] = Strings(coder(path))
+    return _tables[path]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,8 +81,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, digests: bool = Fals
     path = path or public_tokenizers.path(WORD_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [coded(path, t.as_py()) for t in batch.column(1)]
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
+            rows = list(strings(path).texts(batch.column(1)))
             n = pa.array([r[0] for r in rows], pa.int64())
             if digests:
                 tail = [pa.array([sha256(r[k].encode("utf-8", "surrogatepass")).hexdigest() for r in rows], pa.string()) for k in (1, 2)]

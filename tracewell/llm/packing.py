@@ -18,42 +18,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WordBpe
+from .bpe import IdTable
 from .bpe_coding import WORD_FILE, coder
 from .common import written
 
 BUCKETS, DIMS, BITS = 64, 3, 10
 
 
-class Ids(dict):
-    """Raw word -> its ids as little-endian 16-bit bytes; bounded."""
+_tables: dict[str, IdTable] = {}
 
-    limit = 500_000
 
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        out = np.array(self.bpe.word(word), "<u2").tobytes()
-        if len(self) < self.limit and len(word) <= 64:
-            self[word] = out
-        return out
-
-
-_tables: dict[str, Ids] = {}
-
-
-def encoded(path: str, text: str | None, end: int) -> bytes:
-    """Ids of a whole text and the end id, 16 bits each."""
-    table = _tables.get(path)
-    if table is None:
-        table = _tables[path] = Ids(coder(path))
-    parts: list[bytes] = []
-    for unit in table.bpe.units(text or ""):
-        parts.extend([unit.to_bytes(2, "little")] if isinstance(unit, int) else map(table.__getitem__, unit))
-    parts.append(end.to_bytes(2, "little"))
-    return b"".join(parts)
+def encoded(path: str, column: pa.Array, end: int) -> list[bytes]:
+    """Ids of each whole text and the end id, 16 bits each."""
+    if path not in _tables:
+        _tables[path] = IdTable(coder(path))
+    tail = end.to_bytes(2, "little")
+    return [ids.astype("<u2", copy=False).tobytes() + tail for ids in _tables[path].texts(column)]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -149,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end: int =
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                rows = [encoded(path, t.as_py(), end) for t in part.column(1)]
+                rows = encoded(path, part.column(1), end)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(rows)), pa.array(rows, pa.binary())], ["doc_id", "curve", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
