@@ -195,11 +195,15 @@ def class_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return written(made.dropDuplicates(["cls"]), "ngram-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` (classes) whose whole sets are alike."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` (classes) whose whole sets are alike. Only the sets of classes in pairs are made."""
+    drawn = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
+    sets = class_sets(written(drawn, "ngram-drawn"), docs, width)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "ngram-links")
+    out = written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "ngram-links")
+    forget(sets)
+    return out
 
 
 def _pairs(a: DataFrame, b: DataFrame, keys: list[str], ok: Column, known: list[DataFrame]) -> DataFrame:
@@ -224,7 +228,7 @@ def _open(rows: DataFrame) -> DataFrame:
     return by_group.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.sum("c").alias("n_rows"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
 
 
-def linked(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def linked(live: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, root) of the classes of ``live`` (key, cls, n, pos, suffix, parities) that have links; None without any.
 
     After the rounds, rows outside their key's largest group meet all rows of other groups, every block of rows every
@@ -253,7 +257,7 @@ def linked(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
             new = _pairs(apart, other, ["key", "i", "j"], ok & once, known)
         forget(keys)
         known.append(new)
-        if not new.isEmpty() and not (found := verified(new, sets, percent)).isEmpty():
+        if not new.isEmpty() and not (found := verified(new, classes, docs, width, percent)).isEmpty():
             links.append(found)
             groups = components(reduce(DataFrame.union, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-groups")
             rows = rows if last else written(_rooted(live, groups), "ngram-rooted")
@@ -285,9 +289,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     live = keys.join(met, "key").where(fits).select("key", "cls", "n", "pos", "suffix").dropDuplicates(["key", "cls"])
     live = written(live.join(classes.drop("doc_id"), "cls"), "ngram-live")
     forget(keys, met)
-    sets = class_sets(written(classes.select("cls", "doc_id").join(live.select("cls").distinct(), "cls", "left_semi"), "ngram-drawn"), docs, width)
-    groups = linked(live, sets, percent)
-    forget(live, sets)
+    groups = linked(live, classes, docs, width, percent)
+    forget(live)
     roots = _rooted(classes.select("cls", "doc_id"), groups)
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = roots.join(least, "root").select("cls", "component_id")
