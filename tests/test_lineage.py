@@ -40,3 +40,14 @@ def test_unknown_and_isolated_nodes(graph):
 def test_var_and_shortfall_are_peers(graph):
     keys = {r.node_id: r.peer_key for r in graph[0].where("topology = 'small'").collect()}
     assert keys["RISK_VAR95"] == keys["RISK_ES95"] != keys["RISK_VAR99"]
+
+
+def test_deep_and_cyclic_graphs_are_followed_to_the_end(spark):
+    deep = spark.createDataFrame([("d", f"n{k}", f"n{k + 1}") for k in range(25)] + [("d", "n0", "n20")], "topology string, u string, v string")
+    hops = {(r.u, r.v): r.hops for r in lineage.reach(deep).collect()}
+    assert len(hops) == 26 * 25 // 2 and hops["n0", "n20"] == 1 and hops["n0", "n25"] == 6 and hops["n1", "n25"] == 24
+    assert lineage.depth(deep) == 25
+    ring = spark.createDataFrame([("c", "a", "b"), ("c", "b", "c"), ("c", "c", "a")], "topology string, u string, v string")
+    assert {(r.u, r.v): r.hops for r in lineage.reach(ring).collect()} == {(x, y): (ord(y) - ord(x) - 1) % 3 + 1 for x in "abc" for y in "abc"}
+    with pytest.raises(ValueError):
+        lineage.depth(ring)

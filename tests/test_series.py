@@ -57,7 +57,7 @@ def test_walk_equals_its_fixed_point(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], "u string, v string")
     t = edges.select(F.lit("r").alias("run_id"), F.col("v").alias("frm"), F.col("u").alias("to"), F.lit(0.5).alias("p"))
     e = spark.createDataFrame([("r", "d", 0.7), ("r", "a", 0.3)], "run_id string, node_id string, e double")
-    got = {r.node_id: r.r for r in rank.walked(None, t, e, 0.15).collect()}
+    got = {r.node_id: r.r for r in rank.walked(t, e, 0.15, 2).collect()}
     order = ["a", "b", "c", "d"]
     p = np.zeros((4, 4))
     for u, v in (("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")):

@@ -1,4 +1,7 @@
-"""Column functions over ordered series: fills, rolling figures, and small helpers."""
+"""Column functions over ordered series: fills, rolling figures, and small helpers.
+
+``keys`` are the columns that name a series and ``order`` the one that orders it.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +12,19 @@ from pyspark.sql.window import Window, WindowSpec
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
-def filled(c: Column, by: WindowSpec) -> Column:
+def filled(c: Column, *keys: str, order: str = "t") -> Column:
     """Gaps take the last value before them; leading gaps stay."""
-    return F.last(c, ignorenulls=True).over(by.rowsBetween(START, 0))
+    return F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(START, 0))
 
 
-def back_filled(c: Column, by: WindowSpec) -> Column:
-    """Gaps take the next value after them; trailing gaps stay."""
-    return F.first(c, ignorenulls=True).over(by.rowsBetween(0, END))
+def back_filled(c: Column, *keys: str, order: str = "t") -> Column:
+    """Gaps take the next value after them; trailing gaps stay. Read in reverse, so that each row is looked at once."""
+    return F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(START, 0))
 
 
-def both_ways(c: Column, by: WindowSpec) -> Column:
+def both_ways(c: Column, *keys: str, order: str = "t") -> Column:
     """Gaps take the last value before them, leading gaps the first value after them."""
-    return F.coalesce(filled(c, by), back_filled(c, by))
+    return F.coalesce(filled(c, *keys, order=order), back_filled(c, *keys, order=order))
 
 
 def rolling(c: Column, by: WindowSpec, width: int, least: int, what) -> Column:

@@ -32,7 +32,7 @@ def stocks(source: DataFrame) -> DataFrame:
 
 
 def impute(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("clean", filled(F.col("raw"), _stock()))
+    return frame.withColumn("clean", filled(F.col("raw"), "run_id", "i"))
 
 
 def clip(frame: DataFrame, warmup: int = 60, width: float = 4.0) -> DataFrame:
@@ -51,7 +51,7 @@ def _volatility(width: int) -> Column:
 
 def _settled(frame: DataFrame, name: str) -> DataFrame:
     """Gaps of a volatility: the next value, else the last, else 0."""
-    return frame.withColumn(name, F.coalesce(back_filled(F.col(name), _stock()), filled(F.col(name), _stock()), F.lit(0.0)))
+    return frame.withColumn(name, F.coalesce(back_filled(F.col(name), "run_id", "i"), filled(F.col(name), "run_id", "i"), F.lit(0.0)))
 
 
 def instruments(source: DataFrame, faults: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.series import rolling, unit
+from ..sources.scratch import kept
 from .lineage import TRANSFER, by_kind
 
 NODE = ("run_id", "node_id")
@@ -104,12 +105,12 @@ def causal_excess(raw: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def signals(series: DataFrame, nodes: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(run_id, node_id, raw, sl, excess, peer, phi) of every node."""
-    rows = numbered(series)
-    raw = raw_score(rows, threshold)
+    rows = kept(numbered(series), "numbered")  # every signal reads it
+    raw = kept(raw_score(rows, threshold), "raw")
     out = series.select(*NODE).distinct()
     for part in (raw, short_long(rows), causal_excess(raw, nodes), peer_score(rows, nodes), peer_share(rows, nodes)):
         out = out.join(part, list(NODE), "left")
-    return out.fillna(0.0)
+    return kept(out.fillna(0.0), "signals")
 
 
 def fused(signal: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,7 +126,6 @@ def fused(signal: DataFrame, nodes: DataFrame) -> DataFrame:
     return s.withColumn("score", unit(F.when(F.col("layer") <= 2, first).when(F.col("layer") == 3, third).otherwise(last))).drop("is_vol", "up_peer")
 
 
-#: Fixed values of the sweep: weights in the order raw early, sl early, raw, excess, sl, peer, raw late, excess late.
 def weighted(signal: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
     """(setting, run_id, node_id, score) for each row of ``weights(setting, w1..w8)``; the peer signal counts as 0, so that w6 has no effect."""
     s = signal.join(F.broadcast(nodes.select("node_id", "node_ord", "layer")), "node_id").crossJoin(F.broadcast(weights))

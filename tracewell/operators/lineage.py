@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 #: An edge's prior weight by the kind of its target.
 PRIOR = {"aggregate": 1.5, "calculate": 1.2, "report": 1.3, "direct_map": 1.0, "filter": 0.8, "source": 1.0}
 #: How much of an anomaly a kind of node passes on.
@@ -29,18 +31,32 @@ def edges(nodes: DataFrame) -> DataFrame:
     return both.select("topology", "u", "v", "edge_type", by_kind(F.col("edge_type"), PRIOR, 1.0).alias("weight_prior"), F.array_intersect("given", "input_columns").alias("source_columns"), "target_columns")
 
 
-def reach(edge: DataFrame, depth: int = 10) -> DataFrame:
-    """(topology, u, v, hops): v can be reached from u, the shortest way taking ``hops`` edges, ``depth`` at most.
+def reach(edge: DataFrame) -> DataFrame:
+    """(topology, u, v, hops): v can be reached from u, the shortest way taking ``hops`` edges.
 
-    Paths of the dataflow have 7 edges at most, and a graph's size doesn't grow with the runs that share it.
+    Ways of up to 2, 4, 8 ... edges are found by joining those known so far with each other, keeping the shortest, until
+    a round finds no new pair: a pair that is known then has its shortest way. Cycles end it like any other graph.
     """
-    return edge.sparkSession.sql(
-        """WITH RECURSIVE c(topology, u, v, hops) AS (
-             SELECT topology, u, v, 1 FROM {edge} UNION ALL
-             SELECT c.topology, c.u, e.v, c.hops + 1 FROM c JOIN {edge} e ON e.topology = c.topology AND e.u = c.v WHERE c.hops < {depth})
-           SELECT topology, u, v, min(hops) AS hops FROM c GROUP BY topology, u, v""",
-        edge=edge.select("topology", "u", "v").distinct(), depth=depth,
-    )
+    known = kept(edge.select("topology", "u", "v").distinct().withColumn("hops", F.lit(1)), "closure")
+    have, before = known.count(), -1
+    while have > before:
+        further = known.alias("a").join(known.alias("b"), (F.col("a.topology") == F.col("b.topology")) & (F.col("a.v") == F.col("b.u")))
+        further = further.select("a.topology", "a.u", "b.v", (F.col("a.hops") + F.col("b.hops")).alias("hops"))
+        known = kept(known.union(further).groupBy("topology", "u", "v").agg(F.min("hops").alias("hops")), "closure")
+        have, before = known.count(), have
+    return known
+
+
+def depth(edge: DataFrame) -> int:
+    """Edges of the longest way in any of the graphs, which must have no cycles."""
+    e = kept(edge.select("topology", "u", "v").distinct(), "edges")
+    at, steps, limit = e.select("topology", "v").distinct(), 0, e.select("topology", "v").distinct().count()
+    while not at.isEmpty():
+        steps += 1
+        if steps > limit:
+            raise ValueError("the graph has a cycle")
+        at = kept(e.join(at.withColumnRenamed("v", "u"), ["topology", "u"]).select("topology", "v").distinct(), "ends")
+    return steps
 
 
 def descendants(closure: DataFrame, node_id: str) -> DataFrame:
@@ -85,6 +101,8 @@ def summary(nodes: DataFrame, edge: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def with_scores(nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    """Nodes with anomaly_score and is_anomalous (above 0.5); nodes without a score have 0."""
-    out = nodes.join(scores.select("node_id", F.col("score").alias("anomaly_score")), "node_id", "left").fillna(0.0, ["anomaly_score"])
+    """Nodes of each run in ``scores(run_id, node_id, score)`` with anomaly_score and is_anomalous (above 0.5); nodes
+    without a score have 0."""
+    every = nodes.crossJoin(scores.select("run_id").distinct())  # a graph's nodes, for each run
+    out = every.join(scores.select("run_id", "node_id", F.col("score").alias("anomaly_score")), ["run_id", "node_id"], "left").fillna(0.0, ["anomaly_score"])
     return out.withColumn("is_anomalous", F.col("anomaly_score") > 0.5)

@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 
 from .lineage import PRIOR, TRANSFER, by_kind
 
-#: Steps after which a walk on the dataflow's graph (longest path: 7 edges) no longer changes.
-STEPS = 8
-
 
 def _first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
@@ -47,7 +44,7 @@ def select_target(scores: DataFrame, nodes: DataFrame, closure: DataFrame, thres
 
 def target_from_reports(scores: DataFrame, nodes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(run_id, target): the most anomalous report, or the most anomalous node if no report reaches the threshold."""
-    s = scores.join(F.broadcast(nodes.select("node_id", "node_ord", "layer")), "node_id")
+    s = scores.select("run_id", "node_id", "score").join(F.broadcast(nodes.select("node_id", "node_ord", "layer")), "node_id")
     order = [F.desc("score"), F.col("node_ord")]
     report = _first(s.where("layer = 5"), ["run_id"], *order).where(F.col("score") >= threshold).select("run_id", F.col("node_id").alias("a"))
     return _first(s, ["run_id"], *order).select("run_id", F.col("node_id").alias("b")).join(report, "run_id", "left").select("run_id", F.coalesce("a", "b").alias("target"))
@@ -85,12 +82,12 @@ def placed(scores: DataFrame, targets: DataFrame, nodes: DataFrame, closure: Dat
     return s.withColumn("max_hops", F.greatest(F.max("hops").over(Window.partitionBy("run_id")), F.lit(1)))
 
 
-def walked(at: DataFrame, transition: DataFrame, restart: DataFrame, gamma: float, steps: int = STEPS) -> DataFrame:
+def walked(transition: DataFrame, restart: DataFrame, gamma: float, depth: int) -> DataFrame:
     """(run_id, node_id, r): the walk with restart's fixed point, sum of gamma (1 - gamma)^k P^k e. On a graph without
-    cycles P^k is zero beyond the longest path, so that many joins with the edges are all there is."""
+    cycles P^k is zero beyond the longest path's ``depth`` edges, so that many joins with the edges are all there is."""
     start = restart.select("run_id", "node_id", (F.col("e") * gamma).alias("r"))
     r = start
-    for _ in range(1, steps):
+    for _ in range(depth):
         moved = r.withColumnRenamed("node_id", "frm").join(transition, ["run_id", "frm"]).select("run_id", F.col("to").alias("node_id"), (F.col("r") * F.col("p") * (1 - gamma)).alias("r"))
         r = start.unionByName(moved).groupBy("run_id", "node_id").agg(F.sum("r").alias("r"))
     return r
@@ -125,9 +122,9 @@ def ranked(df: DataFrame, method: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(by)).select("run_id", F.lit(method).alias("method"), "target", "node_id", "score", "rank")
 
 
-def rank_walk(at: DataFrame, edge: DataFrame, walk: Walk) -> DataFrame:
-    """Ranking by one method from ``placed`` rows."""
-    r = walked(at, transitions(at, edge, walk), restarts(at, walk.use_scores), walk.gamma)
+def rank_walk(at: DataFrame, edge: DataFrame, walk: Walk, depth: int) -> DataFrame:
+    """Ranking by one method from ``placed`` rows; ``depth`` is that of the graph (lineage.depth)."""
+    r = walked(transitions(at, edge, walk), restarts(at, walk.use_scores), walk.gamma, depth)
     s = at.join(r, ["run_id", "node_id"], "left").fillna(0.0, ["r"]).where("node_id <> target")
     a = F.greatest(F.col("score") if walk.use_scores else F.lit(0.5), F.lit(0.01))
     anc = F.when(F.col("hops").isNotNull(), 1.0).otherwise(0.05) if walk.ancestors_only else F.lit(1.0)
@@ -143,7 +140,7 @@ def rank_walk(at: DataFrame, edge: DataFrame, walk: Walk) -> DataFrame:
     return ranked(s.withColumn("score", base * anc * bonus * kind), walk.method)
 
 
-def rank_structural(at: DataFrame, edge: DataFrame, backward: bool = False, gamma: float = 0.15, method: str = "structural") -> DataFrame:
+def rank_structural(at: DataFrame, edge: DataFrame, depth: int, backward: bool = False, gamma: float = 0.15, method: str = "structural") -> DataFrame:
     """Uniform weights, restart in proportion to scores (all on the target where all are 0). As laid down, the walk goes
     from inputs to what uses them; ``backward`` turns it round."""
     ends = ("v", "u") if backward else ("u", "v")
@@ -153,7 +150,7 @@ def rank_structural(at: DataFrame, edge: DataFrame, backward: bool = False, gamm
     w = Window.partitionBy("run_id")
     total = F.sum("score").over(w)
     restart = at.withColumn("e", F.when(total > 0, F.col("score") / F.when(total > 0, total)).otherwise((F.col("node_id") == F.col("target")).cast("double"))).where("e > 0")
-    r = walked(at, t, restart, gamma)
+    r = walked(t, restart, gamma, depth)
     s = at.drop("score").join(r, ["run_id", "node_id"], "left").fillna(0.0, ["r"]).where("node_id <> target")
     return ranked(s.withColumnRenamed("r", "score"), method)
 

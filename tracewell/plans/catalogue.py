@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dataflow, detect, evaluate, faults, lineage, rank
 from ..sources import market, topology
-from ..sources.scratch import kept
-from .oracle import nodes_sql, sql
+from ..sources.scratch import folder, kept
+from .oracle import ablation_sql, nodes_sql, sensitivity_sql, sql
 
 FLAGSHIP = "fused_score"
 PLACES = 6
@@ -25,18 +26,27 @@ def _round(c: str, places: int = PLACES) -> Column:
     return (F.round(F.col(c), places) + F.lit(0.0)).alias(c)
 
 
+def _figures(c: str) -> Column:
+    """Rounded to PLACES; amounts from 20,000 on to three places, which is as far as sums in another order agree."""
+    return F.when(F.abs(c) >= 20000, F.round(F.col(c), 3) + F.lit(0.0)).otherwise(_round(c)).alias(c)
+
+
+def _figures_sql(c: str) -> str:
+    return f"CASE WHEN abs({c}) >= 20000 THEN round({c}, 3) + 0.0 ELSE round({c}, {PLACES}) + 0.0 END AS {c}"
+
+
 # -- frames that queries share -----------------------------------------------------------------------------------------
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, overrides, _ = faults.registered(spark)
     runs = overrides.select("run_id")
-    return faults.inject(market.market(spark, sf_dir).crossJoin(F.broadcast(runs)), actions)  # a handful of runs
+    return kept(faults.inject(market.market(spark, sf_dir).crossJoin(F.broadcast(runs)), actions), "source")  # a handful of runs
 
 
 def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = source(spark, sf_dir)
-    single = dataflow.instruments(s, faults.registered(spark)[1])
+    single = kept(dataflow.instruments(s, faults.registered(spark)[1]), "instruments")
     return s, single, dataflow.portfolio(single)
 
 
@@ -65,10 +75,11 @@ def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     at, n, e = placed(spark, sf_dir)
-    v2 = rank.rank_walk(at, e, rank.V2)
+    depth = lineage.depth(e)
+    v2 = rank.rank_walk(at, e, rank.V2, depth)
     schema = rank.rank_schema(at, faults.dropped_inputs(n, faults.registered(spark)[1]))
     return {
-        "v1": rank.rank_walk(at, e, rank.V1), "v2": v2, "v3": rank.rank_walk(at, e, rank.V3), "vanilla": rank.rank_walk(at, e, rank.VANILLA), "structural": rank.rank_structural(at, e),
+        "v1": rank.rank_walk(at, e, rank.V1, depth), "v2": v2, "v3": rank.rank_walk(at, e, rank.V3, depth), "vanilla": rank.rank_walk(at, e, rank.VANILLA, depth), "structural": rank.rank_structural(at, e, depth),
         "hops": rank.rank_hops(at), "score": rank.rank_scores(at), "schema": schema, "hybrid": rank.hybrid(schema, v2),
     }
 
@@ -83,24 +94,24 @@ def add(name: str, query: Query, text: str | None = None) -> None:
 
 
 def _single(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir)[1].select("run_id", "i", "t", _round(column))
+    return frames(spark, sf_dir)[1].select("run_id", "i", "t", _figures(column))
 
 
 def _daily(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir)[2].select("run_id", "t", _round(column))
+    return frames(spark, sf_dir)[2].select("run_id", "t", _figures(column))
 
 
 for _name, _column in {"ffill_prices": "clean", "clip_warmup": "filtered", "fx_join": "krw", "position_value": "worth", "log_return": "ret", "vol20": "vol20", "vol60": "vol60"}.items():
-    add(_name, partial(_single, _column), sql(f"SELECT run_id, i, t::INT AS t, round({_column}, {PLACES}) + 0.0 AS {_column} FROM inst"))
+    add(_name, partial(_single, _column), sql(f"SELECT run_id, i, t::INT AS t, {_figures_sql(_column)} FROM inst"))
 for _name, _column in {
     "portfolio_total": "total", "sector_mean_a": "sector_a", "sector_mean_b": "sector_b", "var95": "var95", "var99": "var99", "es95": "es95", "portfolio_vol": "vol", "stress_pnl": "stress",
     "concentration": "concentration", "report_reg_var": "reg_var", "report_dashboard": "dashboard", "report_stress": "stress_flag", "report_limit": "limit_breach",
 }.items():
-    add(_name, partial(_daily, _column), sql(f"SELECT run_id, t::INT AS t, round({_column}, {PLACES}) + 0.0 AS {_column} FROM day"))
+    add(_name, partial(_daily, _column), sql(f"SELECT run_id, t::INT AS t, {_figures_sql(_column)} FROM day"))
 
 add("market_source", lambda spark, d: market.market(spark, d).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value, {PLACES}) + 0.0 AS value FROM market"))
 for _k in range(1, 7):
-    add(f"inject_a{_k}", lambda spark, d, r=f"A{_k}": series(spark, d).where(F.col("run_id") == r).select("run_id", "node_id", "t", _round("value", 4)), sql(f"SELECT run_id, node_id, t::INT AS t, round(value, 4) + 0.0 AS value FROM series WHERE run_id = 'A{_k}'"))
+    add(f"inject_a{_k}", lambda spark, d, r=f"A{_k}": series(spark, d).where(F.col("run_id") == r).select("run_id", "node_id", "t", _figures("value")), sql(f"SELECT run_id, node_id, t::INT AS t, {_figures_sql('value')} FROM series WHERE run_id = 'A{_k}'"))
 
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +168,8 @@ for _name, (_column, _f) in _SIGNAL.items():
     add(_name, lambda spark, d, c=_column, f=_f: f(series(spark, d), topology.nodes(spark, "market")).select("run_id", "node_id", _round(c)), sql(f"SELECT run_id, node_id, round({_column}, {PLACES}) + 0.0 AS {_column} FROM {_FROM[_column]}"))
 add("fused_score", lambda spark, d: scored(spark, d).select("run_id", "node_id", _round("score")), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score FROM score"))
 add(
-    "scored_nodes", lambda spark, d: lineage.with_scores(topology.nodes(spark, "market"), scored(spark, d).where("run_id = 'A1'")).select("node_id", "layer", _round("anomaly_score"), "is_anomalous"),
-    sql(f"SELECT node_id, n.layer, round(coalesce(s.score, 0.0), {PLACES}) + 0.0 AS anomaly_score, coalesce(s.score, 0.0) > 0.5 AS is_anomalous FROM node n LEFT JOIN (SELECT * FROM score WHERE run_id = 'A1') s USING (node_id)"),
+    "scored_nodes", lambda spark, d: lineage.with_scores(topology.nodes(spark, "market"), scored(spark, d)).select("run_id", "node_id", "layer", _round("anomaly_score"), "is_anomalous"),
+    sql(f"SELECT r.run_id, n.node_id, n.layer, round(coalesce(s.score, 0.0), {PLACES}) + 0.0 AS anomaly_score, coalesce(s.score, 0.0) > 0.5 AS is_anomalous FROM node n CROSS JOIN runs r LEFT JOIN score s ON s.run_id = r.run_id AND s.node_id = n.node_id"),
 )
 
 
@@ -184,7 +195,7 @@ add("blend", _blended, sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, r
 # rankings
 add("select_target", lambda spark, d: (lambda g, s: rank.select_target(s, g[0], g[2]))(graph(spark), scored(spark, d)), sql("SELECT run_id, target FROM target"))
 add("report_target", lambda spark, d: rank.target_from_reports(scored(spark, d), topology.nodes(spark, "market")), sql("SELECT run_id, coalesce(max(node_id) FILTER (layer = 5 AND k5 = 1 AND score >= 0.3), max(node_id) FILTER (k = 1)) AS target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, node_ord) AS k, row_number() OVER (PARTITION BY run_id, layer = 5 ORDER BY score DESC, node_ord) AS k5 FROM score) GROUP BY 1"))
-for _m, _t in {"v1": "rank_v1", "v2": "rank_v2", "v3": "rank_v2", "vanilla": "rank_vanilla", "structural": "rank_structural", "hops": "rank_hops", "score": "rank_score", "schema": "rank_schema", "hybrid": "hybrid"}.items():
+for _m, _t in {"v1": "rank_v1", "v2": "rank_v2", "v3": "rank_v3", "vanilla": "rank_vanilla", "structural": "rank_structural", "hops": "rank_hops", "score": "rank_score", "schema": "rank_schema", "hybrid": "hybrid"}.items():
     _q = {"v1": "rank_rwr_v1", "v2": "rank_rwr_v2", "v3": "rank_rwr_v3", "vanilla": "rank_rwr_vanilla", "structural": "rank_rwr_structural", "hops": "rank_bfs", "score": "rank_score", "schema": "schema_violations", "hybrid": "hybrid_rank"}[_m]
     add(_q, lambda spark, d, m=_m: rankings(spark, d)[m].select("run_id", "target", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, target, node_id, round(score, {PLACES}) + 0.0 AS score, rank::INT AS rank FROM {_t}"))
 add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)["v2"], 3).select("run_id", "node_id", "rank"), sql("SELECT run_id, node_id, rank::INT AS rank FROM rank_v2 WHERE rank <= 3"))
@@ -192,7 +203,7 @@ add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)["v2"], 3).select("
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     at, _, e = placed(spark, d)
-    f = rank.graph_features(rank.rank_walk(at, e, rank.V2), at, e)
+    f = rank.graph_features(rank.rank_walk(at, e, rank.V2, lineage.depth(e)), at, e)
     return f.select("run_id", "node_id", *(_round(f"f{k}") for k in range(8)))
 
 
@@ -233,20 +244,25 @@ add("bootstrap_ci", lambda spark, d: evaluate.bootstrap(metrics(spark, d), "meth
 
 def _ablated(spark: SparkSession, d: str) -> DataFrame:
     at, _, e = placed(spark, d)
-    every = None
+    every, depth = None, lineage.depth(e)
     for w in rank.ABLATIONS:
-        own = rank.rank_walk(at, e, w)
+        own = rank.rank_walk(at, e, w, depth)
         every = own if every is None else every.unionByName(own)
     return evaluate.summary(evaluate.run_metrics(every, faults.registered(spark)[2]), "method")
 
 
-add("ablation", _ablated)
+add("ablation", _ablated, ablation_sql())
+
+
+#: Weights of the fusion in the order raw early, sl early, raw, excess, sl, peer, raw late, excess late.
+WEIGHTS = (1.0, 0.5, 0.55, 0.85, 0.80, 0.90, 0.40, 0.60)
+SCALES = (0.7, 0.85, 1.0, 1.15, 1.3)
 
 
 def _swept(spark: SparkSession, d: str) -> DataFrame:
     """How top-5 accuracy and reciprocal rank of the score ranking move as one weight of the fusion is scaled."""
-    base = (1.0, 0.5, 0.55, 0.85, 0.80, 0.90, 0.40, 0.60)
-    rows = [(f"{k + 1}|{s}", *(min(1.0, max(0.01, w * s)) if j == k else w for j, w in enumerate(base))) for k in range(8) for s in (0.7, 0.85, 1.0, 1.15, 1.3)]
+    base = WEIGHTS
+    rows = [(f"{k + 1}|{s}", *(min(1.0, max(0.01, w * s)) if j == k else w for j, w in enumerate(base))) for k in range(8) for s in SCALES]
     weights = spark.createDataFrame(rows, "setting string, " + ", ".join(f"w{k} double" for k in range(1, 9)))
     n = topology.nodes(spark, "market")
     s = detect.weighted(detect.signals(series(spark, d), n), n, weights).select(F.concat_ws("#", "setting", "run_id").alias("run_id"), "node_id", "node_ord", "score", F.lit("").alias("target"))
@@ -257,4 +273,53 @@ def _swept(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sensitivity(g).select("weight", _round("max_delta_top5"), _round("max_delta_mrr"), "sensitive")
 
 
-add("sensitivity", _swept)
+add("sensitivity", _swept, sensitivity_sql(WEIGHTS, SCALES, PLACES))
+
+
+# tables in and out, and figures with simple inputs
+def _percent_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The market's rates and the same in percent, as fractions."""
+    rates = market.market(spark, d).where("col like 'RATE%'")
+    return market.as_fractions(rates.union(rates.select(F.concat("col", F.lit("_PERCENT")), "t", F.col("value") * 100)))
+
+
+add("rate_fractions", lambda spark, d: _percent_rates(spark, d).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value, {PLACES}) + 0.0 AS value FROM (SELECT col, t, CASE WHEN quantile_cont(value, 0.5) OVER (PARTITION BY col) > 0.5 THEN value / 100 ELSE value END AS value FROM (SELECT col, t, value FROM market WHERE starts_with(col, 'RATE') UNION ALL SELECT col || '_PERCENT', t, value * 100 FROM market WHERE starts_with(col, 'RATE')))"))
+
+
+def _last_year(spark: SparkSession, d: str) -> DataFrame:
+    return market.last_days(market.market(spark, d), 252)
+
+
+add("last_days", lambda spark, d: _last_year(spark, d).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value, {PLACES}) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY t DESC) AS k FROM market) WHERE k <= 252"))
+
+METRIC_SCHEMA = "method string, run_id string, anomaly_type string, true_root_cause string, target_node string, rank int, top1 int, top3 int, top5 int, reciprocal_rank double, false_rc_rate_k5 double"
+
+
+def _through_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of all runs, written as CSV and read again under their schema."""
+    path = f"{folder(spark)}/tracewell/metrics-csv-{uuid.uuid4().hex}"
+    market.write_csv(metrics(spark, d).select(*(c.split()[0] for c in METRIC_SCHEMA.split(", "))), path)
+    return market.read_csv(spark, path, METRIC_SCHEMA)
+
+
+add("metrics_csv", lambda spark, d: _through_csv(spark, d).select("method", "run_id", "rank", "top5", _round("reciprocal_rank")), sql(f"SELECT method, run_id, rank, top5, round(reciprocal_rank, {PLACES}) AS reciprocal_rank FROM metric"))
+
+
+def _by_size(spark: SparkSession, d: str) -> DataFrame:
+    """Figures by method and size, each run's size from its place among the runs."""
+    m = metrics(spark, d).withColumn("pipeline_size", F.when(F.col("run_id").isin("A1", "A2", "A3"), "real_small").otherwise("medium"))
+    return evaluate.summary(m, "method", "pipeline_size").where(F.col("pipeline_size").contains("real"))
+
+
+add("summary_by_method_size", _by_size, sql("SELECT method, 'real_small' AS pipeline_size, " + ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items()) + ", count(*) AS n_runs FROM metric WHERE run_id IN ('A1', 'A2', 'A3') GROUP BY 1"))
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The v2 ranking by the raw signal in place of a learned score, 0 beyond each run's best ten."""
+    at, _, e = placed(spark, d)
+    v2 = rank.rank_walk(at, e, rank.V2, lineage.depth(e))
+    learned = rank.top(v2, 10).select("run_id", "node_id").join(at.select("run_id", "node_id", "score"), ["run_id", "node_id"])
+    return rank.rerank(v2, learned, topology.nodes(spark, "market"))
+
+
+add("rerank", lambda spark, d: _reranked(spark, d).select("run_id", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, old)::INT AS rank FROM (SELECT v.run_id, v.node_id, v.rank AS old, CASE WHEN v.rank <= 10 THEN p.score ELSE 0.0 END AS score FROM rank_v2 v JOIN placed p ON p.run_id = v.run_id AND p.node_id = v.node_id)"))

@@ -130,9 +130,11 @@ CTES: dict[str, str] = {
     "placed": "SELECT *, greatest(max(hops) OVER (PARTITION BY run_id), 1) AS max_hops FROM placed0",
     **_walk("v1", f"greatest(score, 1e-4) * weight_prior * {_DECAY}", _E, True),
     **_walk("v2", f"greatest(score, 1e-4) * {_DECAY}", _E, True),
+    **_walk("v3", f"greatest(score, 1e-4) * {_case('edge_type', TRANSFER, 1.0)} * {_DECAY}", _E, True),
     **_walk("va", "1.0", _E_PLAIN, False),
     "rank_v1": _ranked("v1", f"(0.4 * coalesce(r, 0.0) + 0.6 * {_A}) * {_ANC} * {_BONUS} * {_KIND}"),
     "rank_v2": _ranked("v2", f"({_G} * coalesce(r, 0.0) + (1 - {_G}) * {_A}) * {_ANC} * {_BONUS} * greatest({_KIND} * (1 - 0.5 * {_A}), 0.1)"),
+    "rank_v3": _ranked("v3", f"({_G} * coalesce(r, 0.0) + (1 - {_G}) * {_A}) * {_ANC} * {_BONUS} * greatest({_KIND} * (1 - 0.5 * {_A}), 0.1)"),
     "rank_vanilla": _ranked("va", f"(0.4 * coalesce(r, 0.0) + 0.6 * 0.5) * {_ANC}"),
     "st_p": "SELECT u AS frm, v AS dest, 1.0 / count(*) OVER (PARTITION BY u) AS p FROM edge",
     "st_m0": "SELECT run_id, node_id, score / sum(score) OVER (PARTITION BY run_id) AS x FROM score",
@@ -141,8 +143,10 @@ CTES: dict[str, str] = {
     "rank_structural": _ranked("st", "coalesce(r, 0.0)"),
     "rank_hops": "SELECT run_id, target, node_id, 1 - coalesce(hops, max_hops + 1) / (max_hops + 1) AS score, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(hops, max_hops + 1), round(score, 12) DESC, node_ord) AS rank FROM placed WHERE node_id <> target",
     "rank_score": "SELECT run_id, target, node_id, score, row_number() OVER (PARTITION BY run_id ORDER BY round(score, 12) DESC, node_ord) AS rank FROM placed WHERE node_id <> target",
-    "rank_schema": "SELECT run_id, target, node_id, CASE WHEN node_id = 'FEAT_SECTOR_B' THEN 1 - 2 / 3 ELSE score END AS score, row_number() OVER (PARTITION BY run_id ORDER BY node_id = 'FEAT_SECTOR_B' DESC, round(score, 12) DESC, node_ord) AS rank FROM placed WHERE run_id = 'A4'",
-    "hybrid": "SELECT * FROM rank_schema UNION ALL SELECT * FROM rank_v2 WHERE run_id <> 'A4'",
+    "run_inputs": "SELECT r.run_id, n.node_id, n.expected_input_count AS want, len(list_filter(n.input_columns, lambda c: NOT coalesce(len(n.input_columns) > 1 AND n.node_id = CASE WHEN r.drop_stock <= 2 THEN 'FEAT_SECTOR_A' ELSE 'FEAT_SECTOR_B' END AND c = 'STOCK_' || r.drop_stock || '_PRICE_RETURN', false))) AS have FROM node n CROSS JOIN runs r",
+    "short": "SELECT run_id, node_id, want - have AS missing, 1 - have / want AS share FROM run_inputs WHERE want IS NOT NULL AND have < want",
+    "rank_schema": "SELECT p.run_id, p.target, p.node_id, CASE WHEN s.missing IS NULL THEN p.score ELSE s.share END AS score, row_number() OVER (PARTITION BY p.run_id ORDER BY s.missing DESC NULLS LAST, round(p.score, 12) DESC, p.node_ord) AS rank FROM placed p LEFT JOIN short s ON s.run_id = p.run_id AND s.node_id = p.node_id WHERE p.run_id IN (SELECT run_id FROM short)",
+    "hybrid": "SELECT * FROM rank_schema UNION ALL SELECT * FROM rank_v2 WHERE run_id NOT IN (SELECT run_id FROM short)",
     "truth": "SELECT * FROM (VALUES ('A1', 'SRC_STOCK_1_PRICE'), ('A2', 'ETL_FX_STOCK_2_PRICE'), ('A3', 'FEAT_VOL20_STOCK_3_PRICE'), ('A4', 'FEAT_SECTOR_B'), ('A5', 'SRC_STOCK_4_PRICE'), ('A6', 'SRC_STOCK_1_PRICE')) x(run_id, truth)",
     "every": " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, target, node_id, score, rank FROM {r}" for m, r in {"v1": "rank_v1", "v2": "rank_v2", "score": "rank_score", "hops": "rank_hops", "vanilla": "rank_vanilla", "structural": "rank_structural", "hybrid": "hybrid"}.items()),
     "metric0": "SELECT e.method, e.run_id, truth AS true_root_cause, any_value(target) AS target_node, min(rank) FILTER (node_id = truth) AS rank, sum((rank <= 5)::INT) AS five, sum((rank <= 5 AND node_id <> truth)::INT) AS wrong FROM every e JOIN truth USING (run_id) GROUP BY 1, 2, 3",
@@ -154,7 +158,7 @@ def sql(select: str, *replaced: tuple[str, str]) -> str:
     """A query over the expressions above; ``replaced`` gives some of them another text."""
     import re
 
-    texts = CTES | dict(replaced)
+    texts = {k: v for k, v in CTES.items() if k not in dict(replaced)} | dict(replaced) if len(replaced) > 2 else CTES | dict(replaced)
     need, todo = set(), [select]
     while todo:
         words = set(re.findall(r"\w+", todo.pop()))
@@ -163,3 +167,49 @@ def sql(select: str, *replaced: tuple[str, str]) -> str:
             todo.append(texts[w])
     names = [n for n in texts if n in need]
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({texts[n]})" for n in names) + "\n" + select
+
+
+_MEANS = ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items())
+_METRIC0 = CTES["metric0"]
+
+
+def ablation_sql() -> str:
+    """The walks with one part left out each, and their figures."""
+    own: dict[str, str] = {}
+    names: dict[str, str] = {}
+
+    def variant(name: str, adaptive: bool = False, weights: bool = True, decay: bool = True, scores: bool = True, inverse: bool = True, ancestors: bool = True) -> None:
+        k = f"ab{len(names)}"
+        names[name] = f"rank_{k}"
+        w = ("greatest(score, 1e-4)" if scores else "1.0") + (" * weight_prior" if weights and not adaptive else "") + (f" * {_DECAY}" if decay else "")
+        own.update(_walk(k, w, _E if scores else _E_PLAIN, scores))
+        a = _A if scores else "0.5"
+        kind = _KIND if weights else "1.0"
+        if adaptive and inverse:
+            kind = f"greatest({kind} * (1 - 0.5 * {a}), 0.1)"
+        base = f"{_G} * coalesce(r, 0.0) + (1 - {_G}) * {a}" if adaptive else f"0.4 * coalesce(r, 0.0) + 0.6 * {a}"
+        own[f"rank_{k}"] = _ranked(k, f"({base}) * {_ANC if ancestors else '1.0'} * {_BONUS if decay else '1.0'} * {kind}")
+
+    variant("v1 full")
+    variant("v1 without weights", weights=False)
+    variant("v1 without decay", decay=False)
+    variant("v1 without scores", scores=False)
+    variant("v2 full", adaptive=True)
+    variant("v2 without adaptive")
+    variant("v2 without inverse", adaptive=True, inverse=False)
+    variant("v2 without ancestors", adaptive=True, ancestors=False)
+    every = " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, target, node_id, score, rank FROM {r}" for m, r in names.items())
+    return sql(f"SELECT method, {_MEANS}, count(*) AS n_runs FROM metric GROUP BY 1", *own.items(), ("every", every), ("metric0", _METRIC0), ("metric", CTES["metric"]))
+
+
+def sensitivity_sql(weights: tuple, scales: tuple, places: int) -> str:
+    """The score ranking's figures with each weight scaled in turn."""
+    rows = ", ".join("(" + ", ".join([f"'W{k + 1}'", f"{s}::DOUBLE", *(f"{min(1.0, max(0.01, w * s)) if j == k else w}::DOUBLE" for j, w in enumerate(weights))]) + ")" for k in range(len(weights)) for s in scales)
+    own = {
+        "setting": f"SELECT * FROM (VALUES {rows}) x(weight, scale, {', '.join(f'w{k}' for k in range(1, 9))})",
+        "swept": f"SELECT weight, scale, run_id, node_id, node_ord, {_unit('CASE WHEN layer <= 2 THEN greatest(w1 * raw, w2 * sl) WHEN layer = 3 THEN greatest(w3 * raw, w4 * excess, w5 * sl) ELSE greatest(w7 * raw, w8 * excess) END')} AS score FROM fused0 CROSS JOIN setting",
+        "swept_rank": "SELECT *, row_number() OVER (PARTITION BY weight, scale, run_id ORDER BY round(score, 12) DESC, node_ord) AS rank FROM swept",
+        "swept_run": "SELECT weight, scale, run_id, min(rank) FILTER (node_id = truth) AS rank FROM swept_rank JOIN truth USING (run_id) GROUP BY 1, 2, 3",
+        "figure": "SELECT weight, scale, avg(coalesce(rank <= 5, false)::INT) AS top5, avg(coalesce(1 / rank, 0.0)) AS mrr FROM swept_run GROUP BY 1, 2",
+    }
+    return sql(f"SELECT f.weight, round(max(abs(f.top5 - b.top5)), {places}) + 0.0 AS max_delta_top5, round(max(abs(f.mrr - b.mrr)), {places}) + 0.0 AS max_delta_mrr, max(abs(f.top5 - b.top5)) > 0.03 AS sensitive FROM figure f JOIN figure b ON b.weight = f.weight AND b.scale = 1.0 GROUP BY 1", *own.items())

@@ -7,41 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import both_ways
+from .scratch import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def calendar(lineitem: DataFrame) -> DataFrame:
-    """(dt, t): the days on which anything was shipped, numbered from 0."""
-    days = lineitem.select(F.to_date("l_shipdate").alias("dt")).where("dt is not null").distinct()
-    return days.withColumn("t", F.row_number().over(Window.orderBy("dt")) - 1)  # one row a day
-
-
 def _on_grid(days: DataFrame, keys: Column, values: DataFrame) -> DataFrame:
     return days.withColumn("i", F.explode(keys)).join(values, ["dt", "i"], "left")
 
 
 def market(spark: SparkSession, sf_dir: str, stocks: int = 5) -> DataFrame:
-    """source(col, t, value): prices, positions, one currency and three rates from the order tables. Prices have gaps."""
+    """source(col, t, value): prices, positions, one currency and three rates from the order tables. Prices have gaps.
+
+    Each order table is read once, into sums by day (and instrument and rate) that all series are made from.
+    """
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    days = calendar(items)
-    grid = F.sequence(F.lit(1), F.lit(stocks))
-    own = items.select(F.to_date("l_shipdate").alias("dt"), (F.col("l_suppkey") % stocks + 1).cast("int").alias("i"), "l_extendedprice", "l_quantity")
-    daily = own.groupBy("dt", "i").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.sum("l_quantity").alias("size"))
-    cells = _on_grid(days, grid, daily)
-    by = Window.partitionBy("i").orderBy("t")
+    price, rate = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_linenumber") % 3
+    sums = items.groupBy(F.to_date("l_shipdate").alias("dt"), (F.col("l_suppkey") % stocks + 1).cast("int").alias("i"), rate.alias("r")).agg(
+        F.sum(price).alias("price"), F.count(price).alias("prices"), F.sum("l_quantity").alias("size"), F.sum("l_discount").alias("off"), F.count("l_discount").alias("offs")
+    )
+    sums = kept(sums, "market-sums")
+    days = sums.select("dt").where("dt is not null").distinct().withColumn("t", F.row_number().over(Window.orderBy("dt")) - 1)  # one row a day
+    daily = sums.groupBy("dt", "i").agg((F.sum("price") / F.nullif(F.sum("prices"), F.lit(0))).alias("price"), F.sum("size").alias("size"))
+    cells = _on_grid(days, F.sequence(F.lit(1), F.lit(stocks)), daily)
     prices = cells.select(F.format_string("STOCK_%d_PRICE", "i").alias("col"), "t", F.col("price").alias("value"))
-    sizes = cells.withColumn("value", both_ways(F.col("size"), by)).select(F.format_string("POSITION_%d_SIZE", "i").alias("col"), "t", "value")
-    rate = items.select(F.to_date("l_shipdate").alias("dt"), (F.col("l_linenumber") % 3).alias("i"), "l_discount").groupBy("dt", "i").agg(F.avg("l_discount").alias("v"))
-    rates = _on_grid(days, F.sequence(F.lit(0), F.lit(2)), rate).withColumn("value", both_ways(F.col("v"), by))
+    sizes = cells.withColumn("value", both_ways(F.col("size"), "i")).select(F.format_string("POSITION_%d_SIZE", "i").alias("col"), "t", "value")
+    offs = sums.groupBy("dt", F.col("r").alias("i")).agg((F.sum("off") / F.nullif(F.sum("offs"), F.lit(0))).alias("v"))
+    rates = _on_grid(days, F.sequence(F.lit(0), F.lit(2)), offs).withColumn("value", both_ways(F.col("v"), "i"))
     rates = rates.select(F.element_at(F.array(F.lit("RATE_SHORT"), F.lit("RATE_MID"), F.lit("RATE_LONG")), F.col("i") + 1).alias("col"), "t", "value")
-    paid = orders.groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.avg("o_totalprice").alias("v"))
-    level = orders.agg(F.avg("o_totalprice").alias("level"))
-    whole = Window.orderBy("t")  # one row a day
-    fx = days.join(paid, "dt", "left").crossJoin(F.broadcast(level)).withColumn("v", F.col("v") / F.col("level"))
-    fx = fx.select(F.lit("USD_KRW").alias("col"), "t", both_ways(F.col("v"), whole).alias("value"))
+    paid = kept(orders.groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.sum("o_totalprice").alias("v"), F.count("o_totalprice").alias("n")), "market-paid")
+    level = paid.agg((F.sum("v") / F.sum("n")).alias("level"))
+    fx = days.join(paid, "dt", "left").crossJoin(F.broadcast(level)).withColumn("v", F.col("v") / F.nullif("n", F.lit(0)) / F.col("level"))
+    fx = fx.select(F.lit("USD_KRW").alias("col"), "t", both_ways(F.col("v")).alias("value"))  # one row a day
     return prices.unionByName(sizes).unionByName(rates).unionByName(fx)
 
 
@@ -97,10 +96,8 @@ def normalised(prices: DataFrame) -> DataFrame:
 
 def as_fractions(rates: DataFrame) -> DataFrame:
     """Series of rates whose median is above 0.5 are in percent: they are divided by 100; gaps are filled on and back."""
-    by = Window.partitionBy("col")
-    value = F.when(F.percentile("value", F.lit(0.5)).over(by) > 0.5, F.col("value") / 100).otherwise(F.col("value"))
-    order = by.orderBy("t")
-    return rates.withColumn("value", value).withColumn("value", both_ways(F.col("value"), order))
+    value = F.when(F.percentile("value", F.lit(0.5)).over(Window.partitionBy("col")) > 0.5, F.col("value") / 100).otherwise(F.col("value"))
+    return rates.withColumn("value", value).withColumn("value", both_ways(F.col("value"), "col"))
 
 
 def last_days(series: DataFrame, n: int) -> DataFrame:

@@ -5,20 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master, as in tests. The executors of
+    a cluster could not see that one, so there it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tracewell-"))
+    return _own[0]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` (a temporary folder where unset, as in tests) and read again: what
-    follows is planned on a table, and a lost executor costs no more than reading it."""
+    """``df`` written to the shared folder and read again: what follows is planned on a table, and a lost executor costs
+    no more than reading it."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tracewell-"))
-        base = _own[0]
-    path = f"{base}/tracewell/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of ``kept``: call it when no query that reads one is running or still to be read."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tracewell")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
