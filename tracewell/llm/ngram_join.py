@@ -206,10 +206,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return out
 
 
-def _pairs(a: DataFrame, b: DataFrame, keys: list[str], ok: Column, known: list[DataFrame]) -> DataFrame:
-    """Pairs of classes (a < b) that meet on ``keys`` in different groups, pass the filters and are not among ``known``."""
-    met = a.alias("a").join(b.alias("b"), keys).where((F.col("a.root") != F.col("b.root")) & ok)
-    new = met.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
+def _pairs(met: DataFrame, ok: Column, known: list[DataFrame]) -> DataFrame:
+    """Pairs of classes (a < b) in rows a and b that met, of different groups, that pass the filters and are not among ``known``."""
+    new = met.where((F.col("a.root") != F.col("b.root")) & ok).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
     for before in known:
         new = new.join(before, ["a", "b"], "left_anti")
     return written(new, "ngram-pairs")
@@ -235,32 +234,35 @@ def linked(live: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
     other block in a group of its own.
     """
     ok = _may_link(percent)
+    odds = [f"odd{k}" for k in range(PARITIES)]
     links: list[DataFrame] = []
     known: list[DataFrame] = []
     groups, rows, last = None, _rooted(live, None), False
     while not last:
         last = len(known) == ROUNDS or len(known) > len(links)  # a round without links is the last one
-        keys = written(_open(rows), "ngram-open")
-        opened = rows.join(keys, "key")
         if not last:
-            mask = F.xxhash64("key", F.lit(len(known)))  # the centre is the class whose key is nearest to a number drawn for the shingle
-            centre = opened.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(mask)).alias("least"))
-            centres = opened.join(centre.select("key", F.col("least").bitwiseXOR(mask).alias("cls")), ["key", "cls"])
-            new = _pairs(opened, centres, ["key"], ok, known)
+            near = F.col("cls").bitwiseXOR(F.xxhash64("key", F.lit(len(known))))  # the centre is the class nearest to a number drawn for the shingle
+            centre = rows.groupBy("key").agg(F.min_by(F.struct("cls", "n", "pos", "suffix", *odds, "root"), near).alias("b"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"))
+            keys = written(centre.where("r1 <> r2").select("key", "b", "c"), "ngram-centres")
+            new = _pairs(rows.alias("a").join(keys, "key"), ok, known)
         else:
+            keys = written(_open(rows), "ngram-open")
+            opened = rows.join(keys, "key")
             blocks = F.ceil(F.col("n_rows") / BLOCK)
             i = F.pmod(F.xxhash64("cls"), blocks)
             every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
             apart = opened.where("root <> main").withColumn("i", i).withColumn("j", every)
             other = opened.withColumn("j", i).withColumn("i", every)
             once = (F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))
-            new = _pairs(apart, other, ["key", "i", "j"], ok & once, known)
-        forget(keys)
+            new = _pairs(apart.alias("a").join(other.alias("b"), ["key", "i", "j"]), ok & once, known)
         known.append(new)
         if not new.isEmpty() and not (found := verified(new, classes, docs, width, percent)).isEmpty():
             links.append(found)
             groups = components(reduce(DataFrame.union, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-groups")
-            rows = rows if last else written(_rooted(live, groups), "ngram-rooted")
+        if not last:  # two classes have met by now, and are done with their shingle
+            was, rows = rows, written(_rooted(rows.drop("root").join(keys.where("c > 2").select("key"), "key", "left_semi"), groups), "ngram-rooted")
+            forget(was if len(known) > 1 else None)
+        forget(keys)
     forget(*known, *links)
     return groups
 
