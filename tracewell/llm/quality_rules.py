@@ -26,7 +26,7 @@ THRESHOLD = -0.08
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
+    return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
 def _triples(hashes: Column) -> Column:
@@ -51,26 +51,26 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base_failed and the words' hashes. A null text has no words, characters, symbols or lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))
-    docs = docs.withColumn("_hashes", F.transform(_words(text), lambda w: F.xxhash64(w)))
+    docs = docs.withColumn("_parts", F.split(text, _SPACE)).withColumn("_hashes", F.transform(F.filter("_parts", lambda w: w != ""), lambda w: F.xxhash64(w)))
     docs = docs.withColumn("_triples", _triples(F.col("_hashes"))).withColumn("_lines", lines)
     # windows found twice or more, sorted by hash: those equal to a neighbour; then their places in order
-    found = F.array_sort(F.transform("_triples", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
+    found = F.sort_array(F.transform("_triples", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
     docs = docs.withColumn("_sorted", F.when(F.size(F.array_distinct("_triples")) < F.size("_triples"), found).otherwise(F.array().cast("array<struct<h:bigint,k:int>>")))
     s = F.col("_sorted")
     twice = F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)))
-    docs = docs.withColumn("_places", F.array_sort(F.transform(twice, lambda x: x["k"])))
+    docs = docs.withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["k"])))
     places = F.col("_places")
     repeats = F.aggregate(F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     n = F.size("_hashes").cast("bigint")
     base = F.struct(
         n.alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(_SPACE))).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.size("_parts") + 1).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         F.col("_hashes").alias("hashes"),
     )
-    docs = docs.withColumn("_base", base).drop("_triples", "_lines", "_sorted", "_places", "_hashes")
+    docs = docs.withColumn("_base", base).drop("_parts", "_triples", "_lines", "_sorted", "_places", "_hashes")
     return docs.withColumn("_base", F.col("_base").withField("base_failed", (F.col("_base.n_words") < 50) | (100 * F.col("_base.n_repeat_words") > 50 * F.col("_base.n_words"))))
 
 
