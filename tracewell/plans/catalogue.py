@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dataflow, detect, evaluate, faults, lineage, rank
+from ..operators import dataflow, detect, evaluate, faults, learned, lineage, rank
 from ..sources import market, topology
 from ..sources.scratch import folder, kept
 from .oracle import ablation_sql, nodes_sql, sensitivity_sql, sql
@@ -192,6 +192,16 @@ def _blended(spark: SparkSession, d: str) -> DataFrame:
 
 add("blend", _blended, sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, round(x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0), {PLACES}) + 0.0 AS score FROM score FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) x(share)"))
 
+
+
+def _isolated(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by a forest grown on the clean run."""
+    s = series(spark, d)
+    return learned.isolation_scores(s, s.where("run_id = 'clean'"))
+
+
+add("isolation_scores", lambda spark, d: _isolated(spark, d).select("run_id", "node_id", _round("score")))
+
 # rankings
 add("select_target", lambda spark, d: (lambda g, s: rank.select_target(s, g[0], g[2]))(graph(spark), scored(spark, d)), sql("SELECT run_id, target FROM target"))
 add("report_target", lambda spark, d: rank.target_from_reports(scored(spark, d), topology.nodes(spark, "market")), sql("SELECT run_id, coalesce(max(node_id) FILTER (layer = 5 AND k5 = 1 AND score >= 0.3), max(node_id) FILTER (k = 1)) AS target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, node_ord) AS k, row_number() OVER (PARTITION BY run_id, layer = 5 ORDER BY score DESC, node_ord) AS k5 FROM score) GROUP BY 1"))
