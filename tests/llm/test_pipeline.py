@@ -56,3 +56,10 @@ def test_rows_without_ids_and_repeated_rows(spark, tmp_path):
     docs = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(((r.doc_id, (r.text or "")[:5]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, "word0"), (None, "other"), (3, "")], key=str)
+
+
+def test_rows_without_ids_go_only_with_an_equal_set(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (None, text), (None, "other words that stand for themselves here"), (None, None), (2, text + " eight")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text), (None, "other words that stand for themselves here"), (None, None), (2, text + " eight")], key=str)
