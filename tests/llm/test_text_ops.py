@@ -99,9 +99,11 @@ def test_groups_without_ids_and_of_nothing(nameless, empty):
     assert ngram_join.similar_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [5000, 1])
-def test_repeats_equal_brute_force(docs, rows, most, monkeypatch):
+@pytest.mark.parametrize(("most", "hot"), [(5000, 1000), (1, 1000), (5000, 1e9)])
+def test_repeats_equal_brute_force(docs, rows, most, hot, monkeypatch):
+    """Also where anchors leave the sorting, and where every key counts as hot."""
     monkeypatch.setattr(suffix_dedup.repeated_runs, "__defaults__", (most,))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PART", 700)
     got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.suffix_dedup(docs).collect()}
     assert got == brute.without_repeats(rows)
@@ -114,6 +116,17 @@ def test_repeats_without_ids_and_of_nothing(nameless, empty):
     assert suffix_dedup.without_repeats(nameless).where("text is null").count() == 1
 
 
+def test_rows_of_one_id_have_marks_of_their_own(spark):
+    rng = random.Random(8)
+    passage = sentence(rng, 40)
+    texts = [f"{sentence(rng, k)} {passage}" for k in (5, 9, 13)]
+    docs = spark.createDataFrame([(d, t) for t in texts for d in (None, 7)][1:], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    size = len(passage)
+    assert len(got) == 5 and all(got[None, len(t)] == len(t) for t in texts[1:])
+    assert got[7, len(texts[0])] < got[7, len(texts[1])] <= size + 3 and size <= got[7, len(texts[2])] <= size + 3
+
+
 def test_quality_counts_equal_brute_force(docs, rows, spark, empty):
     trusted = spark.createDataFrame([(k,) for k in range(40)] + [(None,)], "doc_id bigint")
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, trusted).collect()}
@@ -259,6 +272,16 @@ def test_url_rules_and_list(spark):
     assert again == want
 
 
+def test_url_filter_beyond_the_broadcast(spark, monkeypatch):
+    urls = [f"http://h{k % 7}.org/{k}" for k in range(60)] + [None, "x"] * 20
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id bigint, url string")
+    listed = spark.createDataFrame([(f"h{k % 7}.org/{k}",) for k in range(0, 90, 3)], "url string")
+    want = sorted(map(tuple, url_filters.judge(pages, listed).collect()))
+    monkeypatch.setattr(url_filters, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, url_filters.judge(pages, listed).collect())) == want
+    assert [r[0] for r in want if r[5]] == list(range(0, 60, 3))
+
+
 def test_url_filter_without_list_or_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filters.judge(none, none.select("url")).count() == 0

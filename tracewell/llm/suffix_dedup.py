@@ -28,6 +28,8 @@ PART = 1 << 21
 MOST_CONTEXTS = 2000
 #: Bytes of contexts after which a task sorts what it has, at the next anchor.
 BATCH = 1 << 19
+#: Keys that more than a HOT-th of all rows share (so fewer than HOT keys) are broadcast instead of dealt out.
+HOT = 1000
 
 
 def grams(raw: np.ndarray, size: int) -> np.ndarray:
@@ -69,12 +71,12 @@ def parts(raw: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def found_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(h, doc_id, pos) of all anchors of ``docs(doc_id, text)``."""
+    """(h, v, pos) of all anchors of ``docs(v, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, d, p = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for version, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
@@ -82,12 +84,12 @@ def found_anchors(docs: DataFrame, length: int) -> DataFrame:
                     places, hashes = anchors(data, length)
                     places = places[np.flatnonzero(np.diff(places, prepend=-1))]
                     h.append(hashes[places].view(np.int64))
-                    d.append(np.full(len(places), doc, np.int64))
+                    d.append(np.full(len(places), version, np.int64))
                     p.append(places + at)
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, d, p)], ["h", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, d, p)], ["h", "v", "pos"])
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, pos bigint")
+    return docs.mapInArrow(run, "h bigint, v bigint, pos bigint")
 
 
 def contexts(marked: DataFrame, length: int) -> DataFrame:
@@ -227,17 +229,30 @@ def string_runs(rows: DataFrame, length: int) -> DataFrame:
 _LAST = (1 << 63) - 1
 
 
+def counted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` (a written table) joined with ``table(*keys, n, ...)``, which has a row for a key and in ``n`` its number
+    of rows in ``rows``. Rows of a hot key stay where they are."""
+    often = F.col("n") > rows.count() / HOT
+    hot = F.broadcast(table.where(often).drop("n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop("n"), keys, how)
+    return rows.join(hot, keys, how).unionByName(rest)
+
+
 def repeated_runs(docs: DataFrame, length: int, most: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, th, runs): for each document with any, the ranges of starts of strings that occur earlier."""
-    found = written(found_anchors(docs.select("doc_id", "text"), length), "suffix-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marks = written(found.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("marks")), "suffix-marks")
-    rows = written(contexts(docs.join(marks, "doc_id").select("doc_id", "th", "text", "marks"), length).withColumn("same", F.xxhash64("ctx")), "suffix-contexts")
+    # marks go by a number of id and text, so that many rows of one id are not one group; texts that share a number
+    # share their marks, which adds contexts that repeat nowhere and takes none away
+    docs = docs.withColumn("v", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 40)))
+    found = written(found_anchors(docs.select("v", "text"), length), "suffix-anchors")
+    again = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
+    marks = written(counted_join(found, again, ["h"], "left_semi").groupBy("v").agg(F.collect_set("pos").alias("marks")), "suffix-marks")
+    rows = contexts(docs.join(marks, "v").select("doc_id", "th", "text", "marks"), length)
+    rows = written(rows.withColumn("same", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")), "suffix-contexts")
     # equal contexts of one anchor: all but the first go
     firsts = rows.groupBy("h", "same").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts, "suffix-firsts")
-    copied = firsts.where("n > 1").select("h", "same", "first")
-    whole = rows.select("h", "same", "doc_id", "th", "start", F.octet_length("ctx").alias("size")).join(copied, ["h", "same"]).where(F.struct("doc_id", "start") != F.col("first"))
+    copied = counted_join(rows.select("h", "same", "doc_id", "th", "start", "size"), firsts.where("n > 1"), ["h", "same"], "inner")
+    whole = copied.where(F.struct("doc_id", "start") != F.col("first"))
     whole = whole.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("size") - (length - 1)).alias("b"))
     # contexts of one anchor that differ
     many = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
