@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed values of the query's contract: (verdict, rule).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Host names (without what stands before and after) whose pages make up the list of the query.
@@ -66,7 +68,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_
     allow if not. A null url or one without ``://`` has an empty host and path, no rule and is allowed. Null ids and
     repeated rows are kept. Other columns are left out. Nulls, empty strings and repeats in the list don't count.
     """
-    listed = listed.select("url").where("url <> ''").distinct()
+    listed = written(listed.select("url").where("url <> ''").distinct(), "url-list")
     blocks = max(1, listed.count() * bits_per_url // 256)
     table = bloom_blocks(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
@@ -77,13 +79,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_
     passes = F.col("b0").isNotNull()
     for k in range(4):
         passes = passes & (F.col(f"b{k}").bitwiseAND(F.col(f"m{k}")) != 0)
-    rows = rows.join(table, "block", "left").withColumn("url", F.when(passes & (F.col("url") != ""), F.col("url")))
-    # pages that don't pass have no key: they get one each, so that no task gets them all
-    rows = rows.withColumn("key", F.coalesce("url", F.concat(F.lit(" "), F.xxhash64("id", "host", "path").cast("string"))))
-    hit = listed.select(F.col("url").alias("key"), F.lit(True).alias("hit"))
-    rows = rows.join(hit, "key", "left")
-    in_list = F.coalesce("hit", F.lit(False))
-    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(in_list, "block").otherwise("allow")).alias("verdict"), in_list.alias("in_list"))
+    # pages without a canonical URL pass nothing, and look a block up that their id names, so that no task gets them all
+    rows = rows.withColumn("block", F.when(F.col("url") != "", F.col("block")).otherwise(F.pmod(F.xxhash64("id"), F.lit(blocks))))
+    rows = rows.join(table, "block", "left").withColumn("asks", F.coalesce(passes & (F.col("url") != ""), F.lit(False)))
+    rows = rows.select("id", "host", "path", "fit", "url", "asks")
+    if blocks > BROADCAST_BLOCKS:
+        rows = written(rows, "url-passed")
+    # only pages that pass the filter meet the list
+    found = rows.where("asks").join(listed.withColumn("hit", F.lit(True)), "url", "left").withColumn("in_list", F.coalesce("hit", F.lit(False)))
+    columns = ["id", "host", "path", "fit", "in_list"]
+    rows = found.select(columns).union(rows.where(~F.col("asks")).withColumn("in_list", F.lit(False)).select(columns))
+    verdict = F.coalesce("fit.verdict", F.when(F.col("in_list"), "block").otherwise("allow"))
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "in_list")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
