@@ -25,20 +25,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8 or more, the one of least id.
 
-    Rows of one id count as one document, of which one row stays. A row without an id stays if no row with an id has
-    the same shingles.
+    Every row is a document of its own, also where its id is null or repeated: a row without an id comes after those
+    with one, and of rows of one id the least by hash of the text stays. A text without words is linked with nothing,
+    and stays.
     """
-    groups = ngram_join.similar_groups(docs, width=5, percent=80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if not nameless.isEmpty():
-        own = ngram_join.profiles(docs.select("doc_id", "text"), 5).where("slice is null and doc_id is not null and cls is not null").select("cls").distinct()
-        keyed = nameless.withColumn("cls", ngram_join.class_of(5)(F.col("text")))
-        kept = kept.union(keyed.join(own, "cls", "left_anti").select(*docs.columns))
-    return kept
+    facts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if facts.n == facts.ids:
+        groups = ngram_join.similar_groups(docs, width=5, percent=80)
+        return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_join.similar_groups(rows, width=5, percent=80, id_col=key).select(key, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), key)
+    least = rows.select(key, order.alias("o")).join(groups, key).groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(least.select(F.col(f"o.{key}")), key, "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

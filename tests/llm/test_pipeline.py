@@ -63,3 +63,23 @@ def test_rows_without_ids_go_only_with_an_equal_set(spark):
     docs = spark.createDataFrame([(1, text), (None, text), (None, "other words that stand for themselves here"), (None, None), (2, text + " eight")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, text), (None, "other words that stand for themselves here"), (None, None), (2, text + " eight")], key=str)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    docs = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (4, texts[1] + " end"), (None, texts[2]), (None, texts[2]), (None, texts[2] + " end"), (None, None)], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, "a"), (4, "b"), (None, "c"), (None, "")], key=str)
+
+
+def test_stages_of_nothing_and_of_extra_columns(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, cls int, start string, _key int"
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(70)), None, None, None, "h", 1, "s", 2) for k in range(3)]
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for d, n in ((spark.createDataFrame([], schema), 0), (spark.createDataFrame([*rows, rows[0]], schema), 3)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, str(tmp_path))
+            assert d.columns == [c.split()[0] for c in schema.split(", ")]
+            d.write.parquet(f"{tmp_path}/{n}-{name}")
+            d = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+        assert d.count() == n and corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).select("doc_id").distinct().count() == n

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,16 +47,6 @@ def set_key(hashes: np.ndarray) -> int:
     return _signed((int(hashes.sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(hashes)) * 31 + len(hashes)))
 
 
-def class_of(width: int):
-    """A function of a text column: the key of its shingle set, null without words."""
-
-    @F.pandas_udf("bigint")
-    def key(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(h) if len(h) else None for h in shingle_sets(pa.array(texts, pa.string(), from_pandas=True), width)], dtype="Int64")
-
-    return key
-
-
 def parities(hashes: np.ndarray) -> bytes:
     """A bit for each of 64 * PARITIES hash ranges: whether the set has an odd number of hashes there. The number of bits
     that differ is at most the number of hashes that only one of two sets has."""
