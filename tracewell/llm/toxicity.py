@@ -70,7 +70,7 @@ def _matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def fit(positive: list, unlabelled: list, prior: float, rounds: int = 60, batches: int = 8, rate: float = 0.05, decay: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias. The loss is the logistic one; the optimiser is Adam with decoupled decay, over ``batches`` parts of P and U a
-    round. Words of fewer than three positive texts keep weight 0."""
+    round. Words that fewer than three, or fewer than 1 %, of the positive texts hold keep weight 0, as do those below LIFT."""
     rng = np.random.default_rng(seed)
     xp, xu = _matrix(positive), _matrix(unlabelled)
     in_p, in_u = np.bincount(xp[1], minlength=FEATURES), np.bincount(xu[1], minlength=FEATURES)
