@@ -101,7 +101,7 @@ def test_groups_without_ids_and_of_nothing(nameless, empty):
 
 @pytest.mark.parametrize(("most", "hot"), [(5000, 1000), (1, 1000), (5000, 1e9)])
 def test_repeats_equal_brute_force(docs, rows, most, hot, monkeypatch):
-    """Also where anchors leave the sorting, and where every key counts as hot."""
+    """Also where every bucket is refined to the end before it is sorted, and where every key counts as hot."""
     monkeypatch.setattr(suffix_dedup.repeated_runs, "__defaults__", (most,))
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PART", 700)

@@ -5,17 +5,20 @@ in it. Anchors that occur once are dropped by one count over all; around the oth
 repeats make contexts. Contexts with equal bytes are one but for the first. Those that differ and share an anchor
 meet in a task, which sorts their suffixes by bucket-pointer refinement: the first buckets are those of q-grams, and
 buckets are refined by sorting on the bucket pointers at later offsets, each refinement reusing the last one's
-pointers, until LENGTH bytes are told apart. An anchor of very many contexts is split by the strings themselves.
+pointers, until LENGTH bytes are told apart. A bucket of more contexts than a task sorts is refined by tables first: its
+contexts are dealt into the buckets of longer shared strings, equal ones again but for the first, and so on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from .common import mixed, written
 GRAM = 24
 #: Bytes that are looked at at once; longer documents are looked at in parts that overlap by LENGTH - 1.
 PART = 1 << 21
-#: Contexts of one anchor that one task sorts; an anchor with more is split by strings.
+#: Contexts of one bucket that one task sorts; one with more is dealt into buckets of longer strings first.
 MOST_CONTEXTS = 2000
 #: Bytes of contexts after which a task sorts what it has, at the next anchor.
 BATCH = 1 << 19
@@ -204,26 +207,32 @@ def sorted_runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").select("h", "doc_id", "th", "start", "ctx").mapInArrow(run, RUNS)
 
 
-def string_runs(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many contexts: strings meet by two hashes, counted before they are dealt out."""
+def halved(rows: DataFrame, length: int) -> DataFrame:
+    """The contexts of ``rows(doc_id, th, start, ctx, lo, hi)`` in buckets of a later offset, with the bucket as ``h``.
+
+    A context's strings have their anchor from ``lo`` to ``hi`` - 1 bytes after their start, so all hold the ``lo``
+    bytes before it and some after it. Half of that range fixes more bytes on one side or the other: each context gives
+    at most two, each with a hash of the bytes that its strings must share. At a range of one these are the whole string.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = length // 4
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for doc, th, start, ctx in zip(*(whole.slice(at, 500).column(k).to_pylist() for k in range(4)), strict=True):
-                    g = grams(np.frombuffer(ctx, np.uint8), q)
-                    n = len(ctx) - length + 1
-                    x = mixed(mixed(g[:n] + mixed(g[q : q + n])) + mixed(mixed(g[2 * q : 2 * q + n]) + np.uint64(3) + g[3 * q : 3 * q + n]))
-                    for column, values in zip(out, (x.view(np.int64), np.full(n, doc), np.full(n, th), start + np.arange(n)), strict=True):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["x", "doc_id", "th", "start"])
-
-    strings = written(rows.select("doc_id", "th", "start", "ctx").mapInArrow(run, "x bigint, doc_id bigint, th bigint, start bigint"), "suffix-strings")
-    first = strings.groupBy("x").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "first")
-    later = strings.join(first, "x").where(F.struct("doc_id", "start") != F.col("first"))
-    return later.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc, th, start, ctx, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                at = int(anchors(np.frombuffer(ctx, np.uint8), length)[0][0])
+                mid = (lo + hi) // 2
+                for low, high in ((lo, mid), (mid, hi)):
+                    first, last = max(0, at - high + 1), min(len(ctx) - length, at - low)
+                    if low < high and first <= last:
+                        shared = ctx[at - low : at + length - high + 1]
+                        h = xxhash.xxh3_64_intdigest(shared, seed=low << 32 | high)
+                        values = (h - (1 << 64) if h >> 63 else h, doc, th, start + first, ctx[first : last + length], low, high)
+                        for column, value in zip(out, values, strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "doc_id", "th", "start", "ctx", "lo", "hi"])
+
+    return rows.mapInArrow(run, "h bigint, doc_id bigint, th bigint, start bigint, ctx binary, lo int, hi int")
 
 
 _LAST = (1 << 63) - 1
@@ -246,22 +255,27 @@ def repeated_runs(docs: DataFrame, length: int, most: int = MOST_CONTEXTS) -> Da
     found = written(found_anchors(docs.select("v", "text"), length), "suffix-anchors")
     again = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
     marks = written(counted_join(found, again, ["h"], "left_semi").groupBy("v").agg(F.collect_set("pos").alias("marks")), "suffix-marks")
-    rows = contexts(docs.join(marks, "v").select("doc_id", "th", "text", "marks"), length)
-    rows = written(rows.withColumn("same", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")), "suffix-contexts")
-    # equal contexts of one anchor: all but the first go
-    firsts = rows.groupBy("h", "same").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    firsts = written(firsts, "suffix-firsts")
-    copied = counted_join(rows.select("h", "same", "doc_id", "th", "start", "size"), firsts.where("n > 1"), ["h", "same"], "inner")
-    whole = copied.where(F.struct("doc_id", "start") != F.col("first"))
-    whole = whole.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("size") - (length - 1)).alias("b"))
-    # contexts of one anchor that differ
-    many = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differ = firsts.join(many, "h").select("h", "same", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "kinds")
-    differ = written(rows.join(differ, ["h", "same", "doc_id", "start"]).select("h", "doc_id", "th", "start", "ctx", "kinds"), "suffix-differ")
-    runs = whole.union(sorted_runs(differ.where(F.col("kinds") <= most), length))
-    if not (hot := differ.where(F.col("kinds") > most)).isEmpty():
-        runs = runs.union(string_runs(hot, length))
-    return written(runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")
+    rows, runs, span = contexts(docs.join(marks, "v").select("doc_id", "th", "text", "marks"), length), [], []
+    while rows is not None:
+        rows = written(rows.withColumn("same", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")), "suffix-contexts")
+        # equal contexts of one bucket: all but the first go
+        firsts = rows.groupBy("h", "same").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+        firsts = written(firsts, "suffix-firsts")
+        copied = counted_join(rows.select("h", "same", "doc_id", "th", "start", "size"), firsts.where("n > 1"), ["h", "same"], "inner")
+        whole = copied.where(F.struct("doc_id", "start") != F.col("first"))
+        runs.append(whole.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("size") - (length - 1)).alias("b")))
+        # contexts of one bucket that differ
+        many = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        differ = firsts.join(many, "h").select("h", "same", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "kinds")
+        differ = written(rows.join(differ, ["h", "same", "doc_id", "start"]).select("h", "doc_id", "th", "start", "ctx", "kinds", *span), "suffix-differ")
+        runs.append(sorted_runs(differ.where(F.col("kinds") <= most), length))
+        hot = differ.where(F.col("kinds") > most)
+        if not span:  # at first, the anchor is anywhere in a string
+            hot = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM + 1))
+        span = ["lo", "hi"]
+        rows = None if hot.isEmpty() else halved(hot.select("doc_id", "th", "start", "ctx", *span), length)
+    every = reduce(DataFrame.union, runs)
+    return written(every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")
 
 
 def removed_spans(runs: list, length: int) -> list[tuple[int, int]]:
