@@ -1,6 +1,6 @@
-"""Anomaly scores by an isolation forest over windows of series.
+"""Anomaly scores by an isolation forest, or by a one-class boundary, over windows of series.
 
-The forest is grown in numpy on a bounded sample of windows of clean runs and sent to the tasks; every window of every
+The model is fitted in numpy on a bounded sample of windows of clean runs and sent to the tasks; every window of every
 series is scored, and a node's score is the logistic of how far the mean of its windows lies from that of the sample.
 """
 
@@ -50,6 +50,9 @@ class Forest:
     depth: np.ndarray
     size: int
 
+    def of(self, frame: pd.DataFrame) -> np.ndarray:
+        return self.scores(np.stack(frame.w))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """In (0, 1) for each row of ``x``: near 1 where rows are told apart after few splits."""
         total = np.zeros(len(x))
@@ -91,24 +94,79 @@ def grow(x: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: int
     return Forest(np.array(roots), np.array(value), np.array(cut), np.array(children), np.array(depth), size)
 
 
-def isolation_scores(series: DataFrame, clean: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
-    """(run_id, node_id, score) of every node of ``series``; the forest is grown on ``sample`` windows at most of
-    ``clean`` (series of clean runs), those of least hash. Nodes without windows score 0."""
-    some = windows(clean, width).orderBy(F.xxhash64(*NODE, "t"), *NODE, "t").limit(sample).select("w").toPandas()
-    nodes = series.select(*NODE).distinct()
-    if some.empty:
-        return nodes.withColumn("score", F.lit(0.0))
-    x = np.stack(some.w)
-    forest = grow(x)
-    usual = forest.scores(x)
+def sampled(rows: DataFrame, bound: int) -> pd.DataFrame:
+    """At most ``bound`` rows of windows, those of least hash."""
+    return rows.orderBy(F.xxhash64(*NODE, "t"), *NODE, "t").limit(bound).toPandas()
+
+
+def node_scores(series: DataFrame, rows: DataFrame, model: object, usual: np.ndarray) -> DataFrame:
+    """(run_id, node_id, score) of every node of ``series`` from its windows in ``rows``: the logistic of how many
+    deviations the mean of ``model.of(frame)`` lies above that of ``usual``. Nodes without windows score 0."""
     mean, dev = float(usual.mean()), max(float(usual.std()), 1e-8)
-    held = series.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2 * PER_TREE nodes
+    held = series.sparkSession.sparkContext.broadcast(model)  # of a size fixed by the bounds of its fit
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"run_id": f.run_id, "node_id": f.node_id, "s": held.value.scores(np.stack(f.w))})
+                yield pd.DataFrame({"run_id": f.run_id, "node_id": f.node_id, "s": held.value.of(f)})
 
-    each = windows(series, width).select(*NODE, "w").mapInPandas(scored, "run_id string, node_id string, s double")
+    each = rows.mapInPandas(scored, "run_id string, node_id string, s double")
     own = each.groupBy(*NODE).agg(F.avg("s").alias("s")).withColumn("score", 1 / (1 + F.exp(-(F.col("s") - mean) / dev)))
-    return nodes.join(own.select(*NODE, "score"), list(NODE), "left").fillna(0.0, ["score"])
+    return series.select(*NODE).distinct().join(own.select(*NODE, "score"), list(NODE), "left").fillna(0.0, ["score"])
+
+
+def isolation_scores(series: DataFrame, clean: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
+    """(run_id, node_id, score) of every node of ``series``; the forest is grown on ``sample`` windows at most of
+    ``clean`` (series of clean runs), those of least hash. Nodes without windows score 0."""
+    some = sampled(windows(clean, width), sample)
+    if some.empty:
+        return series.select(*NODE).distinct().withColumn("score", F.lit(0.0))
+    forest = grow(np.stack(some.w))
+    return node_scores(series, windows(series, width), forest, forest.of(some))
+
+
+@dataclass(frozen=True)
+class Boundary:
+    """A one-class boundary in the space of a kernel's landmarks."""
+
+    mean: np.ndarray
+    dev: np.ndarray
+    landmarks: np.ndarray
+    whiten: np.ndarray
+    w: np.ndarray
+    rho: float
+
+    def mapped(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.dev
+        apart = (z**2).sum(axis=1)[:, None] + (self.landmarks**2).sum(axis=1) - 2 * z @ self.landmarks.T
+        return np.exp(-np.maximum(apart, 0) / z.shape[1]) @ self.whiten
+
+    def of(self, frame: pd.DataFrame) -> np.ndarray:
+        return self.rho - self.mapped(np.stack(frame.w)) @ self.w
+
+
+def bounded(x: np.ndarray, nu: float = 0.1, landmarks: int = 100, rounds: int = 300, seed: int = 0) -> Boundary:
+    """The boundary that leaves about a share ``nu`` of ``x`` outside: 1/2 |w|^2 - rho + mean(max(0, rho - w f(x))) / nu,
+    descended by its subgradient, with ``rho`` at its best (the ``nu`` quantile) in each round."""
+    mean, dev = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-8)
+    z = (x - mean) / dev
+    some = z[np.random.default_rng(seed).choice(len(z), min(landmarks, len(z)), replace=False)]
+    near = np.exp(-((some[:, None] - some[None]) ** 2).sum(axis=2) / z.shape[1])
+    values, vectors = np.linalg.eigh(near)
+    empty = Boundary(mean, dev, some, vectors / np.sqrt(np.maximum(values, 1e-12)) @ vectors.T, np.zeros(len(some)), 0.0)
+    f = empty.mapped(x)
+    w = f.mean(axis=0)
+    for k in range(1, rounds + 1):
+        s = f @ w
+        outside = f[s <= np.quantile(s, nu)]
+        w = w - (w - outside.mean(axis=0)) / (k + 1)
+    return Boundary(mean, dev, some, empty.whiten, w, float(np.quantile(f @ w, nu)))
+
+
+def boundary_scores(series: DataFrame, clean: DataFrame, sample: int = 20_000, width: int = WIDTH) -> DataFrame:
+    """As ``isolation_scores``, by a one-class boundary fitted to ``sample`` windows of ``clean`` at most."""
+    some = sampled(windows(clean, width), sample)
+    if some.empty:
+        return series.select(*NODE).distinct().withColumn("score", F.lit(0.0))
+    boundary = bounded(np.stack(some.w))
+    return node_scores(series, windows(series, width), boundary, boundary.of(some))

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dataflow, detect, evaluate, faults, learned, lineage, rank
+from ..operators import autoencoder, causal, dataflow, detect, evaluate, faults, graphnet, learned, lineage, rank
 from ..sources import market, topology
 from ..sources.scratch import folder, kept
 from .oracle import ablation_sql, nodes_sql, sensitivity_sql, sql
@@ -193,14 +193,23 @@ def _blended(spark: SparkSession, d: str) -> DataFrame:
 add("blend", _blended, sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, round(x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0), {PLACES}) + 0.0 AS score FROM score FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) x(share)"))
 
 
+def _learned(score: Callable[..., DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    """Scores by a model of the clean run."""
+    s = series(spark, d)
+    return score(s, s.where("run_id = 'clean'"))
+
 
-def _isolated(spark: SparkSession, d: str) -> DataFrame:
-    """Scores by a forest grown on the clean run."""
+def _encoded(spark: SparkSession, d: str, **kind: bool) -> DataFrame:
     s = series(spark, d)
-    return learned.isolation_scores(s, s.where("run_id = 'clean'"))
+    return autoencoder.autoencoder_scores(s, s.where("run_id = 'clean'"), topology.nodes(spark, "market"), **kind)
 
 
-add("isolation_scores", lambda spark, d: _isolated(spark, d).select("run_id", "node_id", _round("score")))
+_MODELS: dict[str, Query] = {
+    "isolation_scores": partial(_learned, learned.isolation_scores), "boundary_scores": partial(_learned, learned.boundary_scores), "autoencoder_scores": _encoded,
+    "autoencoder_by_kind": partial(_encoded, by_kind=True, told=False), "autoencoder_hybrid": partial(_encoded, by_kind=True),
+}
+for _name, _model in _MODELS.items():
+    add(_name, lambda spark, d, m=_model: m(spark, d).select("run_id", "node_id", _round("score")))
 
 # rankings
 add("select_target", lambda spark, d: (lambda g, s: rank.select_target(s, g[0], g[2]))(graph(spark), scored(spark, d)), sql("SELECT run_id, target FROM target"))
@@ -228,6 +237,47 @@ add(
 )
 
 
+def _graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(v2 ranking, features, links) of every run's candidates and their neighbours."""
+    at, _, e = placed(spark, d)
+    v2 = kept(rank.rank_walk(at, e, rank.V2, lineage.depth(e)), "v2")
+    features = kept(rank.graph_features(v2, at, e), "features")
+    return v2, features, kept(graphnet.links(features, e), "links")
+
+
+_SUB = "SELECT run_id, node_id FROM rank_v2 WHERE rank <= 10 UNION SELECT run_id, e.v FROM rank_v2 JOIN edge e ON e.u = node_id WHERE rank <= 10 UNION SELECT run_id, e.u FROM rank_v2 JOIN edge e ON e.v = node_id WHERE rank <= 10"
+_PASSED = "CASE e.edge_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in lineage.TRANSFER.items()) + " ELSE 1.0::DOUBLE END"
+_LINKED = f"SELECT b.run_id, b.node_id, a.node_id AS other, {_PASSED} AS weight FROM edge e JOIN sub b ON b.node_id = e.v JOIN sub a ON a.node_id = e.u AND a.run_id = b.run_id UNION ALL SELECT run_id, node_id, node_id, 1.0::DOUBLE FROM sub"
+add(
+    "gnn_adjacency", lambda spark, d: graphnet.adjacency(_graphs(spark, d)[2]).select("run_id", "node_id", "other", _round("weight")),
+    sql(f"SELECT l.run_id, l.node_id, l.other, round(l.weight / sqrt(greatest(x.d, 1.0) * greatest(y.d, 1.0)), {PLACES}) + 0.0 AS weight FROM linked l JOIN degree x ON x.run_id = l.run_id AND x.node_id = l.node_id JOIN degree y ON y.run_id = l.run_id AND y.node_id = l.other", ("sub", _SUB), ("linked", _LINKED), ("degree", "SELECT run_id, node_id, sum(weight) AS d FROM linked GROUP BY 1, 2")),
+)
+
+
+def _by_network(relational: bool, spark: SparkSession, d: str) -> DataFrame:
+    """The v2 ranking by a graph network; each run is ranked by a net that was trained on the others."""
+    v2, features, link = _graphs(spark, d)
+    truth = faults.registered(spark)[2].withColumn("fold", F.substring("run_id", 2, 1).cast("int"))
+    found = graphnet.network_scores(graphnet.samples(features, link), truth, relational)
+    return rank.rerank(v2, found, topology.nodes(spark, "market"))
+
+
+for _name, _relational in {"rank_gnn": False, "rank_gnn_relational": True}.items():
+    add(_name, lambda spark, d, r=_relational: _by_network(r, spark, d).select("run_id", "target", "node_id", _round("score"), "rank"))
+
+
+def _causal(spark: SparkSession, d: str) -> DataFrame:
+    """The series, and the scores from them, are written once."""
+    n, e, c = graph(spark)
+    s = series(spark, d)
+    scores = kept(detect.fused(detect.signals(s, n), n), "scores")
+    at = kept(rank.placed(scores, rank.select_target(scores, n, c), n, c), "placed")
+    return causal.rank_causal(s, at, n, e)
+
+
+add("rank_causal", lambda spark, d: _causal(spark, d).select("run_id", "target", "node_id", _round("score"), "rank"))
+
+
 def _folded(spark: SparkSession, d: str) -> DataFrame:
     e = market.table(spark, d, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("anomaly_type"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("size"), F.col("event_id").alias("trial"))
     return rank.folds(e).select("run_id", "anomaly_type", "size", "fold")
