@@ -2,6 +2,7 @@
 
 from .ann import op7_ann
 from .bpe_coding import op2_bpe_coding
+from .divergence import OP13_SQL, op13_divergence
 from .ngram_join import op3_ngram_join
 from .packing import op6_packing
 from .pii import op5_pii
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op13_divergence": op13_divergence,
 }
 
-SQL = {"op1_url_filters": OP1_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op13_divergence": OP13_SQL}
