@@ -2,7 +2,9 @@
 
 from .ann import op7_ann
 from .bpe_coding import op2_bpe_coding
+from .chat import op12_chat_formatting
 from .divergence import OP13_SQL, op13_divergence
+from .lexical import OP11_SQL, op11_lexical_search
 from .ngram_join import op3_ngram_join
 from .packing import op6_packing
 from .pii import op5_pii
@@ -23,7 +25,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_chat_formatting": op12_chat_formatting,
     "op13_divergence": op13_divergence,
 }
 
-SQL = {"op1_url_filters": OP1_SQL, "op13_divergence": OP13_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op11_lexical_search": OP11_SQL, "op13_divergence": OP13_SQL}
