@@ -1,8 +1,9 @@
 """The risk dataflow over source(run_id, col, t, value): every node's series, for all runs at once.
 
 Two frames carry the work: one row for each (run, instrument, day) up to volatilities, and one for each (run, day) for
-the portfolio; each is partitioned once and all rolling figures share that partitioning. ``faults`` is a small table of
-parameters by run (see faults.py) that the plan takes up where a fault acts.
+the portfolio; each is partitioned once and all rolling figures share that partitioning. ``runs(run_id, n_stocks)`` says
+how many instruments a run has; ``overrides(run_id, node_id, factor, t_from, t_to, width, member)`` holds the faults of
+single nodes (see faults.py), which the plan takes up where they act.
 """
 
 from __future__ import annotations
@@ -49,55 +50,79 @@ def _volatility(width: int) -> Column:
     return rolling(F.col("ret"), _stock(), width, width, F.stddev_samp)
 
 
+#: The least number that all widths up to MOST_DAYS divide.
+MOST_DAYS, _WHOLE = 20, 232_792_560
+
+
+def volatility(width: Column) -> Column:
+    """Deviation of ``ret`` over the last ``width`` days, a number from 1 to MOST_DAYS that may differ from series to
+    series; null with fewer days. Ordered by days in units of the width, all frames have one length."""
+    w = Window.partitionBy("run_id", "i").orderBy(F.col("t").cast("long") * F.floor(F.lit(_WHOLE) / width)).rangeBetween(1 - _WHOLE, 0)
+    return F.when(F.count("ret").over(w) >= width, F.stddev_samp("ret").over(w))
+
+
+def by_stock(overrides: DataFrame) -> DataFrame:
+    """(run_id, i, fx_factor, fx_from, fx_to, vol_factor, vol_width, lost): what acts on each instrument's conversion and
+    volatility, and whether its sector leaves it out."""
+    own = overrides.withColumn("i", F.coalesce("member", F.regexp_extract("node_id", r"STOCK_(\d+)_PRICE$", 1).try_cast("int")))
+    at = lambda prefix, c: F.max(F.when(F.col("node_id").startswith(prefix), c))
+    fx, vol = "ETL_FX_", "FEAT_VOL20_"
+    return own.where("i is not null").groupBy("run_id", "i").agg(
+        at(fx, F.col("factor")).alias("fx_factor"), at(fx, F.col("t_from")).alias("fx_from"), at(fx, F.col("t_to")).alias("fx_to"),
+        at(vol, F.col("factor")).alias("vol_factor"), at(vol, F.col("width")).alias("vol_width"), at("FEAT_SECTOR_", F.lit(1)).alias("lost"),
+    )
+
+
 def _settled(frame: DataFrame, name: str) -> DataFrame:
     """Gaps of a volatility: the next value, else the last, else 0."""
     return frame.withColumn(name, F.coalesce(back_filled(F.col(name), "run_id", "i"), filled(F.col(name), "run_id", "i"), F.lit(0.0)))
 
 
-def instruments(source: DataFrame, faults: DataFrame | None = None) -> DataFrame:
-    """All series of single instruments: raw, size, fx, clean, filtered, krw, worth, ret, vol20, vol60."""
-    frame = clip(impute(stocks(source)))
-    if faults is not None:
-        frame = frame.join(F.broadcast(faults), "run_id", "left")  # a row for each run
+def instruments(source: DataFrame, runs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """All series of single instruments: raw, size, fx, clean, filtered, krw, worth, ret, vol20, vol60.
+
+    A conversion that is overridden is multiplied by its factor, its days from t_from (else a third of all) to t_to by 3
+    more; a volatility that is, is over its width, 0 where that has too few days, times its factor.
+    """
+    frame = clip(impute(stocks(source))).join(by_stock(overrides), ["run_id", "i"], "left").join(runs.select("run_id", "n_stocks"), "run_id")
     frame = frame.withColumn("krw", F.col("filtered") * F.col("fx"))
-    if faults is not None:
-        n = F.max("t").over(Window.partitionBy("run_id", "i")) + 1
-        third = F.floor(n / 3)
-        extra = F.when((F.col("t") >= third) & (F.col("t") < third + 10), 3.0).otherwise(1.0)
-        frame = frame.withColumn("krw", F.when(F.col("i") == F.col("fx_stock"), F.col("krw") * F.col("fx_factor") * extra).otherwise(F.col("krw")))
+    n = F.max("t").over(Window.partitionBy("run_id", "i")) + 1
+    start = F.coalesce("fx_from", F.floor(n / 3))
+    extra = F.when((F.col("t") >= start) & (F.col("t") < F.coalesce("fx_to", start + 10)), 3.0).otherwise(1.0)
+    frame = frame.withColumn("krw", F.when(F.col("fx_factor").isNotNull(), F.col("krw") * F.col("fx_factor") * extra).otherwise(F.col("krw")))
     frame = frame.withColumn("worth", F.col("krw") * F.col("size"))
     frame = frame.withColumn("_ln", F.when(F.col("filtered") > 0, F.ln("filtered")))
     frame = frame.withColumn("ret", F.coalesce(F.col("_ln") - F.lag("_ln").over(_stock()), F.lit(0.0)))
-    frame = frame.withColumn("vol20", _volatility(20)).withColumn("vol60", _volatility(60))
-    frame = _settled(_settled(frame, "vol20"), "vol60")
-    if faults is not None:
-        short = F.coalesce(rolling(F.col("ret"), _stock(), 2, 2, F.stddev_samp), F.lit(0.0))  # the frame must be a literal: faults use width 2
-        frame = frame.withColumn("vol20", F.when(F.col("i") == F.col("vol_stock"), short * F.col("vol_factor")).otherwise(F.col("vol20")))
-    return frame.drop("_ln")
-
-
-def sectors(frame: DataFrame, n_stocks: int) -> tuple[Column, Column]:
-    """Mean returns of the first half of stocks and of the rest, to be used in a groupBy of ``instruments``."""
-    half = max(1, n_stocks // 2)
-    a = F.col("i") <= half
-    b = F.col("i") > half if n_stocks > half else a
-    if "drop_stock" in frame.columns:
-        lost = F.coalesce(F.col("i") == F.col("drop_stock"), F.lit(False))
-        a, b = a & ~lost, b & ~lost
+    frame = frame.withColumn("vol20", volatility(F.coalesce("vol_width", F.lit(MOST_DAYS)))).withColumn("vol60", _volatility(60))
+    wrong = F.coalesce("vol20", F.lit(0.0)) * F.col("vol_factor")
+    frame = _settled(_settled(frame.withColumn("_wrong", wrong), "vol20"), "vol60")
+    return frame.withColumn("vol20", F.coalesce("_wrong", "vol20")).drop("_ln", "_wrong")
+
+
+def half(n_stocks: Column) -> Column:
+    """How many instruments the first sector has; the second has the others, or the same where there is one."""
+    return F.greatest(F.lit(1), F.floor(n_stocks / 2)).cast("int")
+
+
+def sectors() -> tuple[Column, Column]:
+    """Mean returns of both sectors, to be used in a groupBy of ``instruments``. A sector of one leaves none out."""
+    first, n = half(F.col("n_stocks")), F.col("n_stocks")
+    in_a = F.col("i") <= first
+    in_b = F.when(n > first, ~in_a).otherwise(in_a)
+    lost = F.col("lost").isNotNull()
+    a = in_a & ~(lost & (first > 1))
+    b = in_b & ~(lost & (F.greatest(n - first, F.lit(1)) > 1))
     return F.avg(F.when(a, F.col("ret"))).alias("sector_a"), F.avg(F.when(b, F.col("ret"))).alias("sector_b")
 
 
-def _whole(c: str, n: int, what) -> Column:
-    """An aggregate that is null unless all n members have a value."""
-    return F.when(F.count(c) == n, what(c))
+def _whole(c: str, what) -> Column:
+    """An aggregate that is null unless all members have a value."""
+    return F.when(F.count(c) == F.max("n_stocks"), what(c))
 
 
-def portfolio(frame: DataFrame, n_stocks: int = 5) -> DataFrame:
+def portfolio(frame: DataFrame) -> DataFrame:
     """(run_id, t) with total, sectors, risk figures and reports, from ``instruments``."""
-    n = n_stocks
-    day = frame.groupBy("run_id", "t").agg(
-        _whole("worth", n, F.sum).alias("total"), _whole("ret", n, F.avg).alias("ret"), _whole("vol20", n, F.avg).alias("vol"), F.max("worth").alias("top"), *sectors(frame, n)
-    )
+    day = frame.groupBy("run_id", "t").agg(_whole("worth", F.sum).alias("total"), _whole("ret", F.avg).alias("ret"), _whole("vol20", F.avg).alias("vol"), F.max("worth").alias("top"), *sectors())
     last60 = _run().rowsBetween(-59, 0)
     enough = F.count("ret").over(last60) >= 60
     tail = F.collect_list("ret").over(last60)

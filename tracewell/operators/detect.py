@@ -1,6 +1,7 @@
 """Anomaly scores in [0, 1] of every node's series, for all runs at once.
 
-``series`` is node_series(run_id, node_id, t, value); missing values are null. Signals: rolling z and segment variance
+``series`` is node_series(run_id, node_id, t, value); missing values are null. ``nodes`` are those of one topology that
+all runs share, or with a ``run_id`` each run's own (lineage.by_run). Signals: rolling z and segment variance
 (raw), short against long variance, distance from peers, share of days apart from peers, and what a node's inputs
 leave unexplained.
 """
@@ -18,6 +19,24 @@ from .lineage import TRANSFER, by_kind
 NODE = ("run_id", "node_id")
 
 
+def _own(nodes: DataFrame) -> list[str]:
+    """What names a node in ``nodes``."""
+    return list(NODE) if "run_id" in nodes.columns else ["node_id"]
+
+
+def _meta(nodes: DataFrame, *cols) -> DataFrame:
+    """Columns of nodes; those of one topology are few, so they are broadcast."""
+    out = nodes.select(*_own(nodes), *cols)
+    return out if "run_id" in nodes.columns else F.broadcast(out)
+
+
+def _most_upstream(nodes: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
+    """(run_id, node_id, out): the largest ``value`` among each node's inputs."""
+    own = [c for c in _own(nodes) if c != "node_id"]
+    up = nodes.select(*own, "node_id", F.explode("upstream").alias("u"))
+    return up.join(values.select("run_id", F.col("node_id").alias("u"), F.col(value).alias("_v")), [*own, "u"]).groupBy(*NODE).agg(F.max("_v").alias(out))
+
+
 def _by_day() -> WindowSpec:
     return Window.partitionBy(*NODE).orderBy("t")
 
@@ -69,7 +88,7 @@ def level_and_spread(rows: DataFrame) -> DataFrame:
 def peer_score(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(run_id, node_id, peer): how far level and relative spread are from the peers'. Figures of a node are a row each,
     so peers meet by an equi-join on their key."""
-    own = level_and_spread(rows).join(nodes.select("node_id", "peer_key"), "node_id")
+    own = level_and_spread(rows).join(_meta(nodes, "peer_key"), _own(nodes))
     other = own.where("m > 5").select("run_id", "peer_key", F.col("node_id").alias("peer_id"), F.col("mean").alias("pm"), F.col("cv").alias("pc"))
     met = own.join(other, ["run_id", "peer_key"]).where("node_id <> peer_id")
     g = met.groupBy(*NODE).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("cv").alias("cv"), F.count("*").alias("peers"), F.avg("pm").alias("pm"), F.avg("pc").alias("pc"), (F.stddev_pop("pm") + 1e-10).alias("sm"), (F.stddev_pop("pc") + 1e-10).alias("sc"))
@@ -84,7 +103,7 @@ def peer_share(rows: DataFrame, nodes: DataFrame, beyond: float = 2.0) -> DataFr
 
     Mean and deviation of the others come from sums over all of a key's rows of the day, so rows don't meet in pairs.
     """
-    s = rows.join(F.broadcast(nodes.select("node_id", "peer_key")), "node_id")
+    s = rows.join(_meta(nodes, "peer_key"), _own(nodes))
     day = Window.partitionBy("run_id", "peer_key", "t")
     s = s.withColumn("c", F.count("*").over(day)).withColumn("mid", F.avg("value").over(day)).withColumn("ss", F.var_pop("value").over(day) * F.count("*").over(day))
     c, off = F.col("c"), F.col("value") - F.col("mid")
@@ -96,10 +115,8 @@ def peer_share(rows: DataFrame, nodes: DataFrame, beyond: float = 2.0) -> DataFr
 
 def causal_excess(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """(run_id, node_id, excess): raw less what the most anomalous input passes on; sources keep raw."""
-    up = nodes.select("node_id", F.explode("upstream").alias("u"))
-    most = up.join(raw.select("run_id", F.col("node_id").alias("u"), F.col("raw").alias("r")), "u").groupBy("run_id", "node_id").agg(F.max("r").alias("r"))
-    kind = nodes.select("node_id", by_kind(F.col("transform_type"), TRANSFER, 0.7).alias("rho"), (F.size("upstream") == 0).alias("top"))
-    both = raw.join(F.broadcast(kind), "node_id").join(most, list(NODE), "left")
+    kind = _meta(nodes, by_kind(F.col("transform_type"), TRANSFER, 0.7).alias("rho"), (F.size("upstream") == 0).alias("top"))
+    both = raw.join(kind, _own(nodes)).join(_most_upstream(nodes, raw, "raw", "r"), list(NODE), "left")
     return both.select(*NODE, F.when(F.col("top"), F.col("raw")).otherwise(unit(F.col("raw") - F.col("rho") * F.coalesce("r", F.lit(0.0)))).alias("excess"))
 
 
@@ -114,10 +131,10 @@ def signals(series: DataFrame, nodes: DataFrame, threshold: float = 2.0) -> Data
 
 
 def fused(signal: DataFrame, nodes: DataFrame) -> DataFrame:
-    """signals with ``score``: by layer, how much each signal counts."""
-    meta = nodes.select("node_id", "node_ord", "layer", F.exists("output_columns", lambda c: c.contains("VOL")).alias("is_vol"))
-    up = nodes.select("node_id", F.explode("upstream").alias("u")).join(signal.select("run_id", F.col("node_id").alias("u"), F.col("peer").alias("p")), "u").groupBy("run_id", "node_id").agg(F.max("p").alias("up_peer"))
-    s = signal.join(F.broadcast(meta), "node_id").join(up, list(NODE), "left").fillna(0.0, ["up_peer"])
+    """signals with ``score``: by layer, how much each signal counts. With nodes by run, ``topology`` too."""
+    topology = ["topology"] if "run_id" in nodes.columns else []
+    meta = _meta(nodes, *topology, "node_ord", "layer", F.exists("output_columns", lambda c: c.contains("VOL")).alias("is_vol"))
+    s = signal.join(meta, _own(nodes)).join(_most_upstream(nodes, signal, "peer", "up_peer"), list(NODE), "left").fillna(0.0, ["up_peer"])
     raw, sl, excess, peer = (F.col(c) for c in ("raw", "sl", "excess", "peer"))
     origin = F.when(F.col("is_vol") & (F.col("phi") > 0.5) & (peer > 0.7) & (F.col("up_peer") < 0.5), 0.85 * peer).otherwise(0.0)
     first = F.greatest(raw, 0.5 * sl, 0.75 * peer)
@@ -128,7 +145,7 @@ def fused(signal: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def weighted(signal: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
     """(setting, run_id, node_id, score) for each row of ``weights(setting, w1..w8)``; the peer signal counts as 0, so that w6 has no effect."""
-    s = signal.join(F.broadcast(nodes.select("node_id", "node_ord", "layer")), "node_id").crossJoin(F.broadcast(weights))
+    s = signal.join(_meta(nodes, "node_ord", "layer"), _own(nodes)).crossJoin(F.broadcast(weights))
     raw, sl, excess = F.col("raw"), F.col("sl"), F.col("excess")
     early = F.greatest(F.col("w1") * raw, F.col("w2") * sl)
     third = F.greatest(F.col("w3") * raw, F.col("w4") * excess, F.col("w5") * sl)

@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.market import normal
+from . import grid
 
-OVERRIDES = "run_id string, fx_stock int, fx_factor double, vol_stock int, vol_factor double, drop_stock int"
-ACTIONS = "run_id string, col string, t_from int, t_to int, op string, amount double"
+RUNS = "run_id string, topology string, n_stocks int"
+#: Faults of single nodes: a conversion's or volatility's factor, a stretch of days, a window's width, a sector's member left out.
+OVERRIDES = "run_id string, node_id string, factor double, t_from int, t_to int, width int, member int"
+ACTIONS = "run_id string, col string, t_from int, t_to int, op string, amount double, seed bigint"
 TRUTH = "run_id string, anomaly_type string, node_id string, magnitude double"
 #: The registered runs: one for each kind of fault with fixed places, at this magnitude.
 MAGNITUDE = 8.0
 
 
-def registered(spark: SparkSession, m: float = MAGNITUDE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(actions on sources, overrides, truth) of the runs clean and A1 to A6.
+class Setup(NamedTuple):
+    """Runs and their faults: tables by run, actions on sources, overrides of nodes, the truth."""
+
+    runs: DataFrame
+    actions: DataFrame
+    overrides: DataFrame
+    truth: DataFrame
+
+
+def registered(spark: SparkSession, m: float = MAGNITUDE) -> Setup:
+    """The runs clean and A1 to A6 on the five instruments of the market.
 
     A1 multiplies a few days of one source; A2 scales a currency conversion, a stretch of it more; A3 computes one
     volatility over 2 days instead of 20, times m; A4 leaves one member out of a sector; A5 sets days to mean + 3.8
     deviations x m / 8; A6 multiplies three sources by m / 2 and less.
     """
     price = "STOCK_{}_PRICE".format
-    actions = [("A1", price(1), 100, 104, "times", m), ("A5", price(4), 200, 208, "level", 3.8 * m / 8)]
-    actions += [("A6", price(k), 150, 155, "times", m * 0.5 * f) for k, f in ((1, 1.0), (2, 0.6), (3, 0.35))]
-    overrides = [("clean", None, None, None, None, None), ("A1", None, None, None, None, None), ("A2", 2, m, None, None, None), ("A3", None, None, 3, m, None), ("A4", None, None, None, None, 5), ("A5", None, None, None, None, None), ("A6", None, None, None, None, None)]
+    actions = [("A1", price(1), 100, 104, "times", m, None), ("A5", price(4), 200, 208, "level", 3.8 * m / 8, None)]
+    actions += [("A6", price(k), 150, 155, "times", m * 0.5 * f, None) for k, f in ((1, 1.0), (2, 0.6), (3, 0.35))]
+    overrides = [("A2", "ETL_FX_STOCK_2_PRICE", m, None, None, None, None), ("A3", "FEAT_VOL20_STOCK_3_PRICE", m, None, None, max(2, int(20 / m)), None), ("A4", "FEAT_SECTOR_B", None, None, None, None, 5)]
     truth = [("A1", "SRC_STOCK_1_PRICE"), ("A2", "ETL_FX_STOCK_2_PRICE"), ("A3", "FEAT_VOL20_STOCK_3_PRICE"), ("A4", "FEAT_SECTOR_B"), ("A5", "SRC_STOCK_4_PRICE"), ("A6", "SRC_STOCK_1_PRICE")]
-    return spark.createDataFrame(actions, ACTIONS), spark.createDataFrame(overrides, OVERRIDES), spark.createDataFrame([(r, r, n, m) for r, n in truth], TRUTH)
+    runs = [(r, "market", 5) for r in ("clean", "A1", "A2", "A3", "A4", "A5", "A6")]
+    return Setup(spark.createDataFrame(runs, RUNS), spark.createDataFrame(actions, ACTIONS), spark.createDataFrame(overrides, OVERRIDES), spark.createDataFrame([(r, r, n, m) for r, n in truth], TRUTH))
 
 
 def drawn(spark: SparkSession, runs: DataFrame, n_days: int, n_stocks: int, m: float = MAGNITUDE) -> DataFrame:
@@ -52,28 +66,26 @@ def drawn(spark: SparkSession, runs: DataFrame, n_days: int, n_stocks: int, m: f
     if n_stocks > 1:
         kinds = kinds.when(F.col("anomaly_type") == "A7", F.array(spike, noise))
     kinds = kinds.otherwise(F.array(spike))
-    return d.where("anomaly_type in ('A1', 'A5', 'A6', 'A7')").select("run_id", F.explode(kinds).alias("x")).select("run_id", "x.*")
+    return d.where("anomaly_type in ('A1', 'A5', 'A6', 'A7')").select("run_id", F.explode(kinds).alias("x"), "seed").select("run_id", "x.*", "seed")
 
 
 def inject(source: DataFrame, actions: DataFrame) -> DataFrame:
     """source(run_id, col, t, value) with each action's effect. ``times`` multiplies days from t_from up to t_to; ``level``
-    sets them to the series' mean + amount x its deviation; ``noise`` adds a normal draw of amount x its deviation.
-    Actions on one column must not overlap."""
+    sets them to the series' mean + amount x its deviation; ``noise`` adds a normal draw, fixed by seed and day, of amount
+    x its deviation. Actions on one column must not overlap."""
     w = Window.partitionBy("run_id", "col")
-    a = actions.select("run_id", "col", "t_from", "t_to", "op", "amount")
-    hit = source.join(F.broadcast(a), (source.run_id == a.run_id) & (source.col == a.col) & (source.t >= a.t_from) & (source.t < a.t_to), "left").select(source["*"], "op", "amount")
+    a = actions.select("run_id", "col", "t_from", "t_to", "op", "amount", "seed")
+    hit = source.join(a, (source.run_id == a.run_id) & (source.col == a.col) & (source.t >= a.t_from) & (source.t < a.t_to), "left").select(source["*"], "op", "amount", "seed")
     mean, dev = F.avg("value").over(w), F.stddev_samp("value").over(w)
     value = F.when(F.col("op") == "times", F.col("value") * F.col("amount")).when(F.col("op") == "level", mean + F.col("amount") * dev)
-    value = value.when(F.col("op") == "noise", F.col("value") + normal(F.col("run_id"), F.col("col"), F.col("t")) * F.col("amount") * dev).otherwise(F.col("value"))
-    return hit.withColumn("value", value).drop("op", "amount")
-
-
-def dropped_inputs(nodes: DataFrame, overrides: DataFrame, n_stocks: int = 5) -> DataFrame:
-    """nodes for each run, where a dropped stock is gone from its sector's inputs (not from its upstream). A sector of
-    one input keeps it."""
-    half = max(1, n_stocks // 2)
-    runs = overrides.select("run_id", "drop_stock")
-    lost = F.format_string("STOCK_%d_PRICE_RETURN", "drop_stock")
-    own = F.when(F.col("drop_stock") <= half, "FEAT_SECTOR_A").otherwise("FEAT_SECTOR_B")
-    hit = (F.col("node_id") == own) & F.col("drop_stock").isNotNull() & (F.size("input_columns") > 1)
-    return nodes.crossJoin(F.broadcast(runs)).withColumn("input_columns", F.when(F.coalesce(hit, F.lit(False)), F.array_remove("input_columns", lost)).otherwise(F.col("input_columns"))).drop("drop_stock")
+    value = value.when(F.col("op") == "noise", F.col("value") + F.expr(grid.normal("seed * 1048576 + t", 7)) * F.col("amount") * dev).otherwise(F.col("value"))
+    return hit.withColumn("value", value).drop("op", "amount", "seed")
+
+
+def dropped_inputs(nodes: DataFrame, runs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Each run's nodes, where a member that its sector leaves out is gone from the sector's inputs (not from its
+    upstream). A sector of one input keeps it."""
+    lost = overrides.where("member is not null").groupBy("run_id", "node_id").agg(F.max("member").alias("member"))
+    every = nodes.join(runs.select("run_id", "topology"), "topology").join(lost, ["run_id", "node_id"], "left")
+    hit = F.col("member").isNotNull() & (F.size("input_columns") > 1)
+    return every.withColumn("input_columns", F.when(hit, F.array_remove("input_columns", F.format_string("STOCK_%d_PRICE_RETURN", "member"))).otherwise(F.col("input_columns"))).drop("member")

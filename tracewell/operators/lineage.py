@@ -5,6 +5,7 @@ Graphs are keyed by ``topology``; runs of one topology share its closure.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def edges(nodes: DataFrame) -> DataFrame:
     return both.select("topology", "u", "v", "edge_type", by_kind(F.col("edge_type"), PRIOR, 1.0).alias("weight_prior"), F.array_intersect("given", "input_columns").alias("source_columns"), "target_columns")
 
 
+def by_run(frame: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run's own rows of ``frame``, which is keyed by topology; ``runs(run_id, topology)``."""
+    return frame.join(runs.select("run_id", "topology"), "topology")
+
+
 def reach(edge: DataFrame) -> DataFrame:
     """(topology, u, v, hops): v can be reached from u, the shortest way taking ``hops`` edges.
 
@@ -59,6 +65,52 @@ def depth(edge: DataFrame) -> int:
     return steps
 
 
+#: Edges of a topology up to which one task works out its closure.
+ONE_TASK = 20_000
+
+
+def closed(edge: DataFrame) -> tuple[DataFrame, int]:
+    """(closure, edges of the longest way in any graph) in one pass: a task for each topology, if all have at most
+    ONE_TASK edges, else by joins. A graph with a cycle is an error."""
+    e = edge.select("topology", "u", "v").distinct()
+    most = e.groupBy("topology").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > ONE_TASK:
+        return reach(edge), depth(edge)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        above: dict[str, list[str]] = {}
+        below: dict[str, list[str]] = {}
+        for u, v in zip(frame.u, frame.v, strict=True):
+            below.setdefault(u, []).append(v)
+            above.setdefault(v, []).append(u)
+        waiting = {v: len(us) for v, us in above.items()}
+        free = [u for u in below if u not in above]
+        height = dict.fromkeys(free, 0)
+        for u in free:  # grows while it is read
+            for v in below.get(u, ()):
+                height[v] = max(height.get(v, 0), height[u] + 1)
+                waiting[v] -= 1
+                if not waiting[v]:
+                    free.append(v)
+        if len(free) < len(above.keys() | below.keys()):
+            raise ValueError(f"the graph {frame.topology.iloc[0]} has a cycle")
+        out = []
+        for u in below:
+            hops, front = {u: 0}, [u]
+            for x in front:
+                for v in below.get(x, ()):
+                    if v not in hops:
+                        hops[v] = hops[x] + 1
+                        front.append(v)
+            out += [(u, v, h) for v, h in hops.items() if h]
+        found = pd.DataFrame(out, columns=["u", "v", "hops"])
+        found["hops"] = found["hops"].astype("int32")
+        return found.assign(topology=frame.topology.iloc[0], longest=max(height.values()))[["topology", "u", "v", "hops", "longest"]]
+
+    found = kept(e.groupBy("topology").applyInPandas(walk, "topology string, u string, v string, hops int, longest int"), "closure")
+    return found.drop("longest"), found.agg(F.max("longest")).first()[0] or 0
+
+
 def descendants(closure: DataFrame, node_id: str) -> DataFrame:
     return closure.where(F.col("u") == node_id).select("topology", F.col("v").alias("node_id"), "hops")
 

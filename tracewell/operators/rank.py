@@ -2,7 +2,7 @@
 
 Every ranking is (run_id, method, target, node_id, score, rank); ties go to the node laid down first (``node_ord``).
 ``scores`` is (run_id, node_id, score); ``closure`` (u, v, hops) and ``edge`` (u, v, edge_type) are those of the runs'
-topology.
+topology. Where scores have a ``topology``, nodes, closure and edge are keyed by it, and runs of several go together.
 """
 
 from __future__ import annotations
@@ -16,6 +16,11 @@ from pyspark.sql.window import Window
 from .lineage import PRIOR, TRANSFER, by_kind
 
 
+def _by(df: DataFrame, *cols: str) -> list[str]:
+    """``cols``, and the topology where there is one."""
+    return [*(c for c in ("topology",) if c in df.columns), *cols]
+
+
 def _first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
@@ -24,17 +29,18 @@ def select_target(scores: DataFrame, nodes: DataFrame, closure: DataFrame, thres
     """(run_id, target): of the risk and report nodes below the five most anomalous nodes (and the five most anomalous
     that are no sources), that of largest 10 x layer + sum of their scores; where there is none, the report of largest score + 0.1 x
     its anomalous ancestors (if its own score reaches the threshold), else the best node that is no source."""
-    meta = nodes.select("node_id", "node_ord", "layer")
-    s = scores.select("run_id", "node_id", "score").join(F.broadcast(meta), "node_id")
+    key = _by(scores, "node_id")
+    meta = nodes.select(*key, "node_ord", "layer")
+    s = scores.select("run_id", *key, "score").join(F.broadcast(meta), key)  # a row for each node of each topology
     order = [F.desc("score"), F.col("node_ord")]
     hot = s.where(F.col("score") >= threshold)
     top = hot.withColumn("a", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
     top = top.withColumn("b", F.row_number().over(Window.partitionBy("run_id", F.col("layer") > 1).orderBy(*order)))
-    seeds = top.where((F.col("a") <= 5) | ((F.col("layer") > 1) & (F.col("b") <= 5))).select("run_id", F.col("node_id").alias("u"), "score", F.col("node_ord").alias("u_ord"))
-    below = seeds.join(closure.select("u", F.col("v").alias("node_id")), "u").join(F.broadcast(meta.where("layer >= 4")), "node_id")
+    seeds = top.where((F.col("a") <= 5) | ((F.col("layer") > 1) & (F.col("b") <= 5))).select(*_by(s, "run_id"), F.col("node_id").alias("u"), "score")
+    below = seeds.join(closure.select(*_by(s, "u"), F.col("v").alias("node_id")), _by(s, "u")).join(F.broadcast(meta.where("layer >= 4")), key)
     cover = below.groupBy("run_id", "node_id", "layer", "node_ord").agg(F.sum("score").alias("cover"))
     best = _first(cover, ["run_id"], F.desc(F.round(10 * F.col("layer") + F.col("cover"), 9)), F.col("node_ord")).select("run_id", F.col("node_id").alias("t1"))
-    above = closure.select(F.col("u").alias("a"), F.col("v").alias("node_id")).join(hot.select("run_id", F.col("node_id").alias("a")), "a").groupBy("run_id", "node_id").agg(F.count("*").alias("n"))
+    above = closure.select(*_by(s), F.col("u").alias("a"), F.col("v").alias("node_id")).join(hot.select(*_by(s, "run_id"), F.col("node_id").alias("a")), _by(s, "a")).groupBy("run_id", "node_id").agg(F.count("*").alias("n"))
     reports = s.where("layer = 5").join(above, ["run_id", "node_id"], "left").withColumn("c", F.col("score") + 0.1 * F.coalesce("n", F.lit(0)))
     t2 = _first(reports, ["run_id"], F.desc("c"), F.col("node_ord")).where(F.col("score") >= threshold).select("run_id", F.col("node_id").alias("t2"))
     t3 = _first(s.where("layer > 1"), ["run_id"], *order).select("run_id", F.col("node_id").alias("t3"))
@@ -44,7 +50,8 @@ def select_target(scores: DataFrame, nodes: DataFrame, closure: DataFrame, thres
 
 def target_from_reports(scores: DataFrame, nodes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(run_id, target): the most anomalous report, or the most anomalous node if no report reaches the threshold."""
-    s = scores.select("run_id", "node_id", "score").join(F.broadcast(nodes.select("node_id", "node_ord", "layer")), "node_id")
+    key = _by(scores, "node_id")
+    s = scores.select("run_id", *key, "score").join(F.broadcast(nodes.select(*key, "node_ord", "layer")), key)
     order = [F.desc("score"), F.col("node_ord")]
     report = _first(s.where("layer = 5"), ["run_id"], *order).where(F.col("score") >= threshold).select("run_id", F.col("node_id").alias("a"))
     return _first(s, ["run_id"], *order).select("run_id", F.col("node_id").alias("b")).join(report, "run_id", "left").select("run_id", F.coalesce("a", "b").alias("target"))
@@ -76,9 +83,10 @@ ABLATIONS = (
 
 def placed(scores: DataFrame, targets: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
     """scores of every node with its target, hops up from it (null: none), the run's largest hop, and metadata."""
-    hops = closure.select(F.col("u").alias("node_id"), F.col("v").alias("target"), "hops")
-    s = scores.select("run_id", "node_id", "score").join(F.broadcast(nodes.select("node_id", "node_ord", "layer", "transform_type")), "node_id").join(targets, "run_id")
-    s = s.join(F.broadcast(hops), ["node_id", "target"], "left").withColumn("hops", F.when(F.col("node_id") == F.col("target"), 0).otherwise(F.col("hops")))
+    key = _by(scores, "node_id")
+    hops = closure.select(*_by(scores), F.col("u").alias("node_id"), F.col("v").alias("target"), "hops")
+    s = scores.select("run_id", *key, "score").join(F.broadcast(nodes.select(*key, "node_ord", "layer", "transform_type")), key).join(targets, "run_id")
+    s = s.join(hops, [*key, "target"], "left").withColumn("hops", F.when(F.col("node_id") == F.col("target"), 0).otherwise(F.col("hops")))
     return s.withColumn("max_hops", F.greatest(F.max("hops").over(Window.partitionBy("run_id")), F.lit(1)))
 
 
@@ -112,7 +120,7 @@ def transitions(at: DataFrame, edge: DataFrame, walk: Walk) -> DataFrame:
     beta = F.lit(1.0)
     if walk.use_weights and (walk.transfer or not walk.adaptive):
         beta = by_kind(F.col("edge_type"), TRANSFER if walk.transfer else PRIOR, 1.0)
-    w = at.select("run_id", F.col("node_id").alias("to"), (a * decay).alias("w")).join(F.broadcast(edge.select(F.col("u").alias("to"), F.col("v").alias("frm"), beta.alias("b"))), "to")
+    w = at.select(*_by(at, "run_id"), F.col("node_id").alias("to"), (a * decay).alias("w")).join(edge.select(*_by(at), F.col("u").alias("to"), F.col("v").alias("frm"), beta.alias("b")), _by(at, "to"))
     w = w.withColumn("w", F.col("w") * F.col("b"))
     return w.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("run_id", "frm"))).select("run_id", "frm", "to", "p")
 
@@ -144,9 +152,10 @@ def rank_structural(at: DataFrame, edge: DataFrame, depth: int, backward: bool =
     """Uniform weights, restart in proportion to scores (all on the target where all are 0). As laid down, the walk goes
     from inputs to what uses them; ``backward`` turns it round."""
     ends = ("v", "u") if backward else ("u", "v")
-    e = edge.select(F.col(ends[0]).alias("frm"), F.col(ends[1]).alias("to")).distinct()
-    e = e.withColumn("p", 1 / F.count("*").over(Window.partitionBy("frm")))
-    t = e.crossJoin(F.broadcast(at.select("run_id").distinct()))
+    e = edge.select(*_by(at), F.col(ends[0]).alias("frm"), F.col(ends[1]).alias("to")).distinct()
+    e = e.withColumn("p", 1 / F.count("*").over(Window.partitionBy(*_by(at, "frm"))))
+    runs = at.select(*_by(at, "run_id")).distinct()
+    t = e.join(runs, "topology") if "topology" in at.columns else e.crossJoin(F.broadcast(runs))
     w = Window.partitionBy("run_id")
     total = F.sum("score").over(w)
     restart = at.withColumn("e", F.when(total > 0, F.col("score") / F.when(total > 0, total)).otherwise((F.col("node_id") == F.col("target")).cast("double"))).where("e > 0")

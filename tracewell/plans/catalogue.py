@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import autoencoder, causal, dataflow, detect, evaluate, faults, graphnet, learned, lineage, rank
 from ..sources import market, topology
-from ..sources.scratch import folder, kept
+from ..sources.scratch import cleared, folder, kept
 from .oracle import ablation_sql, nodes_sql, sensitivity_sql, sql
 
 FLAGSHIP = "fused_score"
@@ -39,26 +39,42 @@ def _figures_sql(c: str) -> str:
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions, overrides, _ = faults.registered(spark)
-    runs = overrides.select("run_id")
-    return kept(faults.inject(market.market(spark, sf_dir).crossJoin(F.broadcast(runs)), actions), "source")  # a handful of runs
+    setup = faults.registered(spark)
+    return faults.inject(market.market(spark, sf_dir).crossJoin(F.broadcast(setup.runs.select("run_id"))), setup.actions)  # a handful of runs
 
 
-def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = source(spark, sf_dir)
-    single = kept(dataflow.instruments(s, faults.registered(spark)[1]), "instruments")
-    return s, single, dataflow.portfolio(single)
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup = faults.registered(spark)
+    return dataflow.instruments(source(spark, sf_dir), setup.runs, setup.overrides)
+
+
+def series_of(source: DataFrame, setup: faults.Setup) -> DataFrame:
+    """Every node's series, written once since each signal reads it again; so are the steps that two parts of it read."""
+    source = kept(source, "source")
+    single = kept(dataflow.instruments(source, setup.runs, setup.overrides), "instruments")
+    return kept(dataflow.node_series(source, single, dataflow.portfolio(single)), "series")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node's series, written once since each signal reads it again."""
-    return kept(dataflow.node_series(*frames(spark, sf_dir)), "series")
+    return series_of(source(spark, sf_dir), faults.registered(spark))
+
+
+_prepared: dict[tuple, tuple[DataFrame, DataFrame, DataFrame, int]] = {}
+
+
+def prepared(spark: SparkSession, *names: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(nodes, edges, closure, edges of the longest way) of the named topologies, which no data change: made once in a session."""
+    key = (spark.sparkContext.applicationId, cleared(), *names)
+    if key not in _prepared:
+        n = topology.nodes(spark, *names)
+        e = kept(lineage.edges(n), "edges")
+        closure, depth = lineage.closed(e)
+        _prepared[key] = n, e, closure, depth
+    return _prepared[key]
 
 
 def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n = topology.nodes(spark, "market")
-    e = lineage.edges(n)
-    return n, e, kept(lineage.reach(e), "closure")
+    return prepared(spark, "market")[:3]
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,24 +82,35 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(detect.fused(detect.signals(series(spark, sf_dir), n), n), "scores")
 
 
-def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n, e, c = graph(spark)
+def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    n, e, c, depth = prepared(spark, "market")
     s = scored(spark, sf_dir)
-    at = kept(rank.placed(s, rank.select_target(s, n, c), n, c), "placed")
-    return at, n, e
+    return kept(rank.placed(s, rank.select_target(s, n, c), n, c), "placed"), n, e, depth
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    at, n, e = placed(spark, sf_dir)
-    depth = lineage.depth(e)
+    at, n, e, depth = placed(spark, sf_dir)
+    return ranked_by(at, n, e, depth, faults.registered(spark))
+
+
+def ranked_by(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup) -> dict[str, DataFrame]:
     v2 = rank.rank_walk(at, e, rank.V2, depth)
-    schema = rank.rank_schema(at, faults.dropped_inputs(n, faults.registered(spark)[1]))
+    schema = rank.rank_schema(at, faults.dropped_inputs(n, setup.runs, setup.overrides))
     return {
         "v1": rank.rank_walk(at, e, rank.V1, depth), "v2": v2, "v3": rank.rank_walk(at, e, rank.V3, depth), "vanilla": rank.rank_walk(at, e, rank.VANILLA, depth), "structural": rank.rank_structural(at, e, depth),
         "hops": rank.rank_hops(at), "score": rank.rank_scores(at), "schema": schema, "hybrid": rank.hybrid(schema, v2),
     }
 
 
+def rank_all(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup) -> DataFrame:
+    """Rankings by all methods that rank every run."""
+    r, every = ranked_by(at, n, e, depth, setup), None
+    for m in ("v1", "v2", "score", "hops", "vanilla", "structural", "hybrid"):
+        own = r[m].withColumn("method", F.lit(m))
+        every = own if every is None else every.unionByName(own)
+    return every
+
+
 # -- registration --------------------------------------------------------------------------------------------------------
 
 
@@ -94,11 +121,11 @@ def add(name: str, query: Query, text: str | None = None) -> None:
 
 
 def _single(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir)[1].select("run_id", "i", "t", _figures(column))
+    return instruments(spark, sf_dir).select("run_id", "i", "t", _figures(column))
 
 
 def _daily(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir)[2].select("run_id", "t", _figures(column))
+    return dataflow.portfolio(instruments(spark, sf_dir)).select("run_id", "t", _figures(column))
 
 
 for _name, _column in {"ffill_prices": "clean", "clip_warmup": "filtered", "fx_join": "krw", "position_value": "worth", "log_return": "ret", "vol20": "vol20", "vol60": "vol60"}.items():
@@ -221,8 +248,8 @@ add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)["v2"], 3).select("
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    at, _, e = placed(spark, d)
-    f = rank.graph_features(rank.rank_walk(at, e, rank.V2, lineage.depth(e)), at, e)
+    at, _, e, depth = placed(spark, d)
+    f = rank.graph_features(rank.rank_walk(at, e, rank.V2, depth), at, e)
     return f.select("run_id", "node_id", *(_round(f"f{k}") for k in range(8)))
 
 
@@ -239,8 +266,8 @@ add(
 
 def _graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(v2 ranking, features, links) of every run's candidates and their neighbours."""
-    at, _, e = placed(spark, d)
-    v2 = kept(rank.rank_walk(at, e, rank.V2, lineage.depth(e)), "v2")
+    at, _, e, depth = placed(spark, d)
+    v2 = kept(rank.rank_walk(at, e, rank.V2, depth), "v2")
     features = kept(rank.graph_features(v2, at, e), "features")
     return v2, features, kept(graphnet.links(features, e), "links")
 
@@ -257,7 +284,7 @@ add(
 def _by_network(relational: bool, spark: SparkSession, d: str) -> DataFrame:
     """The v2 ranking by a graph network; each run is ranked by a net that was trained on the others."""
     v2, features, link = _graphs(spark, d)
-    truth = faults.registered(spark)[2].withColumn("fold", F.substring("run_id", 2, 1).cast("int"))
+    truth = faults.registered(spark).truth.withColumn("fold", F.substring("run_id", 2, 1).cast("int"))
     found = graphnet.network_scores(graphnet.samples(features, link), truth, relational)
     return rank.rerank(v2, found, topology.nodes(spark, "market"))
 
@@ -288,12 +315,8 @@ add("cv_folds", _folded, "SELECT event_id::VARCHAR AS run_id, event_type AS anom
 
 # evaluation
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    r = rankings(spark, d)
-    every = None
-    for m in ("v1", "v2", "score", "hops", "vanilla", "structural", "hybrid"):
-        own = r[m].withColumn("method", F.lit(m))
-        every = own if every is None else every.unionByName(own)
-    return evaluate.run_metrics(every, faults.registered(spark)[2])
+    setup = faults.registered(spark)
+    return evaluate.run_metrics(rank_all(*placed(spark, d), setup), setup.truth)
 
 
 add("run_metrics", lambda spark, d: metrics(spark, d).select("method", "run_id", "anomaly_type", "true_root_cause", "target_node", "rank", "top1", "top3", "top5", _round("reciprocal_rank"), _round("false_rc_rate_k5")), sql(f"SELECT method, run_id, anomaly_type, true_root_cause, target_node, rank, top1, top3, top5, round(reciprocal_rank, {PLACES}) AS reciprocal_rank, round(false_rc_rate_k5, {PLACES}) AS false_rc_rate_k5 FROM metric"))
@@ -303,12 +326,12 @@ add("bootstrap_ci", lambda spark, d: evaluate.bootstrap(metrics(spark, d), "meth
 
 
 def _ablated(spark: SparkSession, d: str) -> DataFrame:
-    at, _, e = placed(spark, d)
-    every, depth = None, lineage.depth(e)
+    at, _, e, depth = placed(spark, d)
+    every = None
     for w in rank.ABLATIONS:
         own = rank.rank_walk(at, e, w, depth)
         every = own if every is None else every.unionByName(own)
-    return evaluate.summary(evaluate.run_metrics(every, faults.registered(spark)[2]), "method")
+    return evaluate.summary(evaluate.run_metrics(every, faults.registered(spark).truth), "method")
 
 
 add("ablation", _ablated, ablation_sql())
@@ -326,7 +349,7 @@ def _swept(spark: SparkSession, d: str) -> DataFrame:
     weights = spark.createDataFrame(rows, "setting string, " + ", ".join(f"w{k} double" for k in range(1, 9)))
     n = topology.nodes(spark, "market")
     s = detect.weighted(detect.signals(series(spark, d), n), n, weights).select(F.concat_ws("#", "setting", "run_id").alias("run_id"), "node_id", "node_ord", "score", F.lit("").alias("target"))
-    truth = faults.registered(spark)[2].crossJoin(F.broadcast(weights.select("setting"))).withColumn("run_id", F.concat_ws("#", "setting", "run_id"))
+    truth = faults.registered(spark).truth.crossJoin(F.broadcast(weights.select("setting"))).withColumn("run_id", F.concat_ws("#", "setting", "run_id"))
     m = evaluate.run_metrics(rank.ranked(s, "score"), truth).withColumn("setting", F.substring_index("run_id", "#", 1))
     g = m.groupBy("setting").agg(F.avg("top5").alias("top5"), F.avg("reciprocal_rank").alias("mrr"))
     g = g.select(F.concat(F.lit("W"), F.substring_index("setting", "|", 1)).alias("weight"), F.substring_index("setting", "|", -1).cast("double").alias("scale"), "top5", "mrr")
@@ -365,21 +388,15 @@ def _through_csv(spark: SparkSession, d: str) -> DataFrame:
 add("metrics_csv", lambda spark, d: _through_csv(spark, d).select("method", "run_id", "rank", "top5", _round("reciprocal_rank")), sql(f"SELECT method, run_id, rank, top5, round(reciprocal_rank, {PLACES}) AS reciprocal_rank FROM metric"))
 
 
-def _by_size(spark: SparkSession, d: str) -> DataFrame:
-    """Figures by method and size, each run's size from its place among the runs."""
-    m = metrics(spark, d).withColumn("pipeline_size", F.when(F.col("run_id").isin("A1", "A2", "A3"), "real_small").otherwise("medium"))
-    return evaluate.summary(m, "method", "pipeline_size").where(F.col("pipeline_size").contains("real"))
-
-
-add("summary_by_method_size", _by_size, sql("SELECT method, 'real_small' AS pipeline_size, " + ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items()) + ", count(*) AS n_runs FROM metric WHERE run_id IN ('A1', 'A2', 'A3') GROUP BY 1"))
-
-
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
     """The v2 ranking by the raw signal in place of a learned score, 0 beyond each run's best ten."""
-    at, _, e = placed(spark, d)
-    v2 = rank.rank_walk(at, e, rank.V2, lineage.depth(e))
+    at, _, e, depth = placed(spark, d)
+    v2 = rank.rank_walk(at, e, rank.V2, depth)
     learned = rank.top(v2, 10).select("run_id", "node_id").join(at.select("run_id", "node_id", "score"), ["run_id", "node_id"])
     return rank.rerank(v2, learned, topology.nodes(spark, "market"))
 
 
 add("rerank", lambda spark, d: _reranked(spark, d).select("run_id", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, old)::INT AS rank FROM (SELECT v.run_id, v.node_id, v.rank AS old, CASE WHEN v.rank <= 10 THEN p.score ELSE 0.0 END AS score FROM rank_v2 v JOIN placed p ON p.run_id = v.run_id AND p.node_id = v.node_id)"))
+
+
+from . import grid_queries  # noqa: E402, F401 - registers its queries

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from ..operators import grid
 from ..operators.lineage import PRIOR, TRANSFER
-from ..sources.topology import sql_values
+from ..sources.topology import SIZES, sql_values
 
 _UP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _DOWN = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
@@ -156,17 +159,8 @@ CTES: dict[str, str] = {
 
 def sql(select: str, *replaced: tuple[str, str]) -> str:
     """A query over the expressions above; ``replaced`` gives some of them another text."""
-    import re
-
     texts = {k: v for k, v in CTES.items() if k not in dict(replaced)} | dict(replaced) if len(replaced) > 2 else CTES | dict(replaced)
-    need, todo = set(), [select]
-    while todo:
-        words = set(re.findall(r"\w+", todo.pop()))
-        for w in words & set(texts) - need:
-            need.add(w)
-            todo.append(texts[w])
-    names = [n for n in texts if n in need]
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({texts[n]})" for n in names) + "\n" + select
+    return assembled(texts, select)
 
 
 _MEANS = ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items())
@@ -213,3 +207,72 @@ def sensitivity_sql(weights: tuple, scales: tuple, places: int) -> str:
         "figure": "SELECT weight, scale, avg(coalesce(rank <= 5, false)::INT) AS top5, avg(coalesce(1 / rank, 0.0)) AS mrr FROM swept_run GROUP BY 1, 2",
     }
     return sql(f"SELECT f.weight, round(max(abs(f.top5 - b.top5)), {places}) + 0.0 AS max_delta_top5, round(max(abs(f.mrr - b.mrr)), {places}) + 0.0 AS max_delta_mrr, max(abs(f.top5 - b.top5)) > 0.03 AS sensitive FROM figure f JOIN figure b ON b.weight = f.weight AND b.scale = 1.0 GROUP BY 1", *own.items())
+
+
+# -- the grid of runs ----------------------------------------------------------------------------------------------------
+
+_BY_RUN = {"JOIN edge g ON g.u = p.node_id": "JOIN edge g ON g.run_id = p.run_id AND g.u = p.node_id"}
+
+
+def grid_texts(sizes: tuple[str, ...], runs: str) -> dict[str, str]:
+    """The expressions above for the runs of a grid: graphs are keyed by run, and instruments are as many as a run has."""
+    sz = ", ".join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in ((n, SIZES[n]) for n in sizes))
+    most = max(SIZES[n][0] for n in sizes)
+    lost = "anomaly_type = 'A4' AND i = member AND "
+    own = {
+        "days": CTES["days"], "calendar": "SELECT count(*) AS n_days FROM days", "runs": runs,
+        "topo": nodes_sql(*sizes), "node": "SELECT r.run_id, n.* FROM topo n JOIN runs r ON r.topology = n.topology",
+        "edge": CTES["edge"].replace("SELECT a.topology", "SELECT a.run_id, a.topology").replace("ON a.topology = b.topology", "ON a.run_id = b.run_id"),
+        "closure": "SELECT run_id, u, v, min(hops) AS hops FROM (WITH RECURSIVE c AS (SELECT run_id, u, v, 1 AS hops FROM edge UNION SELECT c.run_id, c.u, e.v, c.hops + 1 FROM c JOIN edge e ON e.run_id = c.run_id AND e.u = c.v WHERE c.hops < 10) SELECT * FROM c) GROUP BY 1, 2, 3",
+        "sz": f"SELECT * FROM (VALUES {sz}) x(topology, stocks, rates, currencies)",
+        "daily": "SELECT topology, l_shipdate::DATE AS dt, (l_suppkey % stocks + 1)::INT AS i, avg(l_extendedprice / l_quantity) AS price, sum(l_quantity) AS size FROM lineitem CROSS JOIN sz GROUP BY 1, 2, 3",
+        "cells": "SELECT g.topology, t, g.i::INT AS i, price, size FROM (SELECT topology, dt, t, unnest(range(1, stocks + 1)) AS i FROM days CROSS JOIN sz) g LEFT JOIN daily y ON y.topology = g.topology AND y.dt = g.dt AND y.i = g.i",
+        "rate_cells": "SELECT g.topology, t, g.i::INT AS i, v FROM (SELECT topology, dt, t, unnest(range(0, rates)) AS i FROM days CROSS JOIN sz) g LEFT JOIN (SELECT topology, l_shipdate::DATE AS dt, l_linenumber % rates AS i, avg(l_discount) AS v FROM lineitem CROSS JOIN sz GROUP BY 1, 2, 3) y ON y.topology = g.topology AND y.dt = g.dt AND y.i = g.i",
+        "fx_days": "SELECT g.topology, t, g.i::INT AS i, v / level AS v FROM (SELECT topology, dt, t, unnest(range(0, currencies)) AS i FROM days CROSS JOIN sz) g LEFT JOIN (SELECT topology, o_orderdate::DATE AS dt, o_custkey % currencies AS i, avg(o_totalprice) AS v FROM orders CROSS JOIN sz GROUP BY 1, 2, 3) y ON y.topology = g.topology AND y.dt = g.dt AND y.i = g.i LEFT JOIN (SELECT topology, o_custkey % currencies AS i, avg(o_totalprice) AS level FROM orders CROSS JOIN sz GROUP BY 1, 2) l ON l.topology = g.topology AND l.i = g.i",
+        "market": f"""SELECT topology, {_PRICE} AS col, t, price AS value FROM cells
+ UNION ALL SELECT topology, 'POSITION_' || i || '_SIZE', t, {_both('size', 'PARTITION BY topology, i')} FROM cells
+ UNION ALL SELECT topology, (['RATE_SHORT', 'RATE_MID', 'RATE_LONG'])[i + 1], t, {_both('v', 'PARTITION BY topology, i')} FROM rate_cells
+ UNION ALL SELECT topology, (['USD_KRW', 'EUR_KRW', 'JPY_KRW', 'GBP_KRW', 'CNY_KRW'])[i + 1], t, {_both('v', 'PARTITION BY topology, i')} FROM fx_days""",
+        "stretch": f"SELECT r.*, m.col, m.t - r.shift AS t, m.value FROM runs r JOIN market m ON m.topology = r.topology AND m.t >= r.shift AND m.t < r.shift + {grid.DAYS}",
+        "source": f"""SELECT run_id, col, t, CASE WHEN anomaly_type IN ('A1', 'A7') AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN value * m
+ WHEN anomaly_type = 'A5' AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN avg(value) OVER w + 3.8 * m / 8 * stddev_samp(value) OVER w
+ WHEN anomaly_type = 'A6' AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN value * m * 0.5 WHEN anomaly_type = 'A6' AND col = 'STOCK_' || second || '_PRICE' AND t >= t_from AND t < t_to THEN value * m * 0.3
+ WHEN anomaly_type = 'A6' AND col = 'STOCK_' || third || '_PRICE' AND t >= t_from AND t < t_to THEN value * m * 0.175
+ WHEN anomaly_type = 'A7' AND col = 'STOCK_' || other || '_PRICE' THEN value + {grid.normal("id * 1048576 + t", 7)} * 0.7 * m * stddev_samp(value) OVER w ELSE value END AS value FROM stretch WINDOW w AS (PARTITION BY run_id, col)""",
+        "s0": f"SELECT p.run_id, c.i, p.t, p.value AS raw, q.value AS size, f.value AS fx, r.anomaly_type, r.n_stocks, r.half, r.stock, r.m, r.t_from, r.t_to, r.width, r.member, r.second_sector FROM source p JOIN (SELECT range::INT AS i FROM range(1, {most + 1})) c ON p.col = 'STOCK_' || c.i || '_PRICE' JOIN source q ON q.run_id = p.run_id AND q.t = p.t AND q.col = 'POSITION_' || c.i || '_SIZE' JOIN source f ON f.run_id = p.run_id AND f.t = p.t AND f.col = 'USD_KRW' JOIN runs r ON r.run_id = p.run_id",
+        "s1": CTES["s1"], "s2": CTES["s2"], "s3": CTES["s3"],
+        "s4": CTES["s4"].replace("WHEN i = fx_stock THEN 8.0 * CASE WHEN t >= n // 3 AND t < n // 3 + 10 THEN", "WHEN anomaly_type = 'A2' AND i = stock THEN m * CASE WHEN t >= t_from AND t < t_to THEN"),
+        "s5": "SELECT *, krw * size AS worth, CASE WHEN count(ret) OVER wv >= width THEN stddev_samp(ret) OVER wv END AS vw, " + ", ".join(f"CASE WHEN count(ret) OVER w{k} >= {k} THEN stddev_samp(ret) OVER w{k} END AS v{k}" for k in (20, 60)) + " FROM s4 WINDOW wv AS (PARTITION BY run_id, i ORDER BY t ROWS BETWEEN (width - 1) PRECEDING AND CURRENT ROW), " + ", ".join(f"w{k} AS (PARTITION BY run_id, i ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (20, 60)),
+        "inst": CTES["inst"].replace("ret, drop_stock,", "ret, anomaly_type, n_stocks, half, member, second_sector,").replace("WHEN i = vol_stock THEN coalesce(v2, 0.0) * 8.0", "WHEN anomaly_type = 'A3' AND i = stock THEN coalesce(vw, 0.0) * m"),
+        "d0": f"SELECT run_id, t, CASE WHEN count(worth) = any_value(n_stocks) THEN sum(worth) END AS total, CASE WHEN count(ret) = any_value(n_stocks) THEN avg(ret) END AS ret, CASE WHEN count(vol20) = any_value(n_stocks) THEN avg(vol20) END AS vol, max(worth) AS top, avg(ret) FILTER (i <= half AND NOT ({lost} NOT second_sector AND half > 1)) AS sector_a, avg(ret) FILTER (i > half AND NOT ({lost} second_sector AND n_stocks - half > 1)) AS sector_b FROM inst GROUP BY 1, 2",
+    }
+    for k, v in CTES.items():
+        if k not in own:
+            for a, b in _BY_RUN.items():
+                v = v.replace(a, b)
+            own[k] = v
+    own |= {
+        "lev": CTES["lev"].replace("USING (node_id)", "USING (run_id, node_id)"), "apart": CTES["apart"].replace("USING (node_id)", "USING (run_id, node_id)"),
+        "excesses": CTES["excesses"].replace("JOIN node n ON n.node_id", "JOIN node n ON n.run_id = r.run_id AND n.node_id").replace("JOIN edge e ON e.v", "JOIN edge e ON e.run_id = r.run_id AND e.v"),
+        "fused0": CTES["fused0"].replace("USING (node_id)", "USING (run_id, node_id)").replace("WHERE e.v = s.node_id", "WHERE e.run_id = s.run_id AND e.v = s.node_id"),
+        "cover": CTES["cover"].replace("ON c.u = s.node_id JOIN node n ON n.node_id = c.v", "ON c.run_id = s.run_id AND c.u = s.node_id JOIN node n ON n.run_id = s.run_id AND n.node_id = c.v"),
+        "placed0": CTES["placed0"].replace("USING (node_id)", "USING (run_id, node_id)").replace("ON c.u = s.node_id AND", "ON c.run_id = s.run_id AND c.u = s.node_id AND"),
+        "st_p": "SELECT run_id, u AS frm, v AS dest, 1.0 / count(*) OVER (PARTITION BY run_id, u) AS p FROM edge",
+        **{f"st_m{k}": CTES[f"st_m{k}"].replace("ON p.frm", "ON p.run_id = m.run_id AND p.frm") for k in range(1, 8)},
+        "run_inputs": "SELECT r.run_id, n.node_id, n.expected_input_count AS want, len(list_filter(n.input_columns, lambda c: NOT (r.anomaly_type = 'A4' AND len(n.input_columns) > 1 AND n.node_id = CASE WHEN r.second_sector THEN 'FEAT_SECTOR_B' ELSE 'FEAT_SECTOR_A' END AND c = 'STOCK_' || r.member || '_PRICE_RETURN'))) AS have FROM node n JOIN runs r ON r.run_id = n.run_id",
+        "truth": "SELECT run_id, anomaly_type, topology AS pipeline_size, trial, CASE anomaly_type WHEN 'A2' THEN 'ETL_FX_STOCK_' || stock || '_PRICE' WHEN 'A3' THEN 'FEAT_VOL20_STOCK_' || stock || '_PRICE' WHEN 'A4' THEN CASE WHEN second_sector THEN 'FEAT_SECTOR_B' ELSE 'FEAT_SECTOR_A' END ELSE 'SRC_STOCK_' || stock || '_PRICE' END AS truth FROM runs",
+        "metric0": CTES["metric0"].replace("truth AS true_root_cause", "anomaly_type, pipeline_size, trial, truth AS true_root_cause").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, 3, 4, 5, 6"),
+        "metric": CTES["metric"].replace("run_id AS anomaly_type", "anomaly_type, pipeline_size, trial"),
+    }
+    return own
+
+
+def assembled(texts: dict[str, str], select: str) -> str:
+    """A query over those of ``texts``, each with the ones before it in reach, that it needs."""
+    need, todo = set(), [select]
+    while todo:
+        words = set(re.findall(r"\w+", todo.pop()))
+        for w in words & set(texts) - need:
+            need.add(w)
+            todo.append(texts[w])
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({texts[n]})" for n in texts if n in need) + "\n" + select

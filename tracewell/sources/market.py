@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import both_ways
 from .scratch import kept
+from .topology import FX, RATES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,37 @@ def market(spark: SparkSession, sf_dir: str, stocks: int = 5) -> DataFrame:
     return prices.unionByName(sizes).unionByName(rates).unionByName(fx)
 
 
+def markets(spark: SparkSession, sf_dir: str, sizes: dict[str, tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(source(topology, col, t, value), days(n_days)) for sizes of (stocks, rates, currencies): suppliers are dealt to a
+    size's stocks, line numbers to its rates, customers to its currencies. Prices have gaps.
+
+    Each order table is read once, into sums by day and the keys that all sizes can be made from.
+    """
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    size = spark.createDataFrame([(n, *s) for n, s in sizes.items()], "topology string, stocks int, rates int, currencies int")  # a row for each size
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    sums = items.groupBy(F.to_date("l_shipdate").alias("dt"), (F.col("l_suppkey") % lcm(*(s[0] for s in sizes.values()))).alias("s"), (F.col("l_linenumber") % lcm(*(s[1] for s in sizes.values()))).alias("r")).agg(
+        F.sum(price).alias("price"), F.count(price).alias("prices"), F.sum("l_quantity").alias("size"), F.sum("l_discount").alias("off"), F.count("l_discount").alias("offs")
+    )
+    sums = kept(sums.where("dt is not null"), "market-sums")
+    days = kept(sums.select("dt").distinct().withColumn("t", F.row_number().over(Window.orderBy("dt")) - 1), "market-days")  # one row a day
+    each = sums.crossJoin(F.broadcast(size))  # every size has all the sums
+    daily = each.groupBy("topology", "dt", (F.col("s") % F.col("stocks") + 1).cast("int").alias("i")).agg((F.sum("price") / F.nullif(F.sum("prices"), F.lit(0))).alias("price"), F.sum("size").alias("size"))
+    grid = days.crossJoin(F.broadcast(size))
+    cells = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("stocks")))).join(daily, ["topology", "dt", "i"], "left")
+    prices = cells.select("topology", F.format_string("STOCK_%d_PRICE", "i").alias("col"), "t", F.col("price").alias("value"))
+    held = cells.withColumn("value", both_ways(F.col("size"), "topology", "i")).select("topology", F.format_string("POSITION_%d_SIZE", "i").alias("col"), "t", "value")
+    offs = each.groupBy("topology", "dt", (F.col("r") % F.col("rates") + 1).cast("int").alias("i")).agg((F.sum("off") / F.nullif(F.sum("offs"), F.lit(0))).alias("v"))
+    rates = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rates")))).join(offs, ["topology", "dt", "i"], "left").withColumn("value", both_ways(F.col("v"), "topology", "i"))
+    rates = rates.select("topology", F.element_at(F.array(*map(F.lit, RATES)), F.col("i")).alias("col"), "t", "value")
+    paid = orders.groupBy(F.to_date("o_orderdate").alias("dt"), (F.col("o_custkey") % lcm(*(s[2] for s in sizes.values()))).alias("c")).agg(F.sum("o_totalprice").alias("v"), F.count("o_totalprice").alias("n"))
+    by_size = kept(paid, "market-paid").crossJoin(F.broadcast(size)).groupBy("topology", "dt", (F.col("c") % F.col("currencies") + 1).cast("int").alias("i")).agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    level = by_size.groupBy("topology", "i").agg((F.sum("v") / F.sum("n")).alias("level"))
+    fx = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("currencies")))).join(by_size, ["topology", "dt", "i"], "left").join(level, ["topology", "i"], "left")
+    fx = fx.withColumn("value", both_ways(F.col("v") / F.nullif("n", F.lit(0)) / F.col("level"), "topology", "i")).select("topology", F.element_at(F.array(*map(F.lit, FX)), F.col("i")).alias("col"), "t", "value")
+    return prices.unionByName(held).unionByName(rates).unionByName(fx), days.agg(F.count("*").alias("n_days"))
+
+
 # -- generators --------------------------------------------------------------------------------------------------------
 
 

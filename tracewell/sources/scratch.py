@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_cleared = [0]
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,17 +25,28 @@ def folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _base(spark: SparkSession) -> str:
+    """A folder of this application alone."""
+    return f"{folder(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
+def cleared() -> int:
+    """How often ``clear`` was called: tables kept for the session are gone after that."""
+    return _cleared[0]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows is planned on a table, and a lost executor costs
     no more than reading it."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables of ``kept``: call it when no query that reads one is running or still to be read."""
+    """Deletes this application's tables of ``kept``: call it when no query that reads one is running or still to be read."""
+    _cleared[0] += 1
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tracewell")
+    path = context._jvm.org.apache.hadoop.fs.Path(_base(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
