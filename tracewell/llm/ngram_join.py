@@ -55,7 +55,7 @@ def parities(hashes: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, cls, odd0.., slice, counts): a row for each of ``docs(doc_id, text)`` (cls null without words) with
+    """(doc_id, own, n, cls, odd0.., slice, counts): a row for each of ``docs(doc_id, text, own)`` (cls null without words) with
     its set's parities, and each task's counts of shingles by hash cell, in slices."""
     cells = 1 << SKETCH_BITS
 
@@ -71,16 +71,16 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 counts[cell] += counts[cell] < 65535  # a document's cells count once each
             bits = np.frombuffer(b"".join(odd), np.int64).reshape(-1, PARITIES)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(PARITIES)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(PARITIES)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         packed = zstandard.ZstdCompressor(level=1)
         none = pa.nulls(1, pa.int64())
         for k, part in enumerate(np.split(counts, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([none] * (3 + PARITIES) + [pa.array([k], pa.int32()), pa.array([packed.compress(part.tobytes())])], names)
+                yield pa.RecordBatch.from_arrays([none] * (4 + PARITIES) + [pa.array([k], pa.int32()), pa.array([packed.compress(part.tobytes())])], names)
 
     odds = [f"odd{k}" for k in range(PARITIES)]
-    names = ["doc_id", "n", "cls", *odds, "slice", "counts"]
-    return docs.mapInArrow(run, f"doc_id bigint, n bigint, cls bigint, {', '.join(f'{o} bigint' for o in odds)}, slice int, counts binary")
+    names = ["doc_id", "own", "n", "cls", *odds, "slice", "counts"]
+    return docs.mapInArrow(run, f"doc_id bigint, own bigint, n bigint, cls bigint, {', '.join(f'{o} bigint' for o in odds)}, slice int, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -166,8 +166,9 @@ def _pick(ids: DataFrame) -> bytes:
 
 
 def class_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cls, shingles): the sets of ``classes(cls, doc_id)``, each from the first document of the class."""
-    held = docs.sparkSession.sparkContext.broadcast(_pick(classes.select(F.col("doc_id").alias("id"))))
+    """(cls, shingles): the sets of ``classes(cls, own)``, each from a document of the class. Rows that share ``own``
+    with it are read too, and left out by their class."""
+    held = docs.sparkSession.sparkContext.broadcast(_pick(classes.select(F.col("own").alias("id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint64)
@@ -190,14 +191,14 @@ def class_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["cls", "shingles"])
 
-    rows = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).alias("cell"), "text")
+    rows = docs.select(F.pmod(F.xxhash64("own"), F.lit(1 << PICK_BITS)).alias("cell"), "text")
     made = rows.mapInArrow(sets, "cls bigint, shingles array<bigint>").join(classes.select("cls"), "cls", "left_semi")
     return written(made.dropDuplicates(["cls"]), "ngram-sets")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` (classes) whose whole sets are alike. Only the sets of classes in pairs are made."""
-    drawn = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
+    drawn = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "own"), "cls")
     sets = class_sets(written(drawn, "ngram-drawn"), docs, width)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -273,23 +274,24 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     100 * intersection >= percent * union.
 
     A text without words, or null, has no shingles and is linked with nothing; so its component is its own id. Rows of
-    one id are nodes of their own. A row with a null id makes no links: its component is that of the rows with an id
-    and an equal set, else null. Other columns are left out.
+    one id are nodes of their own, and rows without one link like others: a component is named by its least id, null
+    if no row has one. Other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("own", F.coalesce("doc_id", F.xxhash64("text")))  # finds a class's texts again; need not be unique
     odds = [f"odd{k}" for k in range(PARITIES)]
     rows = written(profiles(docs, width), "ngram-profiles")
     nodes = rows.where("slice is null").select("doc_id", "n", "cls")
-    classes = rows.where("slice is null and cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.first(o).alias(o) for o in odds))
+    classes = rows.where("slice is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("own").alias("own"), *(F.first(o).alias(o) for o in odds))
     classes = written(classes, "ngram-classes")
-    keys = written(prefixes(docs.where("doc_id is not null"), width, percent, sketch(rows)), "ngram-prefixes")
+    keys = written(prefixes(docs, width, percent, sketch(rows)), "ngram-prefixes")
     # keys of two classes or more, and the size of their least set
     met = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("n").alias("least")).where("low <> high").select("key", "least")
     met = written(met, "ngram-met")
     # a row can link only if enough shingles are left for the least partner there may be
     fits = F.col("n") - F.col("pos") >= _need(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)), percent)
     live = keys.join(met, "key").where(fits).select("key", "cls", "n", "pos", "suffix").dropDuplicates(["key", "cls"])
-    live = written(live.join(classes.drop("doc_id"), "cls"), "ngram-live")
+    live = written(live.join(classes.drop("doc_id", "own"), "cls"), "ngram-live")
     forget(keys, met)
     groups = linked(live, classes, docs, width, percent)
     forget(live)
