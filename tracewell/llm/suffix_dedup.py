@@ -208,24 +208,25 @@ def sorted_runs(rows: DataFrame, length: int) -> DataFrame:
 
 
 def halved(rows: DataFrame, length: int) -> DataFrame:
-    """The contexts of ``rows(doc_id, th, start, ctx, lo, hi)`` in buckets of a later offset, with the bucket as ``h``.
+    """The contexts of ``rows(h, doc_id, th, start, ctx, lo, hi)`` in buckets of a later offset, with the new bucket as ``h``.
 
     A context's strings have their anchor from ``lo`` to ``hi`` - 1 bytes after their start, so all hold the ``lo``
     bytes before it and some after it. Half of that range fixes more bytes on one side or the other: each context gives
-    at most two, each with a hash of the bytes that its strings must share. At a range of one these are the whole string.
+    at most two. The bucket so far stands for the bytes fixed before, so the new one is made of it and of the bytes at the
+    offsets just fixed; no byte is looked at twice. At a range of one, the bytes fixed are the whole string.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for doc, th, start, ctx, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for was, doc, th, start, ctx, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 at = int(anchors(np.frombuffer(ctx, np.uint8), length)[0][0])
                 mid = (lo + hi) // 2
-                for low, high in ((lo, mid), (mid, hi)):
+                fixed = (at + length - hi + 1, at + length - mid + 1), (at - mid, at - lo)
+                for (low, high), (a, b) in zip(((lo, mid), (mid, hi)), fixed, strict=True):
                     first, last = max(0, at - high + 1), min(len(ctx) - length, at - low)
                     if low < high and first <= last:
-                        shared = ctx[at - low : at + length - high + 1]
-                        h = xxhash.xxh3_64_intdigest(shared, seed=low << 32 | high)
+                        h = xxhash.xxh3_64_intdigest(ctx[a:b], seed=(was * 0x9E3779B97F4A7C15 + (low << 32 | high)) & (1 << 64) - 1)
                         values = (h - (1 << 64) if h >> 63 else h, doc, th, start + first, ctx[first : last + length], low, high)
                         for column, value in zip(out, values, strict=True):
                             column.append(value)
@@ -273,9 +274,10 @@ def repeated_runs(docs: DataFrame, length: int, most: int = MOST_CONTEXTS) -> Da
         if not span:  # at first, the anchor is anywhere in a string
             hot = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM + 1))
         span = ["lo", "hi"]
-        rows = None if hot.isEmpty() else halved(hot.select("doc_id", "th", "start", "ctx", *span), length)
+        rows = None if hot.isEmpty() else halved(hot.select("h", "doc_id", "th", "start", "ctx", *span), length)
     every = reduce(DataFrame.union, runs)
-    return written(every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")
+    # repeated rows have the same ranges, which count once
+    return written(every.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "suffix-runs")
 
 
 def removed_spans(runs: list, length: int) -> list[tuple[int, int]]:
