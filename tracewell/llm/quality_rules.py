@@ -3,21 +3,25 @@
 Words and pairs of neighbouring words are hashed to a fixed number of buckets. In each language (a null one is a language
 of its own), bucket counts over the trusted texts and over all texts give two smoothed multinomials, so a language's share
 of the trusted text has no say; a document's score is the sum of its language's log ratios over its n-grams divided by
-their number, and it is kept if that reaches the threshold. All on the JVM side; only the bucket counts of languages with
-trusted documents (a fixed number for each) come to the driver.
+their number, and it is kept if that reaches the threshold. All on the JVM side; nothing but counts of rows comes to the
+driver.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import written
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 BUCKETS = 16384
 #: Ids of trusted documents are broadcast up to this many (16 bytes each).
 BROADCAST_IDS = 2_000_000
+#: Weights are broadcast up to this many languages (8 bytes for each bucket of each: 17 MB at BUCKETS).
+BROADCAST_LANGS = 128
 #: N-grams dealt as in all documents that are added to those of the trusted ones, in each language. No weight is below
 #: log(PRIOR / (T + PRIOR)) with T trusted n-grams, so at THRESHOLD no text is rejected by score until T is above 8,328.
 PRIOR = 100_000
@@ -79,55 +83,44 @@ def _lang(docs: DataFrame, lang_col: str) -> Column:
     return (F.col(lang_col) if lang_col in docs.columns else F.lit(None)).cast("string")
 
 
-def _place(lang: Column, langs: list[str | None]) -> Column:
-    """Place of ``lang`` in ``langs``, -1 where it has none."""
-    named = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), lang).cast("int") - 1
-    return F.when(lang.isNull(), F.lit(langs.index(None) if None in langs else -1)).otherwise(named)
+def _key(lang: Column) -> Column:
+    """Names a language in joins; the null one too."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, np.ndarray]:
-    """For each language with trusted documents (those with an id in ``trusted``), the log ratio of each bucket's
-    probability among n-grams of its trusted documents to that among n-grams of all its documents. The trusted counts get
-    PRIOR n-grams dealt as in all documents of the language, so that little trusted text gives ratios near 1; a bucket
-    without n-grams has weight 0."""
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(_key, _weights): for each language with trusted documents (those with an id in ``trusted``), the log ratio of each
+    bucket's probability among n-grams of its trusted documents to that among n-grams of all its documents. The trusted
+    counts get PRIOR n-grams dealt as in all documents of the language, so that little trusted text gives ratios near 1;
+    a bucket without n-grams has weight 0. A written table, a row of ``buckets`` numbers for each language."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     if marks.count() <= BROADCAST_IDS:  # else the documents' hashes are shuffled by id
         marks = F.broadcast(marks)
-    docs = docs.select(F.col(id_col).alias("_id"), _lang(docs, lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    langs = [r[0] for r in docs.join(marks, "_id", "left_semi").select("_lang").distinct().collect()]
-    if not langs:
-        return {}
-    docs = docs.withColumn("_place", _place(F.col("_lang"), langs)).where("_place >= 0")
-    rows = _hashes(docs, "_text", ["_id", "_place"]).join(marks, "_id", "left")
-    rows = rows.select("_place", F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
-    found = rows.groupBy("_place", "bucket").agg(F.count("*").alias("n"), F.sum("_trusted").alias("t")).select("_place", "bucket", "n", "t")
-    place, bucket, x, y = (c.to_numpy() for c in found.toArrow().columns)  # a row for each language and bucket at most
-    n, t = np.zeros((len(langs), buckets)), np.zeros((len(langs), buckets))
-    n[place, bucket], t[place, bucket] = x, y
-    out = {}
-    for lang, all_n, own in zip(langs, n, t, strict=True):
-        share = all_n / max(1, all_n.sum())
-        seen = share > 0
-        out[lang] = np.zeros(buckets)
-        out[lang][seen] = np.log((own[seen] + PRIOR * share[seen]) / (own.sum() + PRIOR)) - np.log(share[seen])
-    return out
-
-
-def judge(docs: DataFrame, bucket_weights: dict[str | None, np.ndarray], threshold: float = THRESHOLD, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    docs = docs.select(F.col(id_col).alias("_id"), _key(_lang(docs, lang_col)).alias("_key"), F.col(text_col).alias("_text"))
+    langs = written(docs.join(marks, "_id", "left_semi").select("_key").distinct(), "quality-langs")
+    few = langs.count() <= BROADCAST_LANGS
+    docs = docs.join(F.broadcast(langs) if few else langs, "_key", "left_semi")
+    rows = _hashes(docs, "_text", ["_id", "_key"]).join(marks, "_id", "left")
+    rows = rows.select("_key", F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
+    found = rows.groupBy("_key", "bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    every = langs.select("_key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    counts = found.unionByName(every).groupBy("_key", "bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    w = Window.partitionBy("_key")  # a row for each bucket
+    share = F.col("n") / F.greatest(F.sum("n").over(w), F.lit(1))
+    ratio = F.ln((F.col("t") + PRIOR * share) / (F.sum("t").over(w) + PRIOR)) - F.ln(share)
+    weighed = counts.select("_key", "bucket", F.when(F.col("n") > 0, ratio).otherwise(0.0).alias("w"))
+    table = weighed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("x"))
+    return written(table.select("_key", F.col("x.w").alias("_weights")), "quality-weights")
+
+
+def judge(docs: DataFrame, bucket_weights: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with ``_base``, ``_score`` (mean log ratio; 0 without words or where the language has no weights) and
-    ``_kept``."""
-    out = base_counts(docs, text_col)
-    if bucket_weights:
-        langs, size = list(bucket_weights), len(next(iter(bucket_weights.values())))
-        table = F.split(F.lit(",".join(map(repr, np.concatenate(list(bucket_weights.values())).tolist()))), ",").cast("array<double>")  # folded to one literal
-        place = _place(_lang(docs, lang_col), langs)
-        out = out.withColumn("_grams", _grams(F.col("_base.hashes"), size))
-        # in an array of one, so that the language is looked up once a document
-        total = F.get(F.transform(F.array(place * size), lambda at: F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(table, at + g))), F.lit(0))
-        score = F.when(place >= 0, F.round(total / F.greatest(F.size("_grams"), F.lit(1)), 9)).otherwise(F.lit(0.0))
-        out = out.withColumn("_score", score).drop("_grams")
-    else:
-        out = out.withColumn("_score", F.lit(0.0))
+    ``_kept``. The weights of up to BROADCAST_LANGS languages are broadcast, more are joined by shuffle."""
+    table = F.broadcast(bucket_weights) if bucket_weights.count() <= BROADCAST_LANGS else bucket_weights
+    out = base_counts(docs, text_col).withColumn("_key", _key(_lang(docs, lang_col))).join(table, "_key", "left")
+    total = F.aggregate(_grams(F.col("_base.hashes"), buckets), F.lit(0.0), lambda a, g: a + F.get("_weights", g))
+    n = F.greatest(2 * F.size("_base.hashes") - 1, F.lit(1))  # words, and pairs of neighbours
+    out = out.withColumn("_score", F.when(F.col("_weights").isNotNull(), F.round(total / n, 9)).otherwise(0.0)).drop("_key", "_weights")
     return out.withColumn("_kept", ~F.col("_base.base_failed") & (F.col("_score") >= threshold))
 
 
@@ -141,7 +134,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     the base rules alone act, and an empty table gives none.
     """
     docs = docs.select(id_col, text_col, *{lang_col} & set(docs.columns))
-    out = judge(docs, weights(docs, trusted, buckets, id_col, text_col, lang_col), threshold, text_col, lang_col)
+    out = judge(docs, weights(docs, trusted, buckets, id_col, text_col, lang_col), threshold, text_col, lang_col, buckets)
     base = [F.col(f"_base.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return out.select(id_col, *base, F.col("_kept").alias("kept"), F.col("_score").alias("llr"))
 
