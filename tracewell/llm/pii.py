@@ -25,6 +25,8 @@ MAX_WORDS = 8
 MAX_TRAIN = 400
 #: Most regions of them that are used.
 MAX_REGIONS = 1500
+#: Parts of a document, and characters of a part, that come to the driver.
+PARTS, PART_CHARS = 64, 2000
 #: Lines with numbers that are no personal data, learnt beside the sample.
 DECOYS = (
     "1999-2000 12345", "on 2024-01-15 10:30 to 11:45", "10-20 30-40 50-60", "version 1.2.3.4.5", "no. 12345678", "0123456789", "id 1234567890123456",
@@ -302,12 +304,30 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def marked_parts(text: str) -> str:
+    """The lines of a text (of long lines pieces of PART_CHARS characters or a word more) with digits or @, PARTS at most."""
+    out: list[str] = []
+    for line in re.finditer(r"[^\n]+", text):
+        at = line.start()
+        while at < line.end() and len(out) < PARTS:
+            cut = re.compile(r"\s").search(text, min(at + PART_CHARS, line.end()), line.end())
+            end = min(cut.start() if cut else line.end(), at + 2 * PART_CHARS)
+            if _TRIGGER.search(text, at, end):
+                out.append(text[at:end])
+            at = end
+        if len(out) == PARTS:
+            break
+    return "\n".join(out)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> np.ndarray:
-    """Weights from at most ``most`` documents that hold a digit or @, those of least hashed id first."""
+    """Weights from at most ``most`` documents that hold personal data's marks, those of least hashed id first; of the texts
+    of one id, the one of least hash. Of a document, its ``marked_parts`` come to the driver."""
     text = F.col(text_col)
     ids = docs.where(text.rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{8}|[0-9]\.[0-9]+\.[0-9]")).select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(ids), "id", "left_semi").orderBy("id", "text")
-    return fit([r.text for r in rows.collect() if r.text])
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).where("text is not null").join(F.broadcast(ids), "id", "left_semi")
+    rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", F.udf(marked_parts, "string", useArrow=True)("text").alias("text"))
+    return fit([r.text for r in rows.orderBy("id").limit(most).collect() if r.text])
 
 
 def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
