@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +59,20 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, np.log1p(counts)
 
 
-def _matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def _matrix(texts: list[Features]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, cols, values = [], [], []
-    for k, text in enumerate(texts):
-        c, v = features(text)
+    for k, (c, v) in enumerate(texts):
         rows.append(np.full(len(c), k))
         cols.append(c)
         values.append(v)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def fit(positive: list, unlabelled: list, prior: float, rounds: int = 60, batches: int = 8, rate: float = 0.05, decay: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias. The loss is the logistic one; the optimiser is Adam with decoupled decay, over ``batches`` parts of P and U a
+def fit(positive: list[Features], unlabelled: list[Features], prior: float, rounds: int = 60, batches: int = 8, rate: float = 0.05, decay: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights and bias from the features of texts. The loss is the logistic one; the optimiser is Adam with decoupled decay, over ``batches`` parts of P and U a
     round. Words that fewer than three, or fewer than 1 %, of the positive texts hold keep weight 0, as do those below LIFT."""
     rng = np.random.default_rng(seed)
     xp, xu = _matrix(positive), _matrix(unlabelled)
@@ -121,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The classifier, from rows that are not held out; None without any confirmed toxic text.
 
     P: documents with label toxic = 1, at most MAX_POSITIVE; U: all documents, labelled or not, at most MAX_UNLABELLED;
-    both those of least hashed id. The prior is the share of toxic rows among the labels that may be used.
+    both those of least hashed id; of the texts of one id, the one of least hash. What comes to the driver is the features
+    of these texts, FEATURES numbers a text at most. The prior is the share of toxic rows among the labels that may be used.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("text").isNotNull())
     marks = labels.select(F.col(id_col).alias("id"), "toxic").where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("id")))
@@ -130,14 +134,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     order = [F.xxhash64("id"), "id"]
 
-    def sample(ids: DataFrame, most: int) -> list[str]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["id", "places", "uses"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def sample(ids: DataFrame, most: int) -> list[Features]:
         ids = ids.select("id").distinct().orderBy(*order).limit(most)
-        return [r.text for r in texts.join(F.broadcast(ids), "id", "left_semi").orderBy(*order).select("text").collect()]
+        rows = texts.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        found = rows.mapInArrow(encoded, f"id {kind}, places array<bigint>, uses array<double>").orderBy(*order).limit(most).toArrow()
+        return [(np.array(c, np.int64), np.array(v)) for c, v in zip(found["places"].to_pylist(), found["uses"].to_pylist(), strict=True)]
 
     positive, unlabelled = sample(marks.where("toxic = 1"), MAX_POSITIVE), sample(texts, MAX_UNLABELLED)
     if not positive:
         return None
-    return fit(positive, unlabelled or [""], min(0.9, max(1e-4, counts.p / counts.n)))
+    return fit(positive, unlabelled or [features(None)], min(0.9, max(1e-4, counts.p / counts.n)))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
