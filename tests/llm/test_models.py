@@ -72,7 +72,7 @@ def test_toxic_texts_are_told_apart(spark):
 
 
 def test_risk_does_not_go_below_zero():
-    w, b = toxicity.fit(["bad bad"] * 20, ["bad good", "good"] * 20, 0.3)
+    w, b = toxicity.fit([toxicity.features(t) for t in ["bad bad"] * 20], [toxicity.features(t) for t in ["bad good", "good"] * 20], 0.3)
     assert np.isfinite(w).all() and np.isfinite(b)
 
 

@@ -43,7 +43,7 @@ def canonical(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as a struct (verdict, rule), else null; of rules of one length, the first listed."""
     out = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in reversed(sorted(rules, key=lambda r: -len(r[1]))):
         name, _, start = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + start)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(out)
