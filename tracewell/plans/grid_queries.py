@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 from ..operators import dataflow, detect, evaluate, faults, grid, lineage, rank
 from ..sources import market, topology
 from ..sources.scratch import kept
-from .catalogue import PLACES, _figures, _figures_sql, _round, add, prepared, rank_all, series_of
+from .catalogue import PLACES, _figures, _figures_sql, _round, add, prepared, rank_all, ranked_by, series_of
 from .oracle import assembled, grid_texts
 
 SIZES = ("small", "medium", "large")
 #: Trials of the registered grid. The full one has grid.TRIALS.
 TRIALS = 3
+#: The grid over tickers: three years a run.
+REAL, REAL_DAYS = ("real",), 756
 #: Magnitudes whose A3 widths go from 2 to 20 days.
 WIDTHS = (1.0, 1.25, 1.6, 2.0, 2.5, 4.0, 6.0, 8.0)
 
 
 def laid_out(spark: SparkSession, sf_dir: str, sizes: tuple[str, ...] = SIZES, trials: int = TRIALS, **how) -> tuple[DataFrame, faults.Setup, DataFrame]:
-    """(grid, runs and faults, source with the faults that act on sources)."""
-    series, n_days = market.markets(spark, sf_dir, {n: topology.SIZES[n] for n in sizes})
+    """(grid, runs and faults, source with the faults that act on sources). The size ``real`` has the tickers' instruments."""
+    cut, tickers = {n: topology.SIZES[n] for n in sizes}, None
+    if sizes == REAL:
+        tickers = market.ticker_map(spark, sf_dir, cut["real"][0])
+        cut["real"] = (tickers.count(), *cut["real"][1:])  # positions and prices are as many as tickers
+    series, n_days = market.markets(spark, sf_dir, cut, tickers)
     runs = kept(grid.runs(spark, n_days, sizes, trials, **how), "grid")
     setup = faults.Setup(runs, grid.actions(runs), grid.overrides(runs), grid.truth(runs))
-    return runs, setup, faults.inject(grid.stretches(series, runs), setup.actions)
+    return runs, setup, faults.inject(grid.stretches(series, runs, how.get("days", grid.DAYS)), setup.actions)
 
 
 def scored(spark: SparkSession, sf_dir: str, sizes: tuple[str, ...] = SIZES, trials: int = TRIALS, **how) -> tuple[DataFrame, DataFrame, faults.Setup]:
@@ -49,8 +55,17 @@ def metrics(spark: SparkSession, sf_dir: str, sizes: tuple[str, ...] = SIZES, tr
     return kept(evaluate.run_metrics(every, setup.truth), "grid-metrics")
 
 
+def figures(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup, methods: tuple[str, ...]) -> DataFrame:
+    """Figures of some methods; runs that a method doesn't rank are missing."""
+    r, every = ranked_by(at, n, e, depth, setup), None
+    for m in methods:
+        own = r[m].withColumn("method", F.lit(m))
+        every = own if every is None else every.unionByName(own)
+    return evaluate.run_metrics(every, setup.truth)
+
+
 def _sql(select: str, sizes: tuple[str, ...] = SIZES, trials: int = TRIALS, **how) -> str:
-    return assembled(grid_texts(sizes, grid.runs_sql(sizes, trials, **how)), select)
+    return assembled(grid_texts(sizes, grid.runs_sql(sizes, trials, **how), how.get("days", grid.DAYS), sizes == REAL), select)
 
 
 _RUN = ("anomaly_type", "topology", "trial", "n_stocks", "m", "shift", "stock", "half", "second_sector", "t_from", "other", "second", "third", "t_to", "width", "member")
@@ -86,3 +101,19 @@ add(
     "summary_by_method_size", lambda spark, d: evaluate.summary(metrics(spark, d), "method", "pipeline_size").where(F.col("pipeline_size").contains("l")),
     _sql(f"SELECT method, pipeline_size, {_MEANS}, count(*) AS n_runs FROM metric WHERE contains(pipeline_size, 'l') GROUP BY 1, 2"),
 )
+
+
+# -- runs over tickers: three years of twelve instruments -----------------------------------------------------------------
+
+_REAL_METHODS = ("v2", "v3", "score", "schema", "hybrid")
+
+
+def _real(spark: SparkSession, d: str) -> DataFrame:
+    scores, _, setup = scored(spark, d, REAL, 1, days=REAL_DAYS)
+    return figures(*placed(spark, scores, REAL), setup, _REAL_METHODS)
+
+
+add("ticker_map", lambda spark, d: market.ticker_map(spark, d), "SELECT n_nationkey AS nation, n_name AS ticker, i::INT AS i, 'STOCK_' || i || '_PRICE' AS price_col, 'POSITION_' || i || '_SIZE' AS position_col FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) WHERE i <= 12")
+_EVERY = " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, target, node_id, score, rank FROM {r}" for m, r in {"v2": "rank_v2", "v3": "rank_v3", "score": "rank_score", "schema": "rank_schema", "hybrid": "hybrid"}.items())
+_REAL_TEXTS = grid_texts(REAL, grid.runs_sql(REAL, 1, days=REAL_DAYS), REAL_DAYS, True) | {"every": _EVERY}
+add("real_metrics", lambda spark, d: _real(spark, d).select(*_METRIC, _round("reciprocal_rank"), _round("false_rc_rate_k5")), assembled(_REAL_TEXTS, f"SELECT {', '.join(_METRIC)}, round(reciprocal_rank, {PLACES}) AS reciprocal_rank, round(false_rc_rate_k5, {PLACES}) AS false_rc_rate_k5 FROM metric"))

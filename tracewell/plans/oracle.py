@@ -214,8 +214,9 @@ def sensitivity_sql(weights: tuple, scales: tuple, places: int) -> str:
 _BY_RUN = {"JOIN edge g ON g.u = p.node_id": "JOIN edge g ON g.run_id = p.run_id AND g.u = p.node_id"}
 
 
-def grid_texts(sizes: tuple[str, ...], runs: str) -> dict[str, str]:
-    """The expressions above for the runs of a grid: graphs are keyed by run, and instruments are as many as a run has."""
+def grid_texts(sizes: tuple[str, ...], runs: str, days: int = grid.DAYS, tickers: bool = False) -> dict[str, str]:
+    """The expressions above for the runs of a grid: graphs are keyed by run, and instruments are as many as a run has.
+    With ``tickers`` the first nations' suppliers are the instruments."""
     sz = ", ".join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in ((n, SIZES[n]) for n in sizes))
     most = max(SIZES[n][0] for n in sizes)
     lost = "anomaly_type = 'A4' AND i = member AND "
@@ -233,7 +234,7 @@ def grid_texts(sizes: tuple[str, ...], runs: str) -> dict[str, str]:
  UNION ALL SELECT topology, 'POSITION_' || i || '_SIZE', t, {_both('size', 'PARTITION BY topology, i')} FROM cells
  UNION ALL SELECT topology, (['RATE_SHORT', 'RATE_MID', 'RATE_LONG'])[i + 1], t, {_both('v', 'PARTITION BY topology, i')} FROM rate_cells
  UNION ALL SELECT topology, (['USD_KRW', 'EUR_KRW', 'JPY_KRW', 'GBP_KRW', 'CNY_KRW'])[i + 1], t, {_both('v', 'PARTITION BY topology, i')} FROM fx_days""",
-        "stretch": f"SELECT r.*, m.col, m.t - r.shift AS t, m.value FROM runs r JOIN market m ON m.topology = r.topology AND m.t >= r.shift AND m.t < r.shift + {grid.DAYS}",
+        "stretch": f"SELECT r.*, m.col, m.t - r.shift AS t, m.value FROM runs r JOIN market m ON m.topology = r.topology AND m.t >= r.shift AND m.t < r.shift + {days}",
         "source": f"""SELECT run_id, col, t, CASE WHEN anomaly_type IN ('A1', 'A7') AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN value * m
  WHEN anomaly_type = 'A5' AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN avg(value) OVER w + 3.8 * m / 8 * stddev_samp(value) OVER w
  WHEN anomaly_type = 'A6' AND col = 'STOCK_' || stock || '_PRICE' AND t >= t_from AND t < t_to THEN value * m * 0.5 WHEN anomaly_type = 'A6' AND col = 'STOCK_' || second || '_PRICE' AND t >= t_from AND t < t_to THEN value * m * 0.3
@@ -246,6 +247,8 @@ def grid_texts(sizes: tuple[str, ...], runs: str) -> dict[str, str]:
         "inst": CTES["inst"].replace("ret, drop_stock,", "ret, anomaly_type, n_stocks, half, member, second_sector,").replace("WHEN i = vol_stock THEN coalesce(v2, 0.0) * 8.0", "WHEN anomaly_type = 'A3' AND i = stock THEN coalesce(vw, 0.0) * m"),
         "d0": f"SELECT run_id, t, CASE WHEN count(worth) = any_value(n_stocks) THEN sum(worth) END AS total, CASE WHEN count(ret) = any_value(n_stocks) THEN avg(ret) END AS ret, CASE WHEN count(vol20) = any_value(n_stocks) THEN avg(vol20) END AS vol, max(worth) AS top, avg(ret) FILTER (i <= half AND NOT ({lost} NOT second_sector AND half > 1)) AS sector_a, avg(ret) FILTER (i > half AND NOT ({lost} second_sector AND n_stocks - half > 1)) AS sector_b FROM inst GROUP BY 1, 2",
     }
+    if tickers:
+        own["daily"] = "SELECT topology, l_shipdate::DATE AS dt, n.i::INT AS i, avg(l_extendedprice / l_quantity) AS price, sum(l_quantity) AS size FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) n ON n.n_nationkey = s_nationkey CROSS JOIN sz WHERE n.i <= stocks GROUP BY 1, 2, 3"
     for k, v in CTES.items():
         if k not in own:
             for a, b in _BY_RUN.items():

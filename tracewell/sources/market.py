@@ -47,16 +47,28 @@ def market(spark: SparkSession, sf_dir: str, stocks: int = 5) -> DataFrame:
     return prices.unionByName(sizes).unionByName(rates).unionByName(fx)
 
 
-def markets(spark: SparkSession, sf_dir: str, sizes: dict[str, tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+def ticker_map(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
+    """(nation, ticker, i, price_col, position_col): the first ``n`` nations are the tickers of instruments 1, 2, ...; there
+    are as many positions as tickers."""
+    w = Window.orderBy("n_nationkey")  # a row for each nation
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("ticker"), F.row_number().over(w).alias("i")).where(F.col("i") <= n)
+    return rows.select("*", F.format_string("STOCK_%d_PRICE", "i").alias("price_col"), F.format_string("POSITION_%d_SIZE", "i").alias("position_col"))
+
+
+def markets(spark: SparkSession, sf_dir: str, sizes: dict[str, tuple[int, int, int]], tickers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(source(topology, col, t, value), days(n_days)) for sizes of (stocks, rates, currencies): suppliers are dealt to a
-    size's stocks, line numbers to its rates, customers to its currencies. Prices have gaps.
+    size's stocks, or by ``tickers`` to one size's, line numbers to its rates, customers to its currencies. Prices have gaps.
 
     Each order table is read once, into sums by day and the keys that all sizes can be made from.
     """
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     size = spark.createDataFrame([(n, *s) for n, s in sizes.items()], "topology string, stocks int, rates int, currencies int")  # a row for each size
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    sums = items.groupBy(F.to_date("l_shipdate").alias("dt"), (F.col("l_suppkey") % lcm(*(s[0] for s in sizes.values()))).alias("s"), (F.col("l_linenumber") % lcm(*(s[1] for s in sizes.values()))).alias("r")).agg(
+    dealt = F.col("l_suppkey") % lcm(*(s[0] for s in sizes.values()))
+    if tickers is not None:
+        owners = table(spark, sf_dir, "supplier").join(tickers, F.col("s_nationkey") == F.col("nation")).select(F.col("s_suppkey").alias("l_suppkey"), (F.col("i") - 1).alias("own"))
+        items, dealt = items.join(owners, "l_suppkey", "left"), F.col("own")
+    sums = items.groupBy(F.to_date("l_shipdate").alias("dt"), dealt.alias("s"), (F.col("l_linenumber") % lcm(*(s[1] for s in sizes.values()))).alias("r")).agg(
         F.sum(price).alias("price"), F.count(price).alias("prices"), F.sum("l_quantity").alias("size"), F.sum("l_discount").alias("off"), F.count("l_discount").alias("offs")
     )
     sums = kept(sums.where("dt is not null"), "market-sums")

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE = "topology string, node_id string, node_ord int, layer int, transform_type string, input_columns array<string>, output_columns array<string>, upstream array<string>, expected_input_count int"
+#: Names of currencies and rates, and below of families (``peer_key``), which figures depend on.
 FX = ("USD_KRW", "EUR_KRW", "JPY_KRW", "GBP_KRW", "CNY_KRW")
 RATES = ("RATE_SHORT", "RATE_MID", "RATE_LONG")
 #: Stocks, rates, currencies of the named sizes; there are as many positions as stocks.
-SIZES = {"small": (3, 2, 1), "medium": (5, 3, 2), "large": (8, 3, 3), "market": (5, 3, 1)}
+SIZES = {"small": (3, 2, 1), "medium": (5, 3, 2), "large": (8, 3, 3), "market": (5, 3, 1), "real": (12, 3, 3)}
 
 
 def rows(topology: str, stocks: int, rates: int, currencies: int) -> list[tuple]:
