@@ -1,18 +1,20 @@
 """Re-ranking of root-cause candidates by a graph network with a residual path.
 
 A run's sample is its graph of candidates and neighbours: a row of features for each node (rank.graph_features) and a row
-for each link. Nets are trained in numpy on a bounded number of labelled runs, each run is scored by the net that did
-not see its fold, and every run is scored in a task of its own.
+for each link. Nets are rows of a table: each is trained in a task of its own, in numpy, on a bounded number of labelled
+runs, and each run is scored by the net that did not see its fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .lineage import TRANSFER, by_kind
 from .networks import Adam
@@ -27,10 +29,11 @@ KINDS = tuple(TRANSFER)
 def links(features: DataFrame, edge: DataFrame) -> DataFrame:
     """(run_id, node_id, other, edge_type, weight): for each edge from ``other`` to ``node_id`` within a run's graph, how
     much it passes on, and 1 from each node to itself (edge_type null)."""
-    nodes = features.select("run_id", "node_id")
+    key = [c for c in ("topology",) if c in features.columns]
+    nodes = features.select("run_id", *key, "node_id")
     passed = by_kind(F.col("edge_type"), TRANSFER, 1.0)
-    inner = edge.select(F.col("v").alias("node_id"), F.col("u").alias("other"), "edge_type", passed.alias("weight")).join(nodes, "node_id")
-    inner = inner.join(nodes.withColumnRenamed("node_id", "other"), ["run_id", "other"])
+    inner = edge.select(*key, F.col("v").alias("node_id"), F.col("u").alias("other"), "edge_type", passed.alias("weight")).join(nodes, [*key, "node_id"])
+    inner = inner.join(nodes.drop(*key).withColumnRenamed("node_id", "other"), ["run_id", "other"])
     own = nodes.select("run_id", "node_id", F.col("node_id").alias("other"), F.lit(None).cast("string").alias("edge_type"), F.lit(1.0).alias("weight"))
     return inner.select(own.columns).unionByName(own)
 
@@ -117,30 +120,57 @@ def trained(rows: list[tuple], relations: int, epochs: int = EPOCHS, seed: int =
     return p
 
 
+NET = "part string, relational boolean, held int, net binary"
+#: Stands for the net of all labelled runs, which scores runs without a fold.
+ALL = -1
+#: Runs that are scored together.
+BLOCK = 256
+
+
+def nets(sample: DataFrame, truth: DataFrame, relational: Sequence[bool] = (False,), epochs: int = EPOCHS, bound: int = SAMPLE) -> DataFrame:
+    """(part, relational, held, net): for each part of ``sample(part, run_id, nodes, links)``, each kind of net and each fold
+    a net trained on the part's labelled runs of other folds (``held`` is the fold it has not seen, or ALL), each in a
+    task of its own. ``truth(run_id, node_id, fold)``; a run without a label, or whose root cause lies outside its graph,
+    trains none. Of a part, the ``bound`` runs of least hash count."""
+    labelled = sample.join(truth.select("run_id", F.col("node_id").alias("cause"), "fold"), "run_id").where(F.exists("nodes", lambda n: n["node_id"] == F.col("cause")))
+    by = Window.partitionBy("part").orderBy(F.xxhash64("run_id"), "run_id")
+    labelled = labelled.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= bound)
+    folds = truth.select(F.col("fold").alias("held")).where("held is not null").distinct().unionByName(truth.sparkSession.createDataFrame([(ALL,)], "held int"))
+    kinds = truth.sparkSession.createDataFrame([(bool(r),) for r in relational], "relational boolean")
+    rows = labelled.crossJoin(folds).where("held <> coalesce(fold, -2)").crossJoin(kinds)  # a copy for each fold and kind, of bounded rows
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        part, kind, held = frame.part.iloc[0], bool(frame.relational.iloc[0]), int(frame.held.iloc[0])
+        ready = []
+        for r in frame.sort_values("_k").itertuples():
+            names, *arrays = matrices(r.nodes, r.links, kind)
+            ready.append((*arrays, np.array([float(n == r.cause) for n in names])))
+        return pd.DataFrame({"part": [part], "relational": [kind], "held": [held], "net": [pickle.dumps(trained(ready, len(KINDS) if kind else 1, epochs))]})
+
+    return rows.select("part", "relational", "held", "_k", "nodes", "links", "cause").groupBy("part", "relational", "held").applyInPandas(fit, NET)
+
+
+def scored_by(sample: DataFrame, folds: DataFrame, models: DataFrame) -> DataFrame:
+    """(part, relational, run_id, node_id, score) of every node of ``sample(part, run_id, nodes, links)``'s graphs, by the nets
+    that did not see the run's fold (``folds(run_id, fold)``), by those of all where it has none. Without a net, no scores."""
+    blocks = max(1, -(-sample.count() // BLOCK))
+    rows = sample.join(folds.select("run_id", "fold"), "run_id", "left").withColumn("held", F.coalesce("fold", F.lit(ALL))).withColumn("block", F.pmod(F.xxhash64("run_id"), F.lit(blocks)))
+    each = models.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def score(runs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for kind, packed in zip(held.relational, held.net, strict=True):
+            net = pickle.loads(packed)
+            for r in runs.itertuples():
+                names, *arrays = matrices(r.nodes, r.links, bool(kind))
+                out += [(r.part, bool(kind), r.run_id, name, float(s)) for name, s in zip(names, scores(net, *arrays)[0], strict=True)]
+        return pd.DataFrame(out, columns=["part", "relational", "run_id", "node_id", "score"])
+
+    keys = ("part", "held", "block")
+    return rows.drop("fold").groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(score, "part string, relational boolean, run_id string, node_id string, score double")
+
+
 def network_scores(sample: DataFrame, truth: DataFrame, relational: bool = False, epochs: int = EPOCHS, bound: int = SAMPLE) -> DataFrame:
-    """(run_id, node_id, score) of every node of ``sample``'s graphs. ``truth(run_id, node_id, fold)`` labels runs; a run
-    without a label, or whose root cause lies outside its graph, trains no net. A run is scored by the net of its fold,
-    trained on the others; one without a fold by a net of all. A net without training runs gives no scores."""
-    own = truth.select("run_id", F.col("node_id").alias("cause"), "fold")
-    labelled = sample.join(own, "run_id").where(F.exists("nodes", lambda n: n["node_id"] == F.col("cause")))
-    rows = labelled.orderBy(F.xxhash64("run_id"), "run_id").limit(bound).collect()
-    ready = []
-    for r in rows:
-        names, *arrays = matrices(r["nodes"], r["links"], relational)
-        ready.append((r["fold"], (*arrays, np.array([float(n == r["cause"]) for n in names]))))
-    nets = {}
-    for fold in {None, *(f for f, _ in ready)}:
-        others = [a for f, a in ready if f != fold or fold is None]
-        if others:
-            nets[fold] = trained(others, len(KINDS) if relational else 1, epochs)
-    held = sample.sparkSession.sparkContext.broadcast(nets)  # a few thousand weights a fold
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for run, nodes, link, fold in zip(f.run_id, f.nodes, f.links, f.fold, strict=True):
-                net = held.value.get(None if pd.isna(fold) else int(fold), held.value.get(None) if pd.isna(fold) else None)
-                if net is not None:
-                    names, *arrays = matrices(nodes, link, relational)
-                    yield pd.DataFrame({"run_id": run, "node_id": names, "score": scores(net, *arrays)[0]})
-
-    return sample.join(own.select("run_id", "fold"), "run_id", "left").select("run_id", "nodes", "links", "fold").mapInPandas(scored, "run_id string, node_id string, score double")
+    """(run_id, node_id, score) of every node of ``sample``'s graphs, each run by the net that has not seen its fold."""
+    one = sample.select(F.lit("").alias("part"), "run_id", "nodes", "links")
+    return scored_by(one, truth, nets(one, truth, (relational,), epochs, bound)).select("run_id", "node_id", "score")

@@ -54,13 +54,14 @@ def _case(key: str, values: Sequence, quote: bool = False) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {k} THEN {repr(v) if quote else v}" for k, v in enumerate(values)) + " END"
 
 
-def columns(sizes: Sequence[str], kinds: Sequence[str] = KINDS, magnitudes: Sequence[float] = (MAGNITUDE,), days: int = DAYS, drawn_stretch: bool = False) -> list[dict[str, str]]:
+def columns(sizes: Sequence[str], kinds: Sequence[str] = KINDS, magnitudes: Sequence[float] = (MAGNITUDE,), days: int = DAYS, drawn_stretch: bool = False, first: int = 0) -> list[dict[str, str]]:
     """SQL of a run's columns from its number ``id`` and the calendar's length ``n_days``, in steps: each may use those before.
 
     Kinds change fastest, then sizes, then trials. Magnitudes go round with the trials. ``stock`` is the place of the
     fault (of A4, ``member`` of the sector), ``other`` the noisy stock of A7, and ``second`` and ``third`` those after
     the first of A6. Days of a fault go from ``t_from`` to before ``t_to``; of A2, those that are scaled once more: from
-    a third of the days on, or with ``drawn_stretch`` anywhere. ``width`` is what A3's 20 days shrink to.
+    a third of the days on, or with ``drawn_stretch`` anywhere. ``width`` is what A3's 20 days shrink to. Trials count from
+    ``first``. A kind that is none of KINDS has no fault.
     """
     k, s = len(kinds), len(sizes)
     start = {"A1": f"60 + {below('id', 4, days - 70)}", "A7": f"60 + {below('id', 4, days - 70)}", "A5": f"60 + {below('id', 4, days - 80)}", "A6": f"60 + {below('id', 4, days - 75)}", "A2": below("id", 4, days - 10) if drawn_stretch else str(days // 3)}
@@ -70,7 +71,7 @@ def columns(sizes: Sequence[str], kinds: Sequence[str] = KINDS, magnitudes: Sequ
         return "CASE anomaly_type " + " ".join(f"WHEN '{a}' THEN {v}" for a, v in table.items()) + f" ELSE {other} END"
 
     return [
-        {"anomaly_type": _case(f"CAST(id % {k} AS INT)", kinds, True), "topology": _case(f"CAST(floor(id / {k}) AS INT) % {s}", sizes, True), "trial": f"CAST(floor(id / {k * s}) AS INT)"},
+        {"anomaly_type": _case(f"CAST(id % {k} AS INT)", kinds, True), "topology": _case(f"CAST(floor(id / {k}) AS INT) % {s}", sizes, True), "trial": f"CAST(floor(id / {k * s}) AS INT) + {first}"},
         {"n_stocks": "CASE topology " + " ".join(f"WHEN '{n}' THEN {SIZES[n][0]}" for n in sizes) + " END", "m": f"CAST({_case(f'trial % {len(magnitudes)}', magnitudes)} AS DOUBLE)", "shift": below("trial + 42", 1, f"CASE WHEN n_days > {days} THEN n_days - {days} + 1 ELSE 1 END")},
         {"stock": f"1 + {below('id', 1, 'n_stocks')}", "half": "CASE WHEN n_stocks < 4 THEN 1 ELSE CAST(floor(n_stocks / 2) AS INT) END", "second_sector": f"{below('id', 2, 2)} = 1", "t_from": of_kind(start, "0")},
         {"other": f"(stock - 1 + 1 + {below('id', 6, 'CASE WHEN n_stocks > 1 THEN n_stocks - 1 ELSE 1 END')}) % n_stocks + 1", "second": "stock % n_stocks + 1", "third": "(stock + 1) % n_stocks + 1", "t_to": f"t_from + {of_kind(length, '0')}", "width": "CASE WHEN floor(20 / m) > 2 THEN CAST(floor(20 / m) AS INT) ELSE 2 END",

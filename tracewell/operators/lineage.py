@@ -53,16 +53,75 @@ def reach(edge: DataFrame) -> DataFrame:
     return known
 
 
+def peeled(edge: DataFrame, start: str = "u", end: str = "v") -> tuple[DataFrame, int]:
+    """(edges that are left, rounds): edges of nodes without incoming ones (from ``start`` to ``end``) go, round by round,
+    until none does. What is left begins in a cycle; without cycles nothing is, and there were as many rounds as the
+    longest way has edges."""
+    left, rounds = kept(edge.select("topology", "u", "v").distinct(), "peeled"), 0
+    have = left.count()
+    while have:
+        entered = left.select("topology", F.col(end).alias(start)).distinct()
+        left = kept(left.join(entered, ["topology", start], "left_semi"), "peeled")
+        before, have = have, left.count()
+        if have == before:
+            break
+        rounds += 1
+    return left.select("topology", "u", "v"), rounds
+
+
 def depth(edge: DataFrame) -> int:
     """Edges of the longest way in any of the graphs, which must have no cycles."""
-    e = kept(edge.select("topology", "u", "v").distinct(), "edges")
-    at, steps, limit = e.select("topology", "v").distinct(), 0, e.select("topology", "v").distinct().count()
-    while not at.isEmpty():
-        steps += 1
-        if steps > limit:
-            raise ValueError("the graph has a cycle")
-        at = kept(e.join(at.withColumnRenamed("v", "u"), ["topology", "u"]).select("topology", "v").distinct(), "ends")
-    return steps
+    left, rounds = peeled(edge)
+    if not left.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return rounds
+
+
+def cycles(edge: DataFrame) -> DataFrame:
+    """(topology, node_id, part): nodes that lie on cycles, with the least name of those that they can reach and are reached
+    from. Only what peeling from both sides leaves is closed."""
+    left = reach(peeled(peeled(edge)[0], "v", "u")[0])
+    back = left.select("topology", F.col("v").alias("u"), F.col("u").alias("v"))
+    both = left.select("topology", "u", "v").join(back, ["topology", "u", "v"])
+    return both.groupBy("topology", F.col("u").alias("node_id")).agg(F.min("v").alias("part"))
+
+
+def faults_of(nodes: DataFrame) -> DataFrame:
+    """(topology, fault, node_id, detail) of graphs as they are loaded: ``repeated`` names with how often they are laid down,
+    ``dangling`` inputs that are no node, ``column`` for input columns that no input gives, ``cycle`` for nodes on cycles
+    with the least name of their part. A sound graph has no rows."""
+    names = nodes.groupBy("topology", "node_id").agg(F.count("*").alias("n"))
+    repeated = names.where("n > 1").select("topology", F.lit("repeated").alias("fault"), "node_id", F.col("n").cast("string").alias("detail"))
+    wanted = nodes.select("topology", "node_id", F.explode("upstream").alias("u")).distinct()
+    dangling = wanted.join(names.select("topology", F.col("node_id").alias("u")), ["topology", "u"], "left_anti").select("topology", F.lit("dangling").alias("fault"), "node_id", F.col("u").alias("detail"))
+    given = wanted.join(nodes.select("topology", F.col("node_id").alias("u"), F.explode("output_columns").alias("detail")), ["topology", "u"]).select("topology", "node_id", "detail")
+    used = nodes.where("size(upstream) > 0").select("topology", "node_id", F.explode("input_columns").alias("detail")).distinct()
+    column = used.join(given, ["topology", "node_id", "detail"], "left_anti").select("topology", F.lit("column").alias("fault"), "node_id", "detail")
+    cycle = cycles(wanted.select("topology", "u", F.col("node_id").alias("v"))).select("topology", F.lit("cycle").alias("fault"), "node_id", F.col("part").alias("detail"))
+    return repeated.unionByName(dangling).unionByName(column).unionByName(cycle)
+
+
+def first_steps(edge: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(topology, u, v, hops, next): for every v that u reaches, the node after u on a shortest way, of several the one laid
+    down first."""
+    ahead = closure.select("topology", F.col("u").alias("next"), "v", (F.col("hops") + 1).alias("hops"))
+    ahead = ahead.unionByName(edge.select("topology", F.col("v").alias("next"), "v", F.lit(1).alias("hops")).distinct())
+    order = nodes.select("topology", F.col("node_id").alias("next"), "node_ord")
+    met = edge.select("topology", "u", F.col("v").alias("next")).distinct().join(ahead, ["topology", "next"]).join(closure.select("topology", "u", "v", "hops"), ["topology", "u", "v", "hops"]).join(order, ["topology", "next"])
+    return met.groupBy("topology", "u", "v", "hops").agg(F.min_by("next", F.struct("node_ord", "next")).alias("next"))
+
+
+def shortest_paths(steps: DataFrame) -> DataFrame:
+    """(topology, u, v, path) from ``first_steps``: pointers are doubled, so a way of h edges takes log2 h joins."""
+    longest = steps.agg(F.max("hops")).first()[0] or 0
+    paths = kept(steps.select("topology", "u", "v", "hops", F.array("u").alias("path"), "next"), "paths")
+    done = 1
+    while done < longest:
+        rest = paths.select("topology", F.col("u").alias("next"), "v", F.col("path").alias("more"), F.col("next").alias("far"))
+        moved = paths.join(rest, ["topology", "next", "v"], "left")
+        paths = kept(moved.select("topology", "u", "v", "hops", F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"), F.coalesce("far", "next").alias("next")), "paths")
+        done *= 2
+    return paths.select("topology", "u", "v", F.concat("path", F.array("v")).alias("path"))
 
 
 #: Edges of a topology up to which one task works out its closure.

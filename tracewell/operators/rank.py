@@ -206,16 +206,18 @@ def rerank(ranking: DataFrame, learned: DataFrame, nodes: DataFrame) -> DataFram
 def graph_features(ranking: DataFrame, at: DataFrame, edge: DataFrame, k: int = 10) -> DataFrame:
     """(run_id, node_id, f0..f7) of the k best candidates and their neighbours: share of the best walk score, anomaly score,
     layer, ancestor or not, in and out degree, candidate or not, hops up from the target."""
-    cand = top(ranking, k).select("run_id", "node_id", F.col("score").alias("w"))
-    near = edge.select(F.col("u").alias("node_id"), F.col("v").alias("x")).union(edge.select(F.col("v").alias("node_id"), F.col("u").alias("x")))
-    sub = cand.select("run_id", "node_id").union(cand.join(near, "node_id").select("run_id", F.col("x").alias("node_id"))).distinct()
-    ins, outs = edge.groupBy(F.col("v").alias("node_id")).agg(F.count("*").alias("i")), edge.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("o"))
-    big = ins.agg((F.max("i") + 1).alias("max_i")).crossJoin(outs.agg((F.max("o") + 1).alias("max_o")))
+    cand = top(ranking, k).select("run_id", "node_id", F.col("score").alias("w")).join(at.select(*_by(at, "run_id", "node_id")), ["run_id", "node_id"])
+    near = edge.select(*_by(at), F.col("u").alias("node_id"), F.col("v").alias("x")).union(edge.select(*_by(at), F.col("v").alias("node_id"), F.col("u").alias("x")))
+    sub = cand.select("run_id", "node_id").union(cand.join(near, _by(at, "node_id")).select("run_id", F.col("x").alias("node_id"))).distinct()
+    ins, outs = (edge.groupBy(*_by(at), F.col(end).alias("node_id")).agg(F.count("*").alias(name)) for end, name in (("v", "i"), ("u", "o")))
+    big_in, big_out = (d.groupBy(*_by(at)).agg((F.max(c) + 1).alias(f"max_{c}")) for d, c in ((ins, "i"), (outs, "o")))
+    big = big_in.join(big_out, "topology") if "topology" in at.columns else big_in.crossJoin(big_out)
     best = cand.groupBy("run_id").agg(F.max("w").alias("best"))
-    s = sub.join(at, ["run_id", "node_id"]).join(cand, ["run_id", "node_id"], "left").join(best, "run_id").join(ins, "node_id", "left").join(outs, "node_id", "left").crossJoin(F.broadcast(big))
+    s = sub.join(at, ["run_id", "node_id"]).join(cand.select("run_id", "node_id", "w"), ["run_id", "node_id"], "left").join(best, "run_id").join(ins, _by(at, "node_id"), "left").join(outs, _by(at, "node_id"), "left")
+    s = s.join(big, "topology") if "topology" in at.columns else s.crossJoin(F.broadcast(big))
     far = F.col("max_hops") + 1
     return s.select(
-        "run_id", "node_id", (F.coalesce("w", F.lit(0.0)) / F.col("best")).alias("f0"), F.col("score").alias("f1"), (F.col("layer") / 5).alias("f2"), (F.coalesce(F.col("hops") > 0, F.lit(False))).cast("double").alias("f3"),
+        *_by(at, "run_id", "node_id"), (F.coalesce("w", F.lit(0.0)) / F.col("best")).alias("f0"), F.col("score").alias("f1"), (F.col("layer") / 5).alias("f2"), (F.coalesce(F.col("hops") > 0, F.lit(False))).cast("double").alias("f3"),
         (F.coalesce("i", F.lit(0)) / F.col("max_i")).alias("f4"), (F.coalesce("o", F.lit(0)) / F.col("max_o")).alias("f5"), F.col("w").isNotNull().cast("double").alias("f6"), (F.coalesce(F.col("hops"), far) / far).alias("f7"),
     )
 
