@@ -186,13 +186,20 @@ def impact(closure: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
 
 def simple_paths(edge: DataFrame, source: str, target: str, cutoff: int = 10) -> DataFrame:
     """(topology, path) of all ways from source to target with ``cutoff`` edges at most; none for unknown names."""
+    pairs = edge.select("topology").distinct().select("topology", F.lit(source).alias("u"), F.lit(target).alias("v"))
+    return paths_between(edge, pairs, cutoff).select("topology", "path")
+
+
+def paths_between(edge: DataFrame, pairs: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(topology, u, v, path) of all ways between ``pairs(topology, u, v)`` with ``cutoff`` edges at most. More
+    rows than Spark's limit for recursion are an error."""
     return edge.sparkSession.sql(
-        """WITH RECURSIVE c(topology, last, path, hops) AS (
-             SELECT topology, v, array(u, v), 1 FROM {edge} WHERE u = {source} UNION ALL
-             SELECT c.topology, e.v, array_append(c.path, e.v), c.hops + 1 FROM c JOIN {edge} e ON e.topology = c.topology AND e.u = c.last
-             WHERE c.hops < {cutoff} AND c.last <> {target} AND NOT array_contains(c.path, e.v))
-           SELECT topology, path FROM c WHERE last = {target}""",
-        edge=edge.select("topology", "u", "v").distinct(), source=source, target=target, cutoff=cutoff,
+        """WITH RECURSIVE c(topology, u, v, last, path, hops) AS (
+             SELECT p.topology, p.u, p.v, e.v, array(e.u, e.v), 1 FROM {pairs} p JOIN {edge} e ON e.topology = p.topology AND e.u = p.u UNION ALL
+             SELECT c.topology, c.u, c.v, e.v, array_append(c.path, e.v), c.hops + 1 FROM c JOIN {edge} e ON e.topology = c.topology AND e.u = c.last
+             WHERE c.hops < {cutoff} AND c.last <> c.v AND NOT array_contains(c.path, e.v))
+           SELECT topology, u, v, path FROM c WHERE last = v""",
+        edge=edge.select("topology", "u", "v").distinct(), pairs=pairs.select("topology", "u", "v").distinct(), cutoff=cutoff,
     )
 
 

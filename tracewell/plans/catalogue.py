@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import autoencoder, causal, dataflow, detect, evaluate, faults, graphnet, learned, lineage, rank
 from ..sources import market, topology
 from ..sources.scratch import cleared, folder, kept
-from .oracle import ablation_sql, nodes_sql, sensitivity_sql, sql
+from .oracle import ablation_sql, sensitivity_sql, sql
 
 FLAGSHIP = "fused_score"
 PLACES = 6
@@ -152,42 +152,6 @@ add("inject_drawn", _drawn)
 add("generated_market", lambda spark, d: market.generated(spark, spark.range(8).select(F.col("id").alias("seed"))))
 add("normalised_prices", lambda spark, d: market.normalised(market.market(spark, d).where("col like 'STOCK%'")).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value / first_value(value IGNORE NULLS) OVER (PARTITION BY col ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 100, {PLACES}) + 0.0 AS value FROM market WHERE starts_with(col, 'STOCK')"))
 
-# lineage, over the three named sizes
-_SIZES = ("small", "medium", "large")
-_N3 = ("node", nodes_sql(*_SIZES))
-_C3 = ("closure", "SELECT topology, u, v, min(hops) AS hops FROM (WITH RECURSIVE c AS (SELECT topology, u, v, 1 AS hops FROM edge UNION SELECT c.topology, c.u, e.v, c.hops + 1 FROM c JOIN edge e ON e.topology = c.topology AND e.u = c.v WHERE c.hops < 10) SELECT * FROM c) GROUP BY 1, 2, 3")
-
-
-def _three(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n = topology.nodes(spark, *_SIZES)
-    e = lineage.edges(n)
-    return n, e, lineage.reach(e)
-
-
-add("lineage_nodes", lambda spark, d: topology.nodes(spark, *_SIZES).select("topology", "node_id", "node_ord", "layer", "transform_type", "peer_key", F.size("input_columns").alias("inputs")), sql("SELECT topology, node_id, node_ord, layer, transform_type, peer_key, len(input_columns)::INT AS inputs FROM node", _N3))
-add("lineage_edges", lambda spark, d: _three(spark)[1].select("topology", "u", "v", "edge_type", "weight_prior", F.array_join("source_columns", ",").alias("source_columns"), F.array_join("target_columns", ",").alias("target_columns")), sql("SELECT topology, u, v, edge_type, weight_prior, array_to_string(source_columns, ',') AS source_columns, array_to_string(target_columns, ',') AS target_columns FROM edge", _N3))
-add("descendants", lambda spark, d: lineage.descendants(_three(spark)[2], "SRC_STOCK_1_PRICE"), sql("SELECT topology, v AS node_id, hops FROM closure WHERE u = 'SRC_STOCK_1_PRICE'", _N3, _C3))
-add("ancestors", lambda spark, d: lineage.ancestors(_three(spark)[2], "REPORT_LIMIT"), sql("SELECT topology, u AS node_id, hops FROM closure WHERE v = 'REPORT_LIMIT'", _N3, _C3))
-add("hop_distance", lambda spark, d: _three(spark)[2].select("topology", "u", "v", "hops"), sql("SELECT topology, u, v, hops FROM closure", _N3, _C3))
-add("impact", lambda spark, d: (lambda x: lineage.impact(x[2], x[0], "FEAT_VOL20_STOCK_2_PRICE"))(_three(spark)).select("topology", "node_id", "column"), sql("SELECT n.topology, n.node_id, unnest(n.output_columns) AS \"column\" FROM node n JOIN closure c ON c.topology = n.topology AND c.v = n.node_id WHERE c.u = 'FEAT_VOL20_STOCK_2_PRICE' AND n.layer = 5", _N3, _C3))
-add(
-    "simple_paths", lambda spark, d: lineage.simple_paths(_three(spark)[1], "SRC_STOCK_1_PRICE", "REPORT_LIMIT").select("topology", F.array_join("path", ">").alias("path")),
-    sql("SELECT topology, path FROM (WITH RECURSIVE c AS (SELECT topology, v, u || '>' || v AS path, 1 AS k FROM edge WHERE u = 'SRC_STOCK_1_PRICE' UNION ALL SELECT c.topology, e.v, c.path || '>' || e.v, c.k + 1 FROM c JOIN edge e ON e.topology = c.topology AND e.u = c.v WHERE c.k < 10) SELECT * FROM c) WHERE v = 'REPORT_LIMIT'", _N3),
-)
-add(
-    "graph_summary", lambda spark, d: lineage.summary(*_three(spark)),
-    sql("SELECT n.topology, n.n_nodes, n.layer_1, n.layer_2, n.layer_3, n.layer_4, n.layer_5, m.n_edges, (SELECT max(hops) FROM closure c WHERE c.topology = n.topology) AS max_hops, round(m.n_edges / n.n_nodes, 6) AS avg_in_degree, round(m.n_edges / n.n_nodes, 6) AS avg_out_degree, NOT EXISTS (SELECT 1 FROM closure c WHERE c.topology = n.topology AND c.u = c.v) AS is_dag FROM (SELECT topology, count(*) AS n_nodes, " + ", ".join(f"sum((layer = {k})::INT)::BIGINT AS layer_{k}" for k in range(1, 6)) + " FROM node GROUP BY 1) n JOIN (SELECT topology, count(*) AS n_edges FROM edge GROUP BY 1) m USING (topology)", _N3, _C3),
-)
-
-
-def _trace(spark: SparkSession, d: str) -> DataFrame:
-    n, _, c = _three(spark)
-    ends = n.select("topology", F.col("node_id").alias("u")).join(n.where("layer = 5").select("topology", F.col("node_id").alias("v")), "topology")
-    return lineage.trace_completeness(c, ends)
-
-
-add("trace_completeness", _trace, sql("SELECT a.topology, a.node_id AS u, b.node_id AS v, CASE WHEN c.u IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS completeness FROM node a JOIN node b ON a.topology = b.topology AND b.layer = 5 LEFT JOIN closure c ON c.topology = a.topology AND c.u = a.node_id AND c.v = b.node_id", _N3, _C3))
-
 # scores
 _SIGNAL = {"score_zvar": ("raw", lambda s, n: detect.raw_score(detect.numbered(s))), "score_shortlong": ("sl", lambda s, n: detect.short_long(detect.numbered(s))), "score_peer": ("peer", lambda s, n: detect.peer_score(detect.numbered(s), n)), "phi_peer": ("phi", lambda s, n: detect.peer_share(detect.numbered(s), n)), "causal_excess": ("excess", lambda s, n: detect.causal_excess(detect.raw_score(detect.numbered(s)), n))}
 _FROM = {"raw": "raws", "sl": "sls", "peer": "peers", "phi": "phis", "excess": "excesses"}
@@ -399,4 +363,4 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 add("rerank", lambda spark, d: _reranked(spark, d).select("run_id", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, old)::INT AS rank FROM (SELECT v.run_id, v.node_id, v.rank AS old, CASE WHEN v.rank <= 10 THEN p.score ELSE 0.0 END AS score FROM rank_v2 v JOIN placed p ON p.run_id = v.run_id AND p.node_id = v.node_id)"))
 
 
-from . import grid_queries, learned_queries  # noqa: E402, F401 - they register their queries
+from . import grid_queries, learned_queries, lineage_queries  # noqa: E402, F401 - they register their queries
