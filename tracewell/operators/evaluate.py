@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grid
+
 
 def run_metrics(ranking: DataFrame, truth: DataFrame) -> DataFrame:
     """(method, run_id, anomaly_type, true_root_cause, target_node, rank, top1, top3, top5, reciprocal_rank, false_rc_rate_k5). A truth
@@ -35,14 +37,14 @@ def grouped_summary(metrics: DataFrame) -> DataFrame:
 
 
 def bootstrap(metrics: DataFrame, *keys: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Means of top1, top5 and reciprocal_rank with bounds from ``replicates`` samples with replacement: each draw picks
-    the row of a number that a hash of (seed, replicate, draw) names."""
+    """Means of top1, top5 and reciprocal_rank with bounds from ``replicates`` samples with replacement: draw d of replicate
+    b takes the row (by run_id) of number grid.draw(b * 2**20 + d, seed) modulo their count."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys)
     rows = metrics.withColumn("k", F.row_number().over(w.orderBy("run_id")) - 1).withColumn("n", F.count("*").over(w))
     draws = rows.select(*keys, "n", F.col("k").alias("d"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    draws = draws.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "b", "d"), F.col("n")).cast("int")).drop("n")
+    draws = draws.withColumn("k", F.expr(f"cast({grid.draw('(b * 1048576 + d)', seed)} % n as int)")).drop("n")
     what = ("top1", "top5", "reciprocal_rank")
     each = draws.join(rows.select(*keys, "k", *what), [*keys, "k"]).groupBy(*keys, "b").agg(*(F.avg(c).alias(c) for c in what))
     lo, hi = (1 - level) / 2, (1 + level) / 2

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import autoencoder, causal, dataflow, detect, evaluate, faults, graphnet, learned, lineage, rank
+from ..operators import autoencoder, causal, dataflow, detect, evaluate, faults, graphnet, grid, learned, lineage, rank
 from ..sources import market, topology
-from ..sources.scratch import cleared, folder, kept
-from .oracle import ablation_sql, sensitivity_sql, sql
+from ..sources.scratch import cleared, kept, new_path
+from .oracle import CTES, ablation_sql, assembled, sensitivity_sql, sql
 
 FLAGSHIP = "fused_score"
 PLACES = 6
@@ -173,15 +172,15 @@ _CHANGED = "SELECT s.run_id, s.node_id, greatest(score, CASE WHEN n >= 20 AND s1
 add("changepoint", _changed, sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score FROM ({_CHANGED})"))
 
 
-def _blended(spark: SparkSession, d: str) -> DataFrame:
+def _blended_scores(spark: SparkSession, d: str) -> DataFrame:
     n, s = topology.nodes(spark, "market"), series(spark, d)
     a = detect.fused(detect.signals(s, n), n)
     b = detect.short_long(detect.numbered(s)).withColumnRenamed("sl", "score")
     shares = spark.createDataFrame([(x,) for x in (0.0, 0.3, 0.5, 0.7, 1.0)], "share double")
-    return detect.blend(b, a, shares).select("share", "run_id", "node_id", _round("score"))
+    return detect.blend(b, a, shares)
 
 
-add("blend", _blended, sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, round(x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0), {PLACES}) + 0.0 AS score FROM score FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) x(share)"))
+add("blend", lambda spark, d: _blended_scores(spark, d).select("share", "run_id", "node_id", _round("score")), sql(f"SELECT x.share::DOUBLE AS share, run_id, node_id, round(x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0), {PLACES}) + 0.0 AS score FROM score FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) x(share)"))
 
 
 def _learned(score: Callable[..., DataFrame], spark: SparkSession, d: str) -> DataFrame:
@@ -286,16 +285,29 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
 add("run_metrics", lambda spark, d: metrics(spark, d).select("method", "run_id", "anomaly_type", "true_root_cause", "target_node", "rank", "top1", "top3", "top5", _round("reciprocal_rank"), _round("false_rc_rate_k5")), sql(f"SELECT method, run_id, anomaly_type, true_root_cause, target_node, rank, top1, top3, top5, round(reciprocal_rank, {PLACES}) AS reciprocal_rank, round(false_rc_rate_k5, {PLACES}) AS false_rc_rate_k5 FROM metric"))
 for _keys in (("method",), ("method", "anomaly_type")):
     add("summary_by_" + "_".join(_keys), lambda spark, d, k=_keys: evaluate.summary(metrics(spark, d), *k), sql(f"SELECT {', '.join(_keys)}, " + ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items()) + f", count(*) AS n_runs FROM metric GROUP BY {', '.join(_keys)}"))
-add("bootstrap_ci", lambda spark, d: evaluate.bootstrap(metrics(spark, d), "method"))
+_CI = (("top1", "top1"), ("top5", "top5"), ("reciprocal_rank", "mrr"))
+_DRAWN = {
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY method ORDER BY run_id) - 1 AS k, count(*) OVER (PARTITION BY method) AS n FROM metric",
+    "taken": f"SELECT r.method, b, {grid.draw('(b * 1048576 + r.k)', 42)} % r.n AS k FROM numbered r CROSS JOIN (SELECT range AS b FROM range(1, 1001))",
+    "replicate": "SELECT t.method, t.b, avg(top1) AS top1, avg(top5) AS top5, avg(reciprocal_rank) AS reciprocal_rank FROM taken t JOIN numbered r ON r.method = t.method AND r.k = t.k GROUP BY 1, 2",
+    "bounds": "SELECT method, " + ", ".join(f"round_even(quantile_cont({c}, 0.025), 4) AS {n}_ci_lo, round_even(quantile_cont({c}, 0.975), 4) AS {n}_ci_hi" for c, n in _CI) + " FROM replicate GROUP BY 1",
+    "means": "SELECT method, " + ", ".join(f"round_even(avg({c}), 4) AS {n}_mean" for c, n in _CI) + ", count(*) AS n_runs FROM metric GROUP BY 1",
+}
+add("bootstrap_ci", lambda spark, d: evaluate.bootstrap(metrics(spark, d), "method"), assembled(CTES | _DRAWN, "SELECT * FROM means JOIN bounds USING (method)"))
 
 
 def _ablated(spark: SparkSession, d: str) -> DataFrame:
     at, _, e, depth = placed(spark, d)
+    return ablated(at, e, depth, faults.registered(spark).truth)
+
+
+def ablated(at: DataFrame, e: DataFrame, depth: int, truth: DataFrame) -> DataFrame:
+    """Figures of the walks with one part left out each."""
     every = None
     for w in rank.ABLATIONS:
         own = rank.rank_walk(at, e, w, depth)
         every = own if every is None else every.unionByName(own)
-    return evaluate.summary(evaluate.run_metrics(every, faults.registered(spark).truth), "method")
+    return evaluate.summary(evaluate.run_metrics(every, truth), "method")
 
 
 add("ablation", _ablated, ablation_sql())
@@ -306,23 +318,36 @@ WEIGHTS = (1.0, 0.5, 0.55, 0.85, 0.80, 0.90, 0.40, 0.60)
 SCALES = (0.7, 0.85, 1.0, 1.15, 1.3)
 
 
-def _swept(spark: SparkSession, d: str) -> DataFrame:
+def swept(signals: DataFrame, nodes: DataFrame, truth: DataFrame) -> DataFrame:
     """How top-5 accuracy and reciprocal rank of the score ranking move as one weight of the fusion is scaled."""
-    base = WEIGHTS
+    spark, base = signals.sparkSession, WEIGHTS
     rows = [(f"{k + 1}|{s}", *(min(1.0, max(0.01, w * s)) if j == k else w for j, w in enumerate(base))) for k in range(8) for s in SCALES]
     weights = spark.createDataFrame(rows, "setting string, " + ", ".join(f"w{k} double" for k in range(1, 9)))
-    n = topology.nodes(spark, "market")
-    s = detect.weighted(detect.signals(series(spark, d), n), n, weights).select(F.concat_ws("#", "setting", "run_id").alias("run_id"), "node_id", "node_ord", "score", F.lit("").alias("target"))
-    truth = faults.registered(spark).truth.crossJoin(F.broadcast(weights.select("setting"))).withColumn("run_id", F.concat_ws("#", "setting", "run_id"))
-    m = evaluate.run_metrics(rank.ranked(s, "score"), truth).withColumn("setting", F.substring_index("run_id", "#", 1))
+    s = detect.weighted(signals, nodes, weights).select(F.concat_ws("#", "setting", "run_id").alias("run_id"), "node_id", "node_ord", "score", F.lit("").alias("target"))
+    t = truth.select("run_id", "anomaly_type", "node_id").crossJoin(F.broadcast(weights.select("setting"))).withColumn("run_id", F.concat_ws("#", "setting", "run_id"))
+    m = evaluate.run_metrics(rank.ranked(s, "score"), t).withColumn("setting", F.substring_index("run_id", "#", 1))
     g = m.groupBy("setting").agg(F.avg("top5").alias("top5"), F.avg("reciprocal_rank").alias("mrr"))
     g = g.select(F.concat(F.lit("W"), F.substring_index("setting", "|", 1)).alias("weight"), F.substring_index("setting", "|", -1).cast("double").alias("scale"), "top5", "mrr")
     return evaluate.sensitivity(g).select("weight", _round("max_delta_top5"), _round("max_delta_mrr"), "sensitive")
 
 
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    n = topology.nodes(spark, "market")
+    return swept(detect.signals(series(spark, d), n), n, faults.registered(spark).truth)
+
+
 add("sensitivity", _swept, sensitivity_sql(WEIGHTS, SCALES, PLACES))
 
 
+def _backward(spark: SparkSession, d: str) -> DataFrame:
+    at, _, e, depth = placed(spark, d)
+    return rank.rank_structural(at, e, depth, backward=True, method="backward")
+
+
+_TURNED = {k.replace("st_", "tb_"): v.replace("st_", "tb_") for k, v in CTES.items() if k.startswith("st_")} | {"tb_p": "SELECT v AS frm, u AS dest, 1.0 / count(*) OVER (PARTITION BY v) AS p FROM edge", "rank_backward": CTES["rank_structural"].replace("st_r", "tb_r")}
+add("rank_rwr_backward", lambda spark, d: _backward(spark, d).select("run_id", "target", "node_id", _round("score"), "rank"), assembled(CTES | _TURNED, f"SELECT run_id, target, node_id, round(score, {PLACES}) + 0.0 AS score, rank::INT AS rank FROM rank_backward"))
+
+
 # tables in and out, and figures with simple inputs
 def _percent_rates(spark: SparkSession, d: str) -> DataFrame:
     """The market's rates and the same in percent, as fractions."""
@@ -339,12 +364,46 @@ def _last_year(spark: SparkSession, d: str) -> DataFrame:
 
 add("last_days", lambda spark, d: _last_year(spark, d).select("col", "t", _round("value")), sql(f"SELECT col, t::INT AS t, round(value, {PLACES}) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY t DESC) AS k FROM market) WHERE k <= 252"))
 
+def _blend_table(spark: SparkSession, d: str) -> DataFrame:
+    """For each share of a blend, the v2 ranking's figures in percent and its first places by kind of fault: written as CSV
+    and read again under its schema."""
+    n, e, c, depth = prepared(spark, "market")
+    s = kept(_blended_scores(spark, d).select(F.concat_ws("#", "share", "run_id").alias("run_id"), "node_id", "score"), "blended")
+    at = kept(rank.placed(s, rank.select_target(s, n, c), n, c), "placed")
+    shares = s.select(F.split_part("run_id", F.lit("#"), F.lit(1)).alias("share")).distinct()
+    truth = faults.registered(spark).truth.crossJoin(F.broadcast(shares)).withColumn("run_id", F.concat_ws("#", "share", "run_id")).drop("share")  # five shares
+    m = evaluate.run_metrics(rank.rank_walk(at, e, rank.V2, depth), truth).withColumn("alpha", F.split_part("run_id", F.lit("#"), F.lit(1)).cast("double"))
+    percent = lambda c: F.bround(100 * F.avg(c), 1)
+    kinds = [F.bround(100 * F.avg(F.when(F.col("anomaly_type") == k, F.col("top1"))), 1).alias(k) for k in FAULTS]
+    table = m.groupBy("alpha").agg(percent("top1").alias("top1"), percent("top3").alias("top3"), percent("top5").alias("top5"), percent("reciprocal_rank").alias("mrr"), F.count("*").alias("n"), *kinds)
+    path = new_path(spark, "blend-csv")
+    market.write_csv(table, path)
+    return market.read_csv(spark, path, "alpha double, top1 double, top3 double, top5 double, mrr double, n bigint, " + ", ".join(f"{k} double" for k in FAULTS))
+
+
+FAULTS = ("A1", "A2", "A3", "A4", "A5", "A6")
+_MIXED = "SELECT share || '#' || run_id AS run_id, node_id, n.node_ord, n.layer, score FROM (SELECT x.share, run_id, node_id, x.share * coalesce(sl, 0.0) + (1 - x.share) * coalesce(score, 0.0) AS score FROM fused FULL JOIN sls USING (run_id, node_id) CROSS JOIN (VALUES ('0.0', 0.0::DOUBLE), ('0.3', 0.3::DOUBLE), ('0.5', 0.5::DOUBLE), ('0.7', 0.7::DOUBLE), ('1.0', 1.0::DOUBLE)) y(name, share)) b JOIN node n USING (node_id)"
+_BLEND = {}
+for _k, _v in CTES.items():
+    if _k == "score":
+        _BLEND |= {"fused": _v, "score": _MIXED.replace("x.share", "y.share").replace("SELECT share || '#'", "SELECT name || '#'").replace("(SELECT y.share, run_id", "(SELECT y.name, run_id")}
+    elif _k == "truth":
+        _BLEND |= {"truth0": _v, "truth": "SELECT DISTINCT s.run_id, t.run_id AS kind, t.truth FROM truth0 t JOIN score s ON split_part(s.run_id, '#', 2) = t.run_id"}
+    elif _k == "every":
+        _BLEND[_k] = "SELECT 'v2' AS method, run_id, target, node_id, score, rank FROM rank_v2"
+    else:
+        _BLEND[_k] = _v
+add(
+    "blend_csv", _blend_table,
+    assembled(_BLEND, "SELECT split_part(run_id, '#', 1)::DOUBLE AS alpha, " + ", ".join(f"round_even(100 * avg({c}), 1) AS {n}" for c, n in (("top1", "top1"), ("top3", "top3"), ("top5", "top5"), ("reciprocal_rank", "mrr"))) + ", count(*) AS n, " + ", ".join(f"round_even(100 * avg(top1) FILTER (split_part(run_id, '#', 2) = '{k}'), 1) AS \"{k}\"" for k in FAULTS) + " FROM metric GROUP BY 1"),
+)
+
 METRIC_SCHEMA = "method string, run_id string, anomaly_type string, true_root_cause string, target_node string, rank int, top1 int, top3 int, top5 int, reciprocal_rank double, false_rc_rate_k5 double"
 
 
 def _through_csv(spark: SparkSession, d: str) -> DataFrame:
     """Figures of all runs, written as CSV and read again under their schema."""
-    path = f"{folder(spark)}/tracewell/metrics-csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "metrics-csv")
     market.write_csv(metrics(spark, d).select(*(c.split()[0] for c in METRIC_SCHEMA.split(", "))), path)
     return market.read_csv(spark, path, METRIC_SCHEMA)
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import dataflow, detect, evaluate, faults, grid, lineage, rank
 from ..sources import market, topology
 from ..sources.scratch import kept
-from .catalogue import PLACES, _figures, _figures_sql, _round, add, prepared, rank_all, ranked_by, series_of
-from .oracle import assembled, grid_texts
+from .catalogue import PLACES, SCALES, WEIGHTS, _figures, _figures_sql, _round, ablated, add, prepared, rank_all, ranked_by, series_of, swept
+from .oracle import ablation_sql, assembled, grid_texts, sensitivity_sql
 
 SIZES = ("small", "medium", "large")
 #: Trials of the registered grid. The full one has grid.TRIALS.
@@ -103,6 +103,39 @@ add(
 )
 
 
+# -- single figures over parts of the grid ------------------------------------------------------------------------------
+
+#: Sizes and trials of the sweep, the ablation, and of walks on larger graphs (199 and 514 nodes).
+SWEPT, ABLATED, LARGER = (("small", "medium"), 5), (("medium",), 3), (("s20", "s55"), 3)
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    (sizes, trials) = SWEPT
+    runs, setup, source = laid_out(spark, d, sizes, trials)
+    own = kept(lineage.by_run(topology.nodes(spark, *sizes), runs), "grid-nodes")
+    return swept(detect.signals(series_of(source, setup), own), own, setup.truth)
+
+
+def _ablated(spark: SparkSession, d: str) -> DataFrame:
+    scores, _, setup = scored(spark, d, *ABLATED)
+    at, _, e, depth = placed(spark, scores, ABLATED[0])
+    return ablated(at, e, depth, setup.truth)
+
+
+def _larger(spark: SparkSession, d: str) -> DataFrame:
+    scores, _, setup = scored(spark, d, *LARGER, kinds=("A1",))
+    return figures(*placed(spark, scores, LARGER[0]), setup, ("v2",))
+
+
+def _base(sizes: tuple[str, ...], trials: int, **how) -> dict[str, str]:
+    return grid_texts(sizes, grid.runs_sql(sizes, trials, **how))
+
+
+add("grid_sensitivity", _swept, sensitivity_sql(WEIGHTS, SCALES, PLACES, _base(*SWEPT)))
+add("grid_ablation", _ablated, ablation_sql(_base(*ABLATED)))
+_V2 = {"every": "SELECT 'v2' AS method, run_id, target, node_id, score, rank FROM rank_v2"}
+add("grid_larger", lambda spark, d: _larger(spark, d).select(*_METRIC, _round("reciprocal_rank")), assembled(_base(*LARGER, kinds=("A1",)) | _V2, f"SELECT {', '.join(_METRIC)}, round(reciprocal_rank, {PLACES}) AS reciprocal_rank FROM metric"))
+
 # -- runs over tickers: three years of twelve instruments -----------------------------------------------------------------
 
 _REAL_METHODS = ("v2", "v3", "score", "schema", "hybrid")

@@ -164,11 +164,10 @@ def sql(select: str, *replaced: tuple[str, str]) -> str:
 
 
 _MEANS = ", ".join(f"round_even(avg({c}), 4) AS {n}" for n, c in {"top1_acc": "top1", "top3_acc": "top3", "top5_acc": "top5", "mrr": "reciprocal_rank", "false_rc_rate": "false_rc_rate_k5"}.items())
-_METRIC0 = CTES["metric0"]
 
 
-def ablation_sql() -> str:
-    """The walks with one part left out each, and their figures."""
+def ablation_sql(base: dict[str, str] | None = None) -> str:
+    """The walks with one part left out each, and their figures; ``base`` for the runs of a grid."""
     own: dict[str, str] = {}
     names: dict[str, str] = {}
 
@@ -193,11 +192,13 @@ def ablation_sql() -> str:
     variant("v2 without inverse", adaptive=True, inverse=False)
     variant("v2 without ancestors", adaptive=True, ancestors=False)
     every = " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, target, node_id, score, rank FROM {r}" for m, r in names.items())
-    return sql(f"SELECT method, {_MEANS}, count(*) AS n_runs FROM metric GROUP BY 1", *own.items(), ("every", every), ("metric0", _METRIC0), ("metric", CTES["metric"]))
+    base = CTES if base is None else base
+    last = {"every": every, "metric0": base["metric0"], "metric": base["metric"]}
+    return assembled({k: v for k, v in base.items() if k not in last} | {k: _keyed(v) if base is not CTES else v for k, v in own.items()} | last, f"SELECT method, {_MEANS}, count(*) AS n_runs FROM metric GROUP BY 1")
 
 
-def sensitivity_sql(weights: tuple, scales: tuple, places: int) -> str:
-    """The score ranking's figures with each weight scaled in turn."""
+def sensitivity_sql(weights: tuple, scales: tuple, places: int, base: dict[str, str] | None = None) -> str:
+    """The score ranking's figures with each weight scaled in turn; ``base`` for the runs of a grid."""
     rows = ", ".join("(" + ", ".join([f"'W{k + 1}'", f"{s}::DOUBLE", *(f"{min(1.0, max(0.01, w * s)) if j == k else w}::DOUBLE" for j, w in enumerate(weights))]) + ")" for k in range(len(weights)) for s in scales)
     own = {
         "setting": f"SELECT * FROM (VALUES {rows}) x(weight, scale, {', '.join(f'w{k}' for k in range(1, 9))})",
@@ -206,12 +207,14 @@ def sensitivity_sql(weights: tuple, scales: tuple, places: int) -> str:
         "swept_run": "SELECT weight, scale, run_id, min(rank) FILTER (node_id = truth) AS rank FROM swept_rank JOIN truth USING (run_id) GROUP BY 1, 2, 3",
         "figure": "SELECT weight, scale, avg(coalesce(rank <= 5, false)::INT) AS top5, avg(coalesce(1 / rank, 0.0)) AS mrr FROM swept_run GROUP BY 1, 2",
     }
-    return sql(f"SELECT f.weight, round(max(abs(f.top5 - b.top5)), {places}) + 0.0 AS max_delta_top5, round(max(abs(f.mrr - b.mrr)), {places}) + 0.0 AS max_delta_mrr, max(abs(f.top5 - b.top5)) > 0.03 AS sensitive FROM figure f JOIN figure b ON b.weight = f.weight AND b.scale = 1.0 GROUP BY 1", *own.items())
+    return assembled((CTES if base is None else base) | own, f"SELECT f.weight, round(max(abs(f.top5 - b.top5)), {places}) + 0.0 AS max_delta_top5, round(max(abs(f.mrr - b.mrr)), {places}) + 0.0 AS max_delta_mrr, max(abs(f.top5 - b.top5)) > 0.03 AS sensitive FROM figure f JOIN figure b ON b.weight = f.weight AND b.scale = 1.0 GROUP BY 1")
 
 
 # -- the grid of runs ----------------------------------------------------------------------------------------------------
 
-_BY_RUN = {"JOIN edge g ON g.u = p.node_id": "JOIN edge g ON g.run_id = p.run_id AND g.u = p.node_id"}
+def _keyed(text: str) -> str:
+    """Edges of a run's own graph."""
+    return text.replace("JOIN edge g ON g.u = p.node_id", "JOIN edge g ON g.run_id = p.run_id AND g.u = p.node_id")
 
 
 def grid_texts(sizes: tuple[str, ...], runs: str, days: int = grid.DAYS, tickers: bool = False) -> dict[str, str]:
@@ -251,9 +254,7 @@ def grid_texts(sizes: tuple[str, ...], runs: str, days: int = grid.DAYS, tickers
         own["daily"] = "SELECT topology, l_shipdate::DATE AS dt, n.i::INT AS i, avg(l_extendedprice / l_quantity) AS price, sum(l_quantity) AS size FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) n ON n.n_nationkey = s_nationkey CROSS JOIN sz WHERE n.i <= stocks GROUP BY 1, 2, 3"
     for k, v in CTES.items():
         if k not in own:
-            for a, b in _BY_RUN.items():
-                v = v.replace(a, b)
-            own[k] = v
+            own[k] = _keyed(v)
     own |= {
         "lev": CTES["lev"].replace("USING (node_id)", "USING (run_id, node_id)"), "apart": CTES["apart"].replace("USING (node_id)", "USING (run_id, node_id)"),
         "excesses": CTES["excesses"].replace("JOIN node n ON n.node_id", "JOIN node n ON n.run_id = r.run_id AND n.node_id").replace("JOIN edge e ON e.v", "JOIN edge e ON e.run_id = r.run_id AND e.v"),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import learned
 from ..sources import market
-from ..sources.scratch import folder
+from ..sources.scratch import new_path
 from ..streaming import scores
 from .catalogue import PLACES, _round, add
 
@@ -28,7 +26,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream to its end, scored into a table."""
     table = market.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet")
-    base = f"{folder(spark)}/tracewell/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     out = scores.stream_scores(stream, forest=forest(table))
     out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(scores.OUT).parquet(f"{base}/out")

@@ -30,6 +30,10 @@ def _base(spark: SparkSession) -> str:
     return f"{folder(spark)}/tracewell/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cleared() -> int:
     """How often ``clear`` was called: tables kept for the session are gone after that."""
     return _cleared[0]
@@ -39,7 +43,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows is planned on a table, and a lost executor costs
     no more than reading it."""
     spark = df.sparkSession
-    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

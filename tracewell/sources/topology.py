@@ -10,7 +10,7 @@ NODE = "topology string, node_id string, node_ord int, layer int, transform_type
 FX = ("USD_KRW", "EUR_KRW", "JPY_KRW", "GBP_KRW", "CNY_KRW")
 RATES = ("RATE_SHORT", "RATE_MID", "RATE_LONG")
 #: Stocks, rates, currencies of the named sizes; there are as many positions as stocks.
-SIZES = {"small": (3, 2, 1), "medium": (5, 3, 2), "large": (8, 3, 3), "market": (5, 3, 1), "real": (12, 3, 3)}
+SIZES = {"small": (3, 2, 1), "medium": (5, 3, 2), "large": (8, 3, 3), "market": (5, 3, 1), "real": (12, 3, 3)} | {f"s{n}": (n, 3, 3) for n in (20, 55, 110)}
 
 
 def rows(topology: str, stocks: int, rates: int, currencies: int) -> list[tuple]:
