@@ -77,7 +77,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int = 16, share
 
     The codebooks are fitted on at most ``sample`` rows (those of least hashed id); every row is indexed. A query looks
     at cells that hold ``share`` of all different vectors, and at least ``least`` of them. Rows without a usable vector take no part; a
-    row with a query's own id is none of its candidates; rows of one id and vector count once. Vectors must have one
+    row with a query's own id is none of its candidates; rows of one id and vector count once. Query rows of one id
+    with different vectors share one list, in which a candidate may stand once for each of them. Vectors must have one
     length; those that differ from the longest sampled take no part. Fewer candidates than ``k`` are all returned; an
     empty table gives none. Ids and the components of queries must fit their types; other columns are left out.
     """

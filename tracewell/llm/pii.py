@@ -373,6 +373,18 @@ def redacted(text: str | None, weights: np.ndarray) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` with each text as ``redacted`` gives it; a null text stays null."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([redacted(x.as_py(), weights) for x in batch.column(at)], batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find(docs, train(docs)).drop("found")

@@ -2,7 +2,7 @@
 
 from .ann import op7_ann
 from .bpe_coding import op2_bpe_coding
-from .chat import op12_chat_formatting
+from .chat import OP12_SQL, op12_chat_formatting
 from .divergence import OP13_SQL, op13_divergence
 from .lexical import OP11_SQL, op11_lexical_search
 from .ngram_join import op3_ngram_join
@@ -30,4 +30,4 @@ QUERIES = {
     "op13_divergence": op13_divergence,
 }
 
-SQL = {"op1_url_filters": OP1_SQL, "op11_lexical_search": OP11_SQL, "op13_divergence": OP13_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op11_lexical_search": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_divergence": OP13_SQL}
