@@ -50,9 +50,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    weights = pii.train(docs)
-    clean = F.udf(lambda text: pii.redacted(text, weights), "string", useArrow=True)
-    return docs.withColumn("text", clean("text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
