@@ -67,7 +67,7 @@ def plain_search(docs, items, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("postings", [30, 1 << 20])
+@pytest.mark.parametrize("postings", [30, lexical.POSTINGS])
 def test_search_equals_brute_force(spark, postings):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(40)]

@@ -22,7 +22,7 @@ from .terms import WORDS, counted, strings, texts
 from .wavelet import Tree
 
 #: Postings of a shard (a single larger document is a shard of its own): a tree takes about 8 bytes a posting and level.
-POSTINGS = 1 << 20
+POSTINGS = 1 << 19
 #: Queries of a block.
 BLOCK = 256
 TOP = 50
