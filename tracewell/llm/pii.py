@@ -260,7 +260,7 @@ def _disguised(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
     return "".join([*out, text[at:]]), found
 
 
-def fit(texts: list[str], rounds: int = 30, rate: float = 1.0, decay: float = 1e-3) -> np.ndarray:
+def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1e-3) -> np.ndarray:
     """Weights (kinds x features) by gradient ascent over the regions of ``texts`` and the decoys; without texts, no kind
     is ever found."""
     weights = np.zeros((len(KINDS), len(FEATURES)))
