@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import kept
 from .lineage import PRIOR, TRANSFER, by_kind
 
 
@@ -92,8 +93,10 @@ def placed(scores: DataFrame, targets: DataFrame, nodes: DataFrame, closure: Dat
 
 def walked(transition: DataFrame, restart: DataFrame, gamma: float, depth: int) -> DataFrame:
     """(run_id, node_id, r): the walk with restart's fixed point, sum of gamma (1 - gamma)^k P^k e. On a graph without
-    cycles P^k is zero beyond the longest path's ``depth`` edges, so that many joins with the edges are all there is."""
-    start = restart.select("run_id", "node_id", (F.col("e") * gamma).alias("r"))
+    cycles P^k is zero beyond the longest path's ``depth`` edges, so that many joins with the edges are all there is. Both
+    tables are written once, since every step reads them; while small, Spark broadcasts the transitions."""
+    transition = kept(transition, "transitions")
+    start = kept(restart.select("run_id", "node_id", (F.col("e") * gamma).alias("r")), "restarts")
     r = start
     for _ in range(depth):
         moved = r.withColumnRenamed("node_id", "frm").join(transition, ["run_id", "frm"]).select("run_id", F.col("to").alias("node_id"), (F.col("r") * F.col("p") * (1 - gamma)).alias("r"))

@@ -87,25 +87,33 @@ def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return kept(rank.placed(s, rank.select_target(s, n, c), n, c), "placed"), n, e, depth
 
 
-def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def rankings(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     at, n, e, depth = placed(spark, sf_dir)
     return ranked_by(at, n, e, depth, faults.registered(spark))
 
 
-def ranked_by(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup) -> dict[str, DataFrame]:
-    v2 = rank.rank_walk(at, e, rank.V2, depth)
-    schema = rank.rank_schema(at, faults.dropped_inputs(n, setup.runs, setup.overrides))
-    return {
-        "v1": rank.rank_walk(at, e, rank.V1, depth), "v2": v2, "v3": rank.rank_walk(at, e, rank.V3, depth), "vanilla": rank.rank_walk(at, e, rank.VANILLA, depth), "structural": rank.rank_structural(at, e, depth),
-        "hops": rank.rank_hops(at), "score": rank.rank_scores(at), "schema": schema, "hybrid": rank.hybrid(schema, v2),
+def ranked_by(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup) -> Callable[[str], DataFrame]:
+    """A method's ranking by name, made when it is asked for first."""
+    walk = partial(rank.rank_walk, at, e, depth=depth)
+    made: dict[str, DataFrame] = {}
+    how = {
+        "v1": lambda: walk(rank.V1), "v2": lambda: walk(rank.V2), "v3": lambda: walk(rank.V3), "vanilla": lambda: walk(rank.VANILLA), "structural": lambda: rank.rank_structural(at, e, depth), "hops": lambda: rank.rank_hops(at),
+        "score": lambda: rank.rank_scores(at), "schema": lambda: rank.rank_schema(at, faults.dropped_inputs(n, setup.runs, setup.overrides)), "hybrid": lambda: rank.hybrid(get("schema"), get("v2")),
     }
 
+    def get(method: str) -> DataFrame:
+        if method not in made:
+            made[method] = how[method]()
+        return made[method]
+
+    return get
+
 
 def rank_all(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults.Setup) -> DataFrame:
     """Rankings by all methods that rank every run."""
     r, every = ranked_by(at, n, e, depth, setup), None
     for m in ("v1", "v2", "score", "hops", "vanilla", "structural", "hybrid"):
-        own = r[m].withColumn("method", F.lit(m))
+        own = r(m).withColumn("method", F.lit(m))
         every = own if every is None else every.unionByName(own)
     return every
 
@@ -206,8 +214,8 @@ add("select_target", lambda spark, d: (lambda g, s: rank.select_target(s, g[0],
 add("report_target", lambda spark, d: rank.target_from_reports(scored(spark, d), topology.nodes(spark, "market")), sql("SELECT run_id, coalesce(max(node_id) FILTER (layer = 5 AND k5 = 1 AND score >= 0.3), max(node_id) FILTER (k = 1)) AS target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, node_ord) AS k, row_number() OVER (PARTITION BY run_id, layer = 5 ORDER BY score DESC, node_ord) AS k5 FROM score) GROUP BY 1"))
 for _m, _t in {"v1": "rank_v1", "v2": "rank_v2", "v3": "rank_v3", "vanilla": "rank_vanilla", "structural": "rank_structural", "hops": "rank_hops", "score": "rank_score", "schema": "rank_schema", "hybrid": "hybrid"}.items():
     _q = {"v1": "rank_rwr_v1", "v2": "rank_rwr_v2", "v3": "rank_rwr_v3", "vanilla": "rank_rwr_vanilla", "structural": "rank_rwr_structural", "hops": "rank_bfs", "score": "rank_score", "schema": "schema_violations", "hybrid": "hybrid_rank"}[_m]
-    add(_q, lambda spark, d, m=_m: rankings(spark, d)[m].select("run_id", "target", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, target, node_id, round(score, {PLACES}) + 0.0 AS score, rank::INT AS rank FROM {_t}"))
-add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)["v2"], 3).select("run_id", "node_id", "rank"), sql("SELECT run_id, node_id, rank::INT AS rank FROM rank_v2 WHERE rank <= 3"))
+    add(_q, lambda spark, d, m=_m: rankings(spark, d)(m).select("run_id", "target", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, target, node_id, round(score, {PLACES}) + 0.0 AS score, rank::INT AS rank FROM {_t}"))
+add("rank_top3", lambda spark, d: rank.top(rankings(spark, d)("v2"), 3).select("run_id", "node_id", "rank"), sql("SELECT run_id, node_id, rank::INT AS rank FROM rank_v2 WHERE rank <= 3"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:

@@ -59,7 +59,7 @@ def figures(at: DataFrame, n: DataFrame, e: DataFrame, depth: int, setup: faults
     """Figures of some methods; runs that a method doesn't rank are missing."""
     r, every = ranked_by(at, n, e, depth, setup), None
     for m in methods:
-        own = r[m].withColumn("method", F.lit(m))
+        own = r(m).withColumn("method", F.lit(m))
         every = own if every is None else every.unionByName(own)
     return evaluate.run_metrics(every, setup.truth)
 
