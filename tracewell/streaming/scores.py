@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -23,10 +24,17 @@ OUT = "key string, at bigint, id bigint, value double, z double, forest double"
 STATE = "tail array<double>, at array<bigint>, id array<bigint>, value array<double>"
 
 
+def micros(events: DataFrame, ts: str) -> Column:
+    """A column of times in microseconds; times without a zone count as UTC."""
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)")
+    return F.unix_micros(ts)
+
+
 def _rows(events: DataFrame, key: str, ts: str, row_id: str, value: str) -> DataFrame:
     """(key, ts, at, id, value); ``at`` is the time in microseconds. Rows without key, time or value are left out."""
-    e = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(row_id).cast("bigint").alias("id"), F.col(value).cast("double").alias("value"))
-    return e.where("key is not null and ts is not null and value is not null").withColumn("at", F.unix_micros("ts"))
+    e = events.select(F.col(key).cast("string").alias("key"), micros(events, ts).alias("at"), F.col(row_id).cast("bigint").alias("id"), F.col(value).cast("double").alias("value"))
+    return e.where("key is not null and at is not null and value is not null").withColumn("ts", F.timestamp_micros("at"))
 
 
 def spread(window: np.ndarray) -> np.ndarray | None:
@@ -88,5 +96,5 @@ def table_scores(events: DataFrame, key: str = "event_type", ts: str = "ts", row
 
 def passed(events: DataFrame, delay_ms: int, ts: str = "ts") -> int | None:
     """The watermark, in microseconds, once all of ``events`` have been read."""
-    last = events.agg(F.unix_micros(F.max(ts)).alias("x")).first().x
+    last = events.agg(F.max(micros(events, ts)).alias("x")).first().x
     return None if last is None else (last // 1000 - delay_ms) * 1000
