@@ -61,6 +61,10 @@ def volatility(width: Column) -> Column:
     return F.when(F.count("ret").over(w) >= width, F.stddev_samp("ret").over(w))
 
 
+#: Faults of single nodes: a conversion's or volatility's factor, a stretch of days, a window's width, a sector's member left out.
+OVERRIDES = "run_id string, node_id string, factor double, t_from int, t_to int, width int, member int"
+
+
 def by_stock(overrides: DataFrame) -> DataFrame:
     """(run_id, i, fx_factor, fx_from, fx_to, vol_factor, vol_width, lost): what acts on each instrument's conversion and
     volatility, and whether its sector leaves it out."""
@@ -78,13 +82,19 @@ def _settled(frame: DataFrame, name: str) -> DataFrame:
     return frame.withColumn(name, F.coalesce(back_filled(F.col(name), "run_id", "i"), filled(F.col(name), "run_id", "i"), F.lit(0.0)))
 
 
-def instruments(source: DataFrame, runs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """All series of single instruments: raw, size, fx, clean, filtered, krw, worth, ret, vol20, vol60.
+def instruments(source: DataFrame, runs: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """All series of single instruments: raw, size, fx, clean, filtered, krw, worth, ret, vol20, vol60. Without ``runs`` a run
+    has the instruments that ``source`` has of it; without ``overrides`` it has no faults.
 
     A conversion that is overridden is multiplied by its factor, its days from t_from (else a third of all) to t_to by 3
     more; a volatility that is, is over its width, 0 where that has too few days, times its factor.
     """
-    frame = clip(impute(stocks(source))).join(by_stock(overrides), ["run_id", "i"], "left").join(runs.select("run_id", "n_stocks"), "run_id")
+    prices = stocks(source)
+    if runs is None:
+        runs = prices.groupBy("run_id").agg(F.count_distinct("i").cast("int").alias("n_stocks"))
+    if overrides is None:
+        overrides = source.sparkSession.createDataFrame([], OVERRIDES)
+    frame = clip(impute(prices)).join(by_stock(overrides), ["run_id", "i"], "left").join(runs.select("run_id", "n_stocks"), "run_id")
     frame = frame.withColumn("krw", F.col("filtered") * F.col("fx"))
     n = F.max("t").over(Window.partitionBy("run_id", "i")) + 1
     start = F.coalesce("fx_from", F.floor(n / 3))
@@ -120,8 +130,11 @@ def _whole(c: str, what) -> Column:
     return F.when(F.count(c) == F.max("n_stocks"), what(c))
 
 
-def portfolio(frame: DataFrame) -> DataFrame:
-    """(run_id, t) with total, sectors, risk figures and reports, from ``instruments``."""
+def portfolio(frame: DataFrame, n_stocks: int | None = None) -> DataFrame:
+    """(run_id, t) with total, sectors, risk figures and reports, from ``instruments``; of ``n_stocks`` instruments where
+    that is given, else of as many as each run has."""
+    if n_stocks is not None:
+        frame = frame.withColumn("n_stocks", F.lit(n_stocks))
     day = frame.groupBy("run_id", "t").agg(_whole("worth", F.sum).alias("total"), _whole("ret", F.avg).alias("ret"), _whole("vol20", F.avg).alias("vol"), F.max("worth").alias("top"), *sectors())
     last60 = _run().rowsBetween(-59, 0)
     enough = F.count("ret").over(last60) >= 60

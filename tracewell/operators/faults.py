@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import grid
+from .dataflow import OVERRIDES
 
 RUNS = "run_id string, topology string, n_stocks int"
-#: Faults of single nodes: a conversion's or volatility's factor, a stretch of days, a window's width, a sector's member left out.
-OVERRIDES = "run_id string, node_id string, factor double, t_from int, t_to int, width int, member int"
 ACTIONS = "run_id string, col string, t_from int, t_to int, op string, amount double, seed bigint"
 TRUTH = "run_id string, anomaly_type string, node_id string, magnitude double"
 #: The registered runs: one for each kind of fault with fixed places, at this magnitude.
