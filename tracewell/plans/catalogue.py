@@ -428,6 +428,3 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("rerank", lambda spark, d: _reranked(spark, d).select("run_id", "node_id", _round("score"), "rank"), sql(f"SELECT run_id, node_id, round(score, {PLACES}) + 0.0 AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, old)::INT AS rank FROM (SELECT v.run_id, v.node_id, v.rank AS old, CASE WHEN v.rank <= 10 THEN p.score ELSE 0.0 END AS score FROM rank_v2 v JOIN placed p ON p.run_id = v.run_id AND p.node_id = v.node_id)"))
-
-
-from . import grid_queries, learned_queries, lineage_queries, stream_queries  # noqa: E402, F401 - they register their queries
