@@ -117,7 +117,7 @@ def test_many_languages(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 1000).cast("string")).alias("lang"), F.concat_ws(" ", F.lit("one two three"), (F.col("id") % 7).cast("string")).alias("text"))
     trusted = docs.where("doc_id < 1000").select("doc_id")
     table = quality_rules.weights(docs, trusted, buckets=64)
-    assert table.count() == 1000 > quality_rules.BROADCAST_LANGS and table.where("size(_weights) <> 64").count() == 0
+    assert table.count() == 1000 > quality_rules.BROADCAST_LANGS and table.where("size(_quality_weights) <> 64").count() == 0
     got = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, trusted, buckets=64).where("doc_id % 1000 = 7").collect()}
     alone = docs.where("lang = 'l7'")
     want = {r.doc_id: r.llr for r in quality_rules.quality_rules(alone, trusted, buckets=64).collect()}

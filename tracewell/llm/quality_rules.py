@@ -89,38 +89,38 @@ def _key(lang: Column) -> Column:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(_key, _weights): for each language with trusted documents (those with an id in ``trusted``), the log ratio of each
+    """(_quality_key, _quality_weights): for each language with trusted documents (those with an id in ``trusted``), the log ratio of each
     bucket's probability among n-grams of its trusted documents to that among n-grams of all its documents. The trusted
     counts get PRIOR n-grams dealt as in all documents of the language, so that little trusted text gives ratios near 1;
     a bucket without n-grams has weight 0. A written table, a row of ``buckets`` numbers for each language."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     if marks.count() <= BROADCAST_IDS:  # else the documents' hashes are shuffled by id
         marks = F.broadcast(marks)
-    docs = docs.select(F.col(id_col).alias("_id"), _key(_lang(docs, lang_col)).alias("_key"), F.col(text_col).alias("_text"))
-    langs = written(docs.join(marks, "_id", "left_semi").select("_key").distinct(), "quality-langs")
+    docs = docs.select(F.col(id_col).alias("_id"), _key(_lang(docs, lang_col)).alias("_quality_key"), F.col(text_col).alias("_text"))
+    langs = written(docs.join(marks, "_id", "left_semi").select("_quality_key").distinct(), "quality-langs")
     few = langs.count() <= BROADCAST_LANGS
-    docs = docs.join(F.broadcast(langs) if few else langs, "_key", "left_semi")
-    rows = _hashes(docs, "_text", ["_id", "_key"]).join(marks, "_id", "left")
-    rows = rows.select("_key", F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
-    found = rows.groupBy("_key", "bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
-    every = langs.select("_key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
-    counts = found.unionByName(every).groupBy("_key", "bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    w = Window.partitionBy("_key")  # a row for each bucket
+    docs = docs.join(F.broadcast(langs) if few else langs, "_quality_key", "left_semi")
+    rows = _hashes(docs, "_text", ["_id", "_quality_key"]).join(marks, "_id", "left")
+    rows = rows.select("_quality_key", F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(_grams(F.col("_hashes"), buckets)).alias("bucket"))
+    found = rows.groupBy("_quality_key", "bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    every = langs.select("_quality_key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    counts = found.unionByName(every).groupBy("_quality_key", "bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    w = Window.partitionBy("_quality_key")  # a row for each bucket
     share = F.col("n") / F.greatest(F.sum("n").over(w), F.lit(1))
     ratio = F.ln((F.col("t") + PRIOR * share) / (F.sum("t").over(w) + PRIOR)) - F.ln(share)
-    weighed = counts.select("_key", "bucket", F.when(F.col("n") > 0, ratio).otherwise(0.0).alias("w"))
-    table = weighed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("x"))
-    return written(table.select("_key", F.col("x.w").alias("_weights")), "quality-weights")
+    weighed = counts.select("_quality_key", "bucket", F.when(F.col("n") > 0, ratio).otherwise(0.0).alias("w"))
+    table = weighed.groupBy("_quality_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("x"))
+    return written(table.select("_quality_key", F.col("x.w").alias("_quality_weights")), "quality-weights")
 
 
 def judge(docs: DataFrame, bucket_weights: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with ``_base``, ``_score`` (mean log ratio; 0 without words or where the language has no weights) and
     ``_kept``. The weights of up to BROADCAST_LANGS languages are broadcast, more are joined by shuffle."""
     table = F.broadcast(bucket_weights) if bucket_weights.count() <= BROADCAST_LANGS else bucket_weights
-    out = base_counts(docs, text_col).withColumn("_key", _key(_lang(docs, lang_col))).join(table, "_key", "left")
-    total = F.aggregate(_grams(F.col("_base.hashes"), buckets), F.lit(0.0), lambda a, g: a + F.get("_weights", g))
+    out = base_counts(docs, text_col).withColumn("_quality_key", _key(_lang(docs, lang_col))).join(table, "_quality_key", "left")
+    total = F.aggregate(_grams(F.col("_base.hashes"), buckets), F.lit(0.0), lambda a, g: a + F.get("_quality_weights", g))
     n = F.greatest(2 * F.size("_base.hashes") - 1, F.lit(1))  # words, and pairs of neighbours
-    out = out.withColumn("_score", F.when(F.col("_weights").isNotNull(), F.round(total / n, 9)).otherwise(0.0)).drop("_key", "_weights")
+    out = out.withColumn("_score", F.when(F.col("_quality_weights").isNotNull(), F.round(total / n, 9)).otherwise(0.0)).drop("_quality_key", "_quality_weights")
     return out.withColumn("_kept", ~F.col("_base.base_failed") & (F.col("_score") >= threshold))
 
 
