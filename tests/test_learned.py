@@ -43,3 +43,9 @@ def test_a_jump_scores_above_clean_series(spark):
     assert set(got) == {"calm", "jump", "flat"} and got["flat"] == 0.0 and all(0 <= v <= 1 for v in got.values())
     none = learned.isolation_scores(clean.limit(0), clean.limit(0))
     assert none.count() == 0
+
+
+def test_values_of_neighbouring_doubles_are_told_apart():
+    x = np.array([[1.0], [np.nextafter(1.0, 2.0)]] * 50)
+    forest = learned.grow(x, trees=50, per_tree=16)
+    assert (forest.children[forest.value >= 0] > np.flatnonzero(forest.value >= 0)[:, None]).all() and (forest.cut[forest.value >= 0] == 1.0).all()
