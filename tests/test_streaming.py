@@ -64,3 +64,24 @@ def test_restart_and_late_rows(spark, tmp_path):
     late = spark.createDataFrame([(9000, 1_700_000_000.0, "a", 99.0)], "event_id bigint, s double, event_type string, value double").select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value")
     rest.unionByName(late).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     same(run(spark, tmp_path, forest).collect(), expected(table, forest))
+
+
+class Many:
+    def scores(self, x):
+        assert len(x) > 1, "one window at a time"
+        return x.max(axis=1)
+
+
+def test_windows_meet_the_forest_together(spark, tmp_path):
+    spark.sparkContext.addPyFile(__file__)  # tasks find the class
+    table = events(spark, 2000).cache()
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = {r.id: r.forest for r in run(spark, tmp_path, Many()).collect()}
+    want = {r.id: r.w and max(r.w) for r in scores.table_scores(table).where(F.col("at") <= scores.passed(table, 30 * 60 * 1000)).collect()}
+    assert set(got) == set(want) and all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
+
+
+def test_rows_without_an_id_come_last_of_their_time(spark, tmp_path):
+    table = events(spark).withColumn("event_id", F.when(F.col("event_id") < 400, F.col("event_id") + 2**60)).where("event_id is not null or value = 7.0").cache()
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    same(run(spark, tmp_path, None).collect(), {r.id: (r.key, r.value, r.z, None) for r in scores.table_scores(table).where(F.col("at") <= scores.passed(table, 30 * 60 * 1000)).collect()})
