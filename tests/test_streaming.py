@@ -85,3 +85,10 @@ def test_rows_without_an_id_come_last_of_their_time(spark, tmp_path):
     table = events(spark).withColumn("event_id", F.when(F.col("event_id") < 400, F.col("event_id") + 2**60)).where("event_id is not null or value = 7.0").cache()
     table.coalesce(1).write.parquet(f"{tmp_path}/in")
     same(run(spark, tmp_path, None).collect(), {r.id: (r.key, r.value, r.z, None) for r in scores.table_scores(table).where(F.col("at") <= scores.passed(table, 30 * 60 * 1000)).collect()})
+
+
+def test_deviations_grow_no_forest(spark, monkeypatch):
+    from tracewell.plans import queries, stream_queries
+
+    monkeypatch.setattr(stream_queries, "forest", lambda events: 1 / 0)
+    assert queries.QUERIES["stream_deviations"](spark, "/root/testdata/sf0.001").where("z is not null").count() > 0

@@ -22,20 +22,20 @@ def forest(events: DataFrame) -> learned.Forest | None:
     return learned.grow(np.stack(some.w)) if len(some) else None
 
 
-def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream to its end, scored into a table."""
+def replayed(spark: SparkSession, sf_dir: str, by_forest: bool) -> DataFrame:
+    """The events as a stream to its end, scored into a table; ``by_forest`` also by a forest of the table's windows."""
     table = market.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
     base = new_path(spark, "stream")
-    out = scores.stream_scores(stream, forest=forest(table))
+    out = scores.stream_scores(stream, forest=forest(table) if by_forest else None)
     out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(scores.OUT).parquet(f"{base}/out")
 
 
 add(
-    "stream_deviations", lambda spark, d: replayed(spark, d).select("key", F.col("id").alias("event_id"), F.col("at").alias("at_us"), _round("value"), _round("z")),
+    "stream_deviations", lambda spark, d: replayed(spark, d, False).select("key", F.col("id").alias("event_id"), F.col("at").alias("at_us"), _round("value"), _round("z")),
     f"""SELECT key, event_id, at_us, round(value, {PLACES}) + 0.0 AS value, round(CASE WHEN n >= 5 THEN abs(value - mean) / greatest(dev, 1e-8) END, {PLACES}) + 0.0 AS z FROM (
  SELECT event_type AS key, event_id, epoch_us(ts) AS at_us, value, count(*) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS dev FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL
  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE at_us <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)""",
 )
-add("stream_forest", lambda spark, d: replayed(spark, d).select("key", F.col("id").alias("event_id"), _round("forest")))
+add("stream_forest", lambda spark, d: replayed(spark, d, True).select("key", F.col("id").alias("event_id"), _round("forest")))
