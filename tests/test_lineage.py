@@ -51,3 +51,19 @@ def test_deep_and_cyclic_graphs_are_followed_to_the_end(spark):
     assert {(r.u, r.v): r.hops for r in lineage.reach(ring).collect()} == {(x, y): (ord(y) - ord(x) - 1) % 3 + 1 for x in "abc" for y in "abc"}
     with pytest.raises(ValueError):
         lineage.depth(ring)
+
+
+def test_job_events_are_parsed_once_each_and_the_latest_counts(spark):
+    from tracewell.operators import lineage_events
+
+    def event(job, time, run, kind="COMPLETE", space="s"):
+        where = f'"namespace": "{space}", ' if space else ""
+        return (f'{{"eventType": "{kind}", "eventTime": "2024-01-0{time}T00:00:00Z", "run": {{"runId": "{run}"}}, "job": {{{where}"name": "{job}"}}}}',)
+
+    rows = [event("a", 1, "9"), event("a", 2, "1"), event("a", 2, "3"), event("a", 2, "2"), event("a", 3, "7", "FAIL"), event("a", 1, "5", space=None), ("no json",), (None,), ('{"eventType": "COMPLETE", "job": {"name": "b"}}',)]
+    raw = spark.createDataFrame(rows, "event string")
+    found = lineage_events.nodes_of(raw)
+    assert {(r.topology, r.node_id, r.last_run_id) for r in found.collect()} == {("s", "a", "3"), (None, "a", "5")}
+    assert lineage_events.nodes_of(raw, rejected=True).count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("from_json" in line for line in plan if "Generate" not in line)  # no condition parses an event again

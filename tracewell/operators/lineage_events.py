@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 _DATASET = "array<struct<namespace: string, name: string, facets: struct<schema: struct<fields: array<struct<name: string>>>>>>"
 #: The fields of an event that are read.
 SCHEMA = f"eventType string, eventTime timestamp, run struct<runId: string>, job struct<namespace: string, name: string, facets: struct<jobType: struct<jobType: string>, layer: struct<layer: int, ord: int, expected: int>>>, inputs {_DATASET}, outputs {_DATASET}"
+#: Of these, the fields that tell whether an event counts.
+HEAD = "eventType string, eventTime timestamp, run struct<runId: string>, job struct<namespace: string, name: string>"
 NODE = ("topology", "node_id", "node_ord", "layer", "transform_type", "input_columns", "output_columns", "upstream", "expected_input_count", "last_run_id", "at")
 
 
@@ -35,15 +39,27 @@ def events(nodes: DataFrame, stamps: DataFrame) -> DataFrame:
     return n.select(F.to_json(body).alias("event"))
 
 
+def _parsed(raw: DataFrame, schema: str) -> DataFrame:
+    """(event, fields of ``schema``); by a generator, as conditions on a column of from_json would parse each event anew."""
+    return raw.select("event", F.inline(F.array(F.from_json("event", schema, {"mode": "PERMISSIVE"}))))
+
+
 def nodes_of(raw: DataFrame, rejected: bool = False) -> DataFrame:
     """Nodes (see NODE) of the latest completed event of each job in ``raw(event)``; of several at one time, the one of the
-    largest run id. Events that are no JSON, or name no job or time, are left out; ``rejected`` gives these instead."""
-    e = raw.select("event", F.from_json("event", SCHEMA, {"mode": "PERMISSIVE"}).alias("e"))
-    sound = F.col("e.job.name").isNotNull() & F.col("e.eventTime").isNotNull()
+    largest run id. Events that are no JSON, or name no job or time, are left out; ``rejected`` gives these instead.
+
+    ``raw`` is gone through twice: for the latest time of each job, which is hashed and not sorted, and for the events of that
+    time, which alone are parsed whole."""
+    e = _parsed(raw, HEAD)
+    sound = F.col("job.name").isNotNull() & F.col("eventTime").isNotNull()
     if rejected:
         return e.where(~F.coalesce(sound, F.lit(False))).select("event")
-    e = e.where(sound & (F.col("e.eventType") == "COMPLETE")).select("e.*")
-    last = e.groupBy(F.col("job.namespace").alias("topology"), F.col("job.name").alias("node_id")).agg(F.max_by(F.struct("job", "run", "inputs", "outputs", "eventTime"), F.struct("eventTime", "run.runId")).alias("x"))
+    key = (F.col("job.namespace").alias("topology"), F.col("job.name").alias("node_id"))
+    done = e.where(sound & (F.col("eventType") == "COMPLETE")).select("event", *key, "eventTime")
+    times = kept(done.groupBy("topology", "node_id").agg(F.max("eventTime").alias("eventTime")), "event-times")
+    own = F.col("e.topology").eqNullSafe(F.col("t.topology")) & (F.col("e.node_id") == F.col("t.node_id")) & (F.col("e.eventTime") == F.col("t.eventTime"))
+    few = _parsed(done.alias("e").join(times.alias("t"), own).select("e.event"), SCHEMA)
+    last = few.groupBy(*key).agg(F.max_by(F.struct("job", "run", "inputs", "outputs", "eventTime"), F.struct("eventTime", "run.runId")).alias("x"))
     columns = lambda c: F.flatten(F.transform(F.coalesce(F.col(c), F.array()), lambda d: F.transform(F.coalesce(d["facets"]["schema"]["fields"], F.array()), lambda f: f["name"])))
     facets = "x.job.facets."
     return last.select(

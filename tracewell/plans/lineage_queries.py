@@ -98,12 +98,13 @@ def job_events(spark: SparkSession, d: str) -> DataFrame:
     are failed runs, and every second round of a job leaves out its last input."""
     n = topology.nodes(spark, *_SIZES)
     sizes = n.groupBy("topology").agg(F.count("*").alias("n"))
-    e = market.table(spark, d, "events").crossJoin(F.broadcast(sizes))  # every size has events of its own
+    e = market.table(spark, d, "events").select("event_id", "event_type", "ts").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    e = e.crossJoin(F.broadcast(sizes))  # every size has events of its own
     stamps = e.select(
         "topology", F.expr("cast(event_id % n as int)").alias("node_ord"), F.when(F.col("event_type") == "error", "FAIL").otherwise("COMPLETE").alias("event_type"), "ts",
         F.format_string("%010d", "event_id").alias("run_id"), F.expr("cast(floor(event_id / n) % 2 as int)").alias("without"),
     )
-    return lineage_events.events(n, stamps)
+    return lineage_events.events(F.broadcast(n), stamps)  # as many nodes as the three sizes have
 
 
 def event_nodes(spark: SparkSession, d: str) -> DataFrame:
