@@ -172,6 +172,20 @@ def test_formatted_chunks_are_the_whole_rendering(spark):
     assert "".join(by[500]) == chat.render([(r, t or "") for _, r, t in turns]) and len(by[500]) > 100
 
 
+def test_templates_may_look_at_the_whole_past(spark):
+    def numbered(turns):  # a turn's span depends on its number and on the first turn
+        return "".join(f"({k} {turns[0][1]}) {t};" for k, (_, t) in enumerate(turns))
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"c{c}t{t}") for c in range(5) for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    by = defaultdict(list)
+    for r in sorted(chat.formatted(df, chat.Template(numbered), window=4).collect(), key=lambda r: (r.part, r.seq)):
+        by[r.conv_id].append(r)
+    for c in range(5):
+        assert "".join(r.text for r in by[c]) == numbered([(role, text) for k, _, role, text in rows if k == c])
+        assert [r.text[s.at + s.start : s.at + s.end] for r in by[c] for s in r.spans if s.start >= 0] == [f"c{c}t{t}" for t in range(1, 40, 2)]
+
+
 # -- divergence --------------------------------------------------------------------------------------------------------
 
 

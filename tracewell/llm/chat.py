@@ -1,14 +1,13 @@
 """Chat formatting with a template that is a black box: turns' places are found by rendering and comparing.
 
 A template is any function from a list of (role, text) to a string. Successive prefixes of a conversation are rendered,
-and what a prefix adds to the one before it is its last turn's span; where it does not start with the one before, the
-template rewrites history, and the turn is marked. A turn's text within its span is found by rendering a probe in its
-place. Rendering every prefix of a long conversation would be quadratic, so it goes by windows of ``WINDOW`` turns, each
-with the turn before it as context: a turn's span may depend on that turn, and on whether there is one.
-
-Rows are range-sorted by conversation and turn, so a conversation of very many turns lies in several tasks, each of which
-renders its stretch. The first turn of a task's first conversation waits for its context, which a second, small step
-brings: a task has two such rows at most. Only a digest over a whole long conversation reads it in one stream.
+each whole, and what a prefix adds to the one before it is its last turn's span; where it does not start with the one
+before, the template rewrites history, and the turn is marked. A turn's text within its span is found by rendering a probe
+in its place. Nothing is assumed of how far back a template looks, so the work grows with the square of a conversation's
+turns, and a task holds the turns of one conversation.
+
+Rows are range-sorted by conversation and turn. A task's first and last conversation may go on in other tasks: their turns
+are dealt by conversation and rendered in a second step. A digest over a conversation reads it in one stream.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 Turn = tuple[str, str]
-#: Turns, and about how many characters, of a window.
+#: Turns, and about how many characters, of a chunk of formatted text.
 WINDOW = 16
 WINDOW_CHARS = 1 << 22
 #: Stands in for a text; a template must leave it as it is, and not write it itself.
@@ -93,9 +92,9 @@ class Span:
     taken_back: int = 0
 
 
-def located(turns: Sequence[Turn], template: Template, context: Turn | None = None) -> list[Span]:
-    """The spans of ``turns``, which follow ``context``."""
-    past: list[Turn] = [] if context is None else [context]
+def located(turns: Sequence[Turn], template: Template, context: Turn | None = None, past: Sequence[Turn] = ()) -> list[Span]:
+    """The spans of ``turns``, which follow all of ``past``, or ``context`` alone."""
+    past = list(past) if context is None else [context]
     before, out = template.render(past) if past else "", []
     for role, text in turns:
         now = template.render([*past, (role, text)])
@@ -128,53 +127,56 @@ def _chunk(conv_id, part: int, seq: int, whole: bool, spans: list[Span]) -> dict
     return {"conv_id": conv_id, "part": part, "seq": seq, "whole": whole, "turns": len(spans), "text": "".join(s.text for s in spans), "spans": places, "kind": "chunk", "role": None}
 
 
-def _raw(conv_id, part: int, kind: str, turn: Turn) -> dict:
-    return {"conv_id": conv_id, "part": part, "seq": 0 if kind == "head" else None, "whole": False, "turns": 0, "text": turn[1], "spans": [], "kind": kind, "role": turn[0]}
+def _chunks(conv_id, part: int, turns: list[Turn], template: Template, window: int, within: bool) -> Iterator[dict]:
+    """Chunks of a conversation, each turn rendered after all turns before it."""
+    start = seq = 0
+    while start < len(turns):
+        end, size = start, 0
+        while end < len(turns) and end - start < window and size <= WINDOW_CHARS:
+            size += len(turns[end][1])
+            end += 1
+        seq += 1
+        yield _chunk(conv_id, part, seq, within and end - start == len(turns), located(turns[start:end], template, past=turns[:start]))
+        start = end
 
 
-def _runs(batches, template: Template, window: int) -> Iterator[dict]:
-    """Chunks of a task's sorted rows. A conversation that certainly lies within the task, in one chunk, is ``whole``;
-    of its first and last one the first and last turn come as they are too (kinds ``head`` and ``tail``)."""
-    first, started = True, False  # within the task's first conversation; a row was seen
-    conv, part, seq, context, held, size = None, 0, 0, None, [], 0
+def _turn(conv_id, part: int, seq: int, turn: Turn) -> dict:
+    return {"conv_id": conv_id, "part": part, "seq": seq, "whole": False, "turns": 0, "text": turn[1], "spans": [], "kind": "turn", "role": turn[0]}
 
-    def flush(whole: bool) -> Iterator[dict]:
-        nonlocal seq, context, held, size
-        if held:
-            seq += 1
-            yield _chunk(conv, part, seq, whole and seq == 1 and not first, located(held, template, context))
-            context, held, size = held[-1], [], 0
 
+def _runs(batches, template: Template, window: int) -> Iterator[dict]:
+    """Chunks of the conversations that certainly lie within a task, from its sorted rows; one in one chunk is ``whole``.
+    Turns of the task's first and last conversation come as they are (kind ``turn``)."""
+    first, started = True, False  # within the task's first conversation; a row was seen
+    conv, part, seq, turns = None, 0, 0, []
     for batch in batches:
         for conv_id, role, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if started and conv_id != conv:
+                yield from _chunks(conv, part, turns, template, window, True)
+                turns, first = [], False
+            conv, part, started = conv_id, at, True
             turn = (role or "", text or "")
-            if not started:
-                conv, part, started = conv_id, at, True
-                context = turn  # its own span waits for what is before it
-                yield _raw(conv, part, "head", turn)
-                continue
-            if conv_id != conv:
-                yield from flush(True)
-                conv, seq, context, first = conv_id, 0, None, False
-            elif len(held) >= window or size > WINDOW_CHARS:
-                yield from flush(False)
-            held.append(turn)
-            size += len(turn[1])
-    if started:
-        last = held[-1] if held else context
-        yield from flush(False)
-        yield _raw(conv, part, "tail", last)
-
-
-def _heads(batches, template: Template) -> Iterator[dict]:
-    """Chunks of heads, each with the tail before it, if that is of the same conversation, as its context."""
-    before = (object(), None)
+            if first:
+                seq += 1
+                yield _turn(conv, part, seq, turn)
+            else:
+                turns.append(turn)
+    for k, turn in enumerate(turns, 1):
+        yield _turn(conv, part, k, turn)
+
+
+def _rendered(batches, template: Template, window: int) -> Iterator[dict]:
+    """Chunks of the conversations whose turns came as they are, from rows sorted by conversation, part and seq."""
+    conv, part, turns = None, 0, []
     for batch in batches:
         for r in batch.to_pylist():
-            turn = (r["role"], r["text"])
-            if r["kind"] == "head":
-                yield _chunk(r["conv_id"], r["part"], 0, False, located([turn], template, before[1] if before[0] == r["conv_id"] else None))
-            before = (r["conv_id"], turn)
+            if turns and r["conv_id"] != conv:
+                yield from _chunks(conv, part, turns, template, window, False)
+                turns = []
+            if not turns:
+                conv, part = r["conv_id"], r["part"]
+            turns.append((r["role"], r["text"]))
+    yield from _chunks(conv, part, turns, template, window, False)
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -190,17 +192,17 @@ def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 
 def chunks(conversations: DataFrame, template: Template = Template(), window: int = WINDOW) -> DataFrame:
-    """Formatted chunks as tasks make them, heads and tails as they are (see ``formatted``)."""
+    """Formatted chunks as tasks make them, turns of conversations that may lie in several as they are (see ``formatted``)."""
     rows = conversations.select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn", "role", F.xxhash64("text"))
     rows = rows.select("conv_id", "role", "text", F.spark_partition_id().alias("part"))
     return rows.mapInArrow(lambda batches: _batches(_runs(batches, template, window), _SCHEMA), CHUNK)
 
 
-def with_heads(rows: DataFrame, template: Template = Template()) -> DataFrame:
-    """``rows`` of kinds chunk, head and tail, where each head has become a chunk; two rows of a task at most are shuffled."""
-    ends = rows.where("kind <> 'chunk'").repartition("conv_id").sortWithinPartitions("conv_id", "part", "kind")
-    heads = ends.mapInArrow(lambda batches: _batches(_heads(batches, template), _SCHEMA), CHUNK)
-    return rows.where("kind = 'chunk'").select(heads.columns).unionByName(heads)
+def with_parted(rows: DataFrame, template: Template = Template(), window: int = WINDOW) -> DataFrame:
+    """``rows`` of kinds chunk and turn, where the turns have become chunks; two conversations of a task at most are shuffled."""
+    turns = rows.where("kind = 'turn'").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
+    parted = turns.mapInArrow(lambda batches: _batches(_rendered(batches, template, window), _SCHEMA), CHUNK)
+    return rows.where("kind = 'chunk'").select(parted.columns).unionByName(parted)
 
 
 def formatted(conversations: DataFrame, template: Template = Template(), window: int = WINDOW) -> DataFrame:
@@ -211,7 +213,7 @@ def formatted(conversations: DataFrame, template: Template = Template(), window:
     Turns go by ``turn``, nulls first, equal ones by role and a hash of the text; a null role or text is empty; rows
     without conv_id are one conversation; repeated rows are turns each; other columns are not looked at.
     """
-    return with_heads(written(chunks(conversations, template, window), "chat-chunks"), template).drop("kind", "role")
+    return with_parted(written(chunks(conversations, template, window), "chat-chunks"), template, window).drop("kind", "role")
 
 
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -272,7 +274,7 @@ def digests(conversations: DataFrame, window: int = WINDOW) -> DataFrame:
     read = chunks(conversations, window=window).mapInArrow(lambda batches: _batches(_read_whole(batches), _READ), READ)
     read = written(read, "chat-read")
     names = [f.name for f in _DIGEST]
-    parts = with_heads(read.where("not whole").select(*(f.name for f in _SCHEMA)))
+    parts = with_parted(read.where("not whole").select(*(f.name for f in _SCHEMA)), window=window)
     parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").select("conv_id", "text", "spans")
     return read.where("whole").select(*names).unionByName(parts.mapInArrow(lambda batches: _batches(_read_parts(batches), _DIGEST), DIGEST))
 
