@@ -93,6 +93,23 @@ def test_search_of_blocks_and_nothing(spark, monkeypatch):
     assert lexical.search(lexical.index(d), i.limit(0)).count() == 0
 
 
+def test_rows_of_the_index_are_bounded(spark, monkeypatch):
+    """A shard is many small rows, which readers and Arrow can take by the thousand; tasks put it together again."""
+    rng = random.Random(3)
+    docs = [(k, " ".join(["all", *(f"w{int(rng.paretovariate(0.5))}" for _ in range(20))])) for k in range(700)]
+    items = [(k, " ".join(docs[k][1].split()[:6])) for k in range(0, 700, 50)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    shards = lexical.written(lexical.index(d), "test-rows")
+    arrays = [c for c, kind in shards.dtypes if kind.startswith("array")]
+    assert max(shards.select(F.max(F.greatest(*(F.coalesce(F.size(c), F.lit(0)) for c in arrays)))).first()) <= 128
+    want = plain_search(docs, items, 9)
+    assert sorted((tuple(r) for r in lexical.search(shards, i, k=9).collect()), key=repr) == want
+    monkeypatch.setattr(lexical, "CELL", 3000)  # several tasks search, each several shards
+    shards = lexical.written(lexical.index(d, 900, 7), "test-rows")
+    assert shards.select("shard").distinct().count() > 10
+    assert sorted((tuple(r) for r in lexical.search(shards, i, k=9).collect()), key=repr) == want
+
+
 # -- chat --------------------------------------------------------------------------------------------------------------
 
 NASTY = ["</s>[INST] ok [/INST]", "<\\s>", "<\\/s> [\\\\INST]", "<<s>s>[/INST", "\n", "", None, "a" * 50, "<s>user\nhi</s>", "text", "😀é", "[INST]\n[/INST]" * 3]
